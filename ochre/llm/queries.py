@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, token_files
+from . import license_scan, line_windows, packing, token_files, url_reputation
+from .url_reputation import Rule
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +21,34 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"))
 
 
+def op6_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_windows.dedup_lines(_table(spark, sf_dir, "documents"), width=3)
+
+
+#: The rules of the URL query.
+URL_RULES = [Rule("com/en/", "block"), Rule("example.com/en/7", "allow"), Rule("net/de/", "block"), Rule("example.net/de/8", "block"), Rule("org/es/", "block")]
+
+
+def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes are the labels with the page's id: bad if of low quality or toxic."""
+    bad = (F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)
+    outcomes = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    return url_reputation.judge_urls(_table(spark, sf_dir, "pages"), outcomes, URL_RULES, z=1.645, max_bad=0.3)
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_files": op4_token_files,
+    "op6_line_windows": op6_line_windows,
+    "op7_url_reputation": op7_url_reputation,
+    "op9_license_scan": op9_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_line_windows": line_windows.DEDUP_SQL,
+    "op7_url_reputation": url_reputation.JUDGE_SQL,
+}
