@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blocks, shuffle_partitions, written
+from .common import blocks, map_arrow, shuffle_partitions, text_bytes, written
 from .tokens import encoder, vocabulary
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -39,22 +39,26 @@ def document_pieces(documents: DataFrame, capacity: int = 2048, tokenizer: str |
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(place)
-        end, size = np.array([end_id], encode.dtype).tobytes(), encode.dtype.itemsize
         for batch in blocks(batches, "text"):
-            rows: list[tuple] = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode.encode_all(batch.column("text").to_pylist())):
-                ids += end
-                n = len(ids) // size
-                stops = list(range(n % capacity or capacity, n + 1, capacity)) if n > capacity else [n]
-                for k, (a, b) in enumerate(zip([0, *stops], stops)):
-                    own = np.frombuffer(ids, encode.dtype, b - a, a * size).astype("<u4").tobytes()
-                    rows.append((doc, k, a, b - a, zlib.crc32(own), own))
-            columns = list(zip(*rows))
-            arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[2:5])]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(columns[5], pa.binary())] * with_ids, names=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+            ids, ends = encode.encode_block(*text_bytes(batch, "text"))
+            ids = np.insert(ids, ends[1:], np.array(end_id, encode.dtype)).astype("<u4")
+            begins = ends + np.arange(len(ends))
+            sizes = np.diff(begins)
+            pieces = -(-sizes // capacity)
+            doc = np.repeat(np.arange(len(sizes)), pieces)
+            number = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            first = (sizes - 1) % capacity + 1
+            start = np.where(number == 0, 0, first[doc] + (number - 1) * capacity)
+            length = np.where(number == 0, first[doc], capacity)
+            at = begins[doc] + start
+            own = [ids[a : a + n] for a, n in zip(at.tolist(), length.tolist())]
+            arrays = [batch.column("doc_id").take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(start), pa.array(length), pa.array([zlib.crc32(x) for x in own], pa.int64())]
+            if with_ids:
+                arrays.append(pa.array([x.tobytes() for x in own], pa.binary()))
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return rows.mapInArrow(cut, PIECES + ", ids binary" * with_ids)
+    return map_arrow(rows, cut, PIECES + ", ids binary" * with_ids)
 
 
 def plan_bins(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:

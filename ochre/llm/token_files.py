@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, shared_dir, shuffle_partitions
+from .common import blocks, map_arrow, shared_dir, shuffle_partitions, text_bytes
 from .tokens import encoder, vocabulary
 
 MANIFEST = "shard string, first_doc long, first_hash long, n_docs long, n_null long, n_tokens long, width int"
@@ -68,7 +68,6 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer: str | None =
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, name, out = encoder(place), f"{run}-{uuid.uuid4().hex}", {}
-        end = np.array([end_id], encode.dtype).tobytes()
         filesystem, path = _filesystem(folder)
         first, n_docs, n_null, n_tokens = None, 0, 0, 0
         try:
@@ -77,12 +76,13 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer: str | None =
                     filesystem.create_dir(path, recursive=True)
                     out = {kind: filesystem.open_output_stream(f"{path}/{name}.{kind}") for kind in ("ids", "starts", "docs")}
                     first = (batch.column("doc_id")[0].as_py(), batch.column("text_hash")[0].as_py())
-                ids = [x + end for x in encode.encode_all(batch.column("text").to_pylist())]
-                lengths = np.array([len(x) for x in ids], np.int64) // encode.dtype.itemsize
-                out["ids"].write(b"".join(ids))
-                out["starts"].write((n_tokens + np.cumsum(lengths) - lengths).astype("<i8").tobytes())
+                ids, ends = encode.encode_block(*text_bytes(batch, "text"))
+                ids = np.insert(ids, ends[1:], np.array(end_id, encode.dtype))
+                starts = ends + np.arange(len(ends))
+                out["ids"].write(ids.tobytes())
+                out["starts"].write((n_tokens + starts[:-1]).astype("<i8").tobytes())
                 out["docs"].write(batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-                n_docs, n_null, n_tokens = n_docs + len(ids), n_null + batch.column("doc_id").null_count, n_tokens + int(lengths.sum())
+                n_docs, n_null, n_tokens = n_docs + batch.num_rows, n_null + batch.column("doc_id").null_count, n_tokens + len(ids)
         finally:
             for stream in out.values():
                 stream.close()
@@ -94,7 +94,7 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer: str | None =
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     dealt = rows.repartitionByRange(shuffle_partitions(spark), "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash")
-    manifest = dealt.mapInArrow(shard, MANIFEST).collect()  # a row a shard
+    manifest = map_arrow(dealt, shard, MANIFEST).collect()  # a row a shard
     manifest.sort(key=lambda r: (r.first_doc is not None, r.first_doc or 0, r.first_hash))
     shards, base, doc_base = [], 0, 0
     for r in manifest:
@@ -119,7 +119,7 @@ def read_token_files(spark: SparkSession, folder: str, shards: list[Shard]) -> D
                     yield pa.RecordBatch.from_arrays([pa.array(np.asarray(docs[i : i + 4096]), mask=null), pa.array(own + r["base"]), pa.array(ends - own), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     table = spark.createDataFrame(shards, "shard string, base long, doc_base long, n_docs long, n_null long, n_tokens long, width int")
-    return table.repartition(max(1, min(len(shards), shuffle_partitions(spark)))).mapInArrow(read, DOCUMENTS)
+    return map_arrow(table.repartition(max(1, min(len(shards), shuffle_partitions(spark)))), read, DOCUMENTS)
 
 
 def token_files(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -1,19 +1,20 @@
-"""Byte-level BPE ids from the tokenizers library, with a bounded cache of words."""
+"""Byte-level BPE ids from the tokenizers library, with a bounded memory of words."""
 
 from __future__ import annotations
 
 import os
-import re
 from functools import lru_cache
 
 import numpy as np
 
-#: A space that no visible character follows: there the text may not be cut.
-_LOOSE = re.compile(r" (?=\s|\Z)")
-#: Words that a worker remembers.
-CACHE_WORDS = 500_000
-#: Marks a text's first word in the cache; a lone surrogate, so no text has it.
-_FIRST = "\udc80"
+from .hashing import piece_hashes, ragged
+
+#: Words whose ids a worker remembers, at about 25 bytes each.
+CACHE_WORDS = 3_000_000
+#: Bytes after which a space may not be cut off: white space, and what starts white space of several bytes.
+_LEADS = np.ones(256, bool)
+_LEADS[:33] = False
+_LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = False
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -24,12 +25,12 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 class WordwiseEncoder:
-    """Ids of whole texts, exact, by cutting before single spaces.
+    """Ids of whole texts, by cutting before single spaces.
 
     The byte-level pattern starts a new piece at every single space that a visible
     character follows, and merges never cross pieces, so a text's ids are those of
-    its space-led words in turn.  Words are encoded by the library once and
-    remembered, at most ``CACHE_WORDS`` of them.
+    its space-led words in turn.  The library encodes each word once; words are known
+    by their length, first eight bytes and a 64-bit hash.
     """
 
     def __init__(self, path: str):
@@ -38,65 +39,89 @@ class WordwiseEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        # each letter of a byte-level token stands for one byte
         size = self.library.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        # each letter of a byte-level token stands for one byte
         self.width = np.array([len(self.library.id_to_token(i) or "") for i in range(size)], np.int64)
-        self.words: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        """The ids of ``text``, each as one little-endian ``dtype``."""
-        return self.encode_all([text])[0]
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        split, found, new = [], [], set()
-        get = self.words.get
-        for text in texts:
-            words = self._split(text)
-            ids = list(map(get, words))
-            if None in ids:
-                new.update([w for w, x in zip(words, ids) if x is None])
-            split.append(words)
-            found.append(ids)
-        if new:
-            if len(self.words) + len(new) > CACHE_WORDS:
-                self.words, new, found = {}, set().union(*split), [[None] * len(w) for w in split]
-            self._learn(list(new))
-        look = self.words
-        return [b"".join([look[w] if x is None else x for w, x in zip(words, ids)] if None in ids else ids) for words, ids in zip(split, found)]
-
-    def _split(self, text: str) -> list[str]:
-        """The words, each without the space before it; a text's first word has a mark of its own, as no space leads it."""
-        words = text.split(" ")
-        if _LOOSE.search(text):
-            whole, words = words, words[:1]
-            for word in whole[1:]:
-                if word and not word[0].isspace():
-                    words.append(word)
-                else:
-                    words[-1] += " " + word
-        if words[0]:
-            words[0] = _FIRST + words[0]
-        else:
-            del words[0]
-        return words
-
-    def _learn(self, new: list[str]) -> None:
-        """Encodes words in one call; a word's ids are cut out by the bytes that tokens stand for."""
-        firsts = [w for w in new if w.startswith(_FIRST) and len(w) > len(_FIRST)]
-        for word in firsts:
-            self.words[word] = np.array(self.library.encode(word[len(_FIRST) :], add_special_tokens=False).ids, self.dtype).tobytes()
-        if firsts:
-            own = set(firsts)
-            new = [w for w in new if w not in own]
-        if not new:
-            return
-        joined = " " + " ".join(new)
-        ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64)
-        lengths = list(map(len, new)) if joined.isascii() else [len(w.encode()) for w in new]
-        stops = (np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(np.array(lengths) + 1)) + 1) * self.dtype.itemsize
-        raw, stops = ids.astype(self.dtype).tobytes(), stops.tolist()
-        self.words.update(zip(new, [raw[i:j] for i, j in zip([0, *stops[:-1]], stops)]))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.at, self.n = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, self.dtype)
+
+    def encode(self, text: str) -> np.ndarray:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return self.encode_block(raw, np.array([0, len(raw)]))[0]
+
+    def encode_block(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts ``data[bounds[i] : bounds[i + 1]]`` one after the other, and where each text's ids start (one more than texts)."""
+        size = len(data)
+        if not size:
+            return np.zeros(0, self.dtype), np.zeros(len(bounds), np.int64)
+        cut = np.zeros(size, bool)
+        cut[:-1] = (data[:-1] == 32) & _LEADS[data[1:]]
+        inner = bounds[(bounds > 0) & (bounds < size)]
+        cut[inner - 1] = False
+        cut[bounds[:-1][np.diff(bounds) > 0]] = True
+        starts = np.flatnonzero(cut)
+        lengths = np.diff(starts, append=size)
+        prefix = self._first_bytes(data, starts, lengths)
+        keys = piece_hashes(data, starts, lengths) ^ (prefix * np.uint64(0x9FB21C651E98DF25))
+        words, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        at, n = self._known(words, data, starts[first], lengths[first])
+        out = self.ids[ragged(at[which], n[which])]
+        ends = np.concatenate([[0], np.cumsum(n[which].astype(np.int64))])
+        return out, ends[np.searchsorted(starts, bounds)]
+
+    @staticmethod
+    def _first_bytes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        whole = np.lib.stride_tricks.sliding_window_view(padded, 8)[starts].copy().view("<u8")[:, 0]
+        short = np.minimum(lengths, 8).astype(np.uint64) * np.uint64(8)
+        mask = np.where(short >= 64, ~np.uint64(0), (np.uint64(1) << (short % np.uint64(64))) - np.uint64(1))
+        return whole & mask
+
+    def _known(self, words: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each word lie and how many; encodes those not met before."""
+        place = np.searchsorted(self.keys, words)
+        known = np.zeros(len(words), bool)
+        inside = place < len(self.keys)
+        known[inside] = self.keys[place[inside]] == words[inside]
+        new = ~known
+        if new.any():
+            if len(self.keys) + int(new.sum()) > CACHE_WORDS and known.any():
+                self._forget()
+                return self._known(words, data, starts, lengths)
+            at, n = self._learn(data, starts[new], lengths[new])
+            where = place[new]
+            self.keys, self.at, self.n = np.insert(self.keys, where, words[new]), np.insert(self.at, where, at), np.insert(self.n, where, n)
+            place = np.searchsorted(self.keys, words)
+        return self.at[place], self.n[place]
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes words in one call; each word's ids are cut out by the bytes that tokens stand for."""
+        led = data[starts] == 32
+        led &= (lengths > 1) & _LEADS[data[np.minimum(starts + 1, len(data) - 1)]]
+        at, n, base = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int32), len(self.ids)
+        found = [self.ids]
+        if led.any():
+            text = data[ragged(starts[led], lengths[led])].tobytes().decode()
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+            stops = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(lengths[led])) + 1
+            n[led] = np.diff(stops, prepend=0)
+            at[led] = base + stops - n[led]
+            found.append(ids.astype(self.dtype))
+            base += len(ids)
+        if not led.all():  # words that start their text
+            own = np.flatnonzero(~led)
+            texts = [data[a : a + k].tobytes().decode() for a, k in zip(starts[own].tolist(), lengths[own].tolist())]
+            for i, x in zip(own.tolist(), self.library.encode_batch_fast(texts, add_special_tokens=False)):
+                at[i], n[i] = base, len(x.ids)
+                found.append(np.array(x.ids, self.dtype))
+                base += len(x.ids)
+        self.ids = np.concatenate(found)
+        return at, n
 
 
 @lru_cache(maxsize=2)
