@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, line_windows, packing, token_files, url_reputation
+from . import license_scan, line_windows, media, packing, token_files, token_rollups, url_reputation
+from .common import scratch, written
+from .tokens import vocabulary
 from .url_reputation import Rule
 
 
@@ -13,6 +15,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_media(media.encode_media(_table(spark, sf_dir, "documents"), "text"))
+
+
+def op2_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches, each committed twice: all documents are loaded with one
+    tokenizer, those not in English are counted anew with a multilingual one, and the
+    documents labelled toxic are taken down."""
+    documents = _table(spark, sf_dir, "documents")
+    loaded = written(token_rollups.count_tokens(documents, "byte_bpe_50k", vocabulary("byte_bpe_50k.json")), "counts")
+    foreign = ~F.col("lang").eqNullSafe("en")
+    recounted = written(token_rollups.count_tokens(documents.where(foreign), "byte_bpe_multi_50k", vocabulary("byte_bpe_multi_50k.tiktoken")), "counts")
+    now = loaded.where(~foreign).unionByName(recounted)
+    toxic = _table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    store = token_rollups.RollupStore(spark, scratch(spark, "rollups"))
+    for _ in range(2):
+        store.commit("load", token_rollups.inserted(loaded))
+        store.commit("recount", token_rollups.revised(loaded.where(foreign), recounted))
+        store.commit("take-down", token_rollups.deleted(now.join(toxic, "doc_id", "left_semi")))
+    return store.totals()
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), capacity=2048)
 
@@ -41,6 +65,8 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_flac_media": op1_flac_media,
+    "op2_token_rollups": op2_token_rollups,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_files": op4_token_files,
     "op6_line_windows": op6_line_windows,
