@@ -60,3 +60,48 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     step[0] = starts[0]
     step[heads[1:]] = starts[1:] - starts[:-1] - lengths[:-1] + 1
     return np.cumsum(step)
+
+
+#: Classes of bytes: 0 separates, 1 is part of a word, 2 is punctuation.
+_KIND = np.ones(256, np.int8)
+_KIND[:33] = 0
+_KIND[[b for b in range(33, 128) if not chr(b).isalnum()]] = 2
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of word bytes and of punctuation in texts that lie one after the other: starts, lengths, and the number of the text."""
+    kind = _KIND[data]
+    edge = np.ones(len(data) + 1, bool)
+    edge[1:-1] = kind[1:] != kind[:-1]
+    edge[bounds] = True
+    starts = np.flatnonzero(edge[:-1])
+    lengths = np.diff(np.flatnonzero(edge))
+    mine = kind[starts] > 0
+    starts, lengths = starts[mine], lengths[mine]
+    return starts, lengths, np.searchsorted(bounds, starts, "right") - 1
+
+
+#: What separates words where only white space does: bytes 9 to 13 and the space.
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+def spaced_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs without bytes 9 to 13 and spaces: starts, lengths, and the number of the text."""
+    inside = ~_BLANK[data]
+    padded = np.zeros(len(data) + 1, bool)
+    padded[:-1] = inside
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    heads = bounds[:-1][np.diff(bounds) > 0]
+    begins[heads] = inside[heads]
+    starts = np.flatnonzero(begins)
+    stops = padded.copy()
+    stops[1:] = padded[:-1] & ~padded[1:]
+    stops[0] = False
+    inner = bounds[(bounds > 0) & (bounds < len(data))]
+    stops[inner] |= inside[inner - 1]
+    ends = np.flatnonzero(stops)
+    return starts, ends - starts, np.searchsorted(bounds, starts, "right") - 1

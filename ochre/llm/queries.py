@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, line_windows, media, packing, token_files, token_rollups, url_reputation
+from . import license_scan, line_windows, media, packing, quality, token_files, token_rollups, url_reputation
 from .common import scratch, written
 from .tokens import vocabulary
 from .url_reputation import Rule
@@ -64,6 +64,19 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def document_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graded ratings from the labels: 0 toxic, 1 of low quality, 2 good; unlabelled values give no grade."""
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+    return _table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade"))
+
+
+def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    model = quality.fit(documents, document_grades(spark, sf_dir), n_grades=3, max_rows=20_000)
+    rated = quality.score(documents.select("doc_id", "text"), model, tail_grade=2, least=0.5)
+    return rated.select("doc_id", "expected_grade", F.col("tail").alias("p_good"), "keep")
+
+
 QUERIES = {
     "op1_flac_media": op1_flac_media,
     "op2_token_rollups": op2_token_rollups,
@@ -72,6 +85,7 @@ QUERIES = {
     "op6_line_windows": op6_line_windows,
     "op7_url_reputation": op7_url_reputation,
     "op9_license_scan": op9_license_scan,
+    "op10_ordinal_quality": op10_ordinal_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
