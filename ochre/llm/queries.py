@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, line_windows, media, packing, quality, token_files, token_rollups, url_reputation
+from . import license_scan, line_windows, media, ngram_join, packing, quality, token_files, token_rollups, url_reputation
 from .common import scratch, written
 from .tokens import vocabulary
 from .url_reputation import Rule
@@ -45,6 +45,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(_table(spark, sf_dir, "documents"))
+
+
 def op6_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_windows.dedup_lines(_table(spark, sf_dir, "documents"), width=3)
 
@@ -82,6 +86,7 @@ QUERIES = {
     "op2_token_rollups": op2_token_rollups,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_files": op4_token_files,
+    "op5_ngram_join": op5_ngram_join,
     "op6_line_windows": op6_line_windows,
     "op7_url_reputation": op7_url_reputation,
     "op9_license_scan": op9_license_scan,
