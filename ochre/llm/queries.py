@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, line_windows, media, ngram_join, packing, quality, token_files, token_rollups, url_reputation
+from . import decontaminate, license_scan, line_windows, media, ngram_join, packing, quality, token_files, token_rollups, url_reputation
 from .common import scratch, written
 from .tokens import vocabulary
 from .url_reputation import Rule
@@ -64,6 +64,12 @@ def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_urls(_table(spark, sf_dir, "pages"), outcomes, URL_RULES, z=1.645, max_bad=0.3)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents in which a benchmark item stands, whole or edited, with the item."""
+    found = decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), least=0.5)
+    return found.select("doc_id", "item_id", "score", "start_word", "end_word")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
 
@@ -89,6 +95,7 @@ QUERIES = {
     "op5_ngram_join": op5_ngram_join,
     "op6_line_windows": op6_line_windows,
     "op7_url_reputation": op7_url_reputation,
+    "op8_decontamination": op8_decontamination,
     "op9_license_scan": op9_license_scan,
     "op10_ordinal_quality": op10_ordinal_quality,
 }
