@@ -239,3 +239,14 @@ def similar_documents(documents: DataFrame) -> DataFrame:
     found = classes.select("n", "s1", "s2", "id").join(final, F.col("id") == F.col("vertex"), "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("_c"))
     joined = known.select("doc_id", "n", "s1", "s2").join(found, ["n", "s1", "s2"], "left")
     return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id")).alias("component_id"))
+
+
+def one_of_each(documents: DataFrame, similar: DataFrame) -> DataFrame:
+    """``documents`` with one row of each component of ``similar``, the one with the smallest id; rows with a null id stay.  ``similar`` is a written table."""
+    gone = similar.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = documents.join(_small(written(gone, "gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
+    twice = similar.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    if not twice.take(1):
+        return kept
+    single = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return single.unionByName(kept.where("doc_id is null"))
