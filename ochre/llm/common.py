@@ -12,15 +12,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text handed to numpy or a tokenizer at once, in bytes.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+#: Bytes of an Arrow batch between Spark and Python.
+BATCH_BYTES = 8 << 20
 
 _own_dir: dict[str, str] = {}
 _sent_to: set[str] = set()
 
 
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``df.mapInArrow``, with this package sent to the executors first."""
+    """``df.mapInArrow``, with this package sent to the executors first.
+
+    Batches are held to ``BATCH_BYTES``: Spark's own limit would take much of what an
+    executor leaves to Python workers.
+    """
     context = df.sparkSession.sparkContext
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if context.applicationId not in _sent_to:
         root = Path(__file__).resolve().parents[1]
         archive = Path(tempfile.mkdtemp(prefix="ochre-code-")) / f"{root.name}.zip"
