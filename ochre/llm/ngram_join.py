@@ -9,8 +9,8 @@
    total, so it loses nothing) and keeps the prefix in which two similar sets must
    meet.  Documents of one component with the same prefix and size are one group.
    Only shingles that stand in prefixes of two or more components matter any more;
-   pairs of groups that meet there are filtered by size and place, expanded to
-   members, and verified on whole sets.
+   pairs of groups that meet there are filtered by size and place (groups alike in
+   both stand for each other), expanded to members, and verified on whole sets.
 4. Links of both steps give the components.
 
 A pair is verified as part of a star: the hub's set is held once while the others
@@ -83,11 +83,20 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row a document; then the task's sketch, a row a chunk (``doc_id`` null, ``chunk`` set)."""
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     names = [x.split()[0] for x in MARKS.split(", ")]
+    waiting: list[np.ndarray] = []
+
+    def count() -> None:
+        if waiting:
+            counts[:] += np.bincount(np.concatenate(waiting), minlength=len(counts)).astype(np.uint32)
+            waiting.clear()
+
     for batch in blocks(batches, "text"):
         sets = shingle_sets(*text_bytes(batch, "text"))
         n = np.array([len(s) for s in sets])
         flat = np.concatenate(sets)
-        counts += np.bincount(flat >> np.uint64(64 - SKETCH_BITS), minlength=1 << SKETCH_BITS).astype(np.uint32)
+        waiting.append((flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
+        if sum(map(len, waiting)) > len(counts) // 4:
+            count()
         sums = np.zeros((2 + MINIMA, len(sets)), np.uint64)
         full = n > 0
         if full.any():
@@ -98,6 +107,7 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sums[2 + k, full] = np.minimum.reduceat(mixed(flat ^ _SEEDS[40 + k]), at)
         empty = len(sets)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int32)), *map(pa.array, sums.view(np.int64)), pa.nulls(empty, pa.int32()), pa.nulls(empty, pa.binary())], names=names)
+    count()
     chunks = counts.reshape(-1, 1 << CHUNK_BITS)
     for i in np.flatnonzero(chunks.any(axis=1)).tolist():
         row = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), *[pa.nulls(1, pa.int64())] * (2 + MINIMA), pa.array([i], pa.int32()), pa.array([zlib.compress(chunks[i].tobytes(), 1)], pa.binary())]
@@ -206,14 +216,17 @@ def _cross_pairs(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
     shared = groups.select("component", F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b").select("shingle")
     shared = written(shared, "shared")
     met = written(groups.select("group", "component", "n", at).join(_small(shared), "shingle"), "met")
-    parts = met.select("shingle", "component").distinct()
-    met_parts = parts.withColumnRenamed("component", "ca").join(parts.withColumnRenamed("component", "cb"), "shingle").where("ca < cb")
-    a = met.select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("group", "component", "n", "at")])
-    b = met.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("group", "component", "n", "at")])
-    pairs = met_parts.join(a.withColumnRenamed("component_a", "ca"), ["shingle", "ca"]).join(b.withColumnRenamed("component_b", "cb"), ["shingle", "cb"])
+    # groups with one component, size and place meet others alike, so they stand for each other here
+    kinds = written(met.select("shingle", "component", "n", "at").distinct(), "kinds")
+    a = kinds.where((PART + WHOLE) * (F.col("n") - F.col("at")) >= 2 * PART * F.col("n")).select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("component", "n", "at")])
+    b = kinds.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("component", "n", "at")])
+    smaller = (F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("component_a") < F.col("component_b"))
     rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    fits = (WHOLE * F.least("n_a", "n_b") >= PART * F.greatest("n_a", "n_b")) & ((PART + WHOLE) * rest >= PART * (F.col("n_a") + F.col("n_b")))
-    pairs = pairs.where(fits).select("group_a", "ca", "n_a", "group_b", "cb", "n_b").distinct()
+    fits = (F.col("component_a") != F.col("component_b")) & smaller & (WHOLE * F.col("n_a") >= PART * F.col("n_b")) & ((PART + WHOLE) * rest >= PART * (F.col("n_a") + F.col("n_b")))
+    hits = written(a.join(b, "shingle").where(fits), "kind-pairs")
+    side = lambda x: met.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("group", "component", "n", "at")])
+    pairs = hits.join(side("a"), ["shingle", "component_a", "n_a", "at_a"]).join(side("b"), ["shingle", "component_b", "n_b", "at_b"])
+    pairs = pairs.select("group_a", F.col("component_a").alias("ca"), "n_a", "group_b", F.col("component_b").alias("cb"), "n_b").distinct()
     members = own.select("group", "component", "n", "id")
     left = members.select(*[F.col(c).alias(x) for c, x in (("group", "group_a"), ("component", "ca"), ("n", "n_a"), ("id", "u"))])
     right = members.select(*[F.col(c).alias(x) for c, x in (("group", "group_b"), ("component", "cb"), ("n", "n_b"), ("id", "v"))])
