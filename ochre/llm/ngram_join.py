@@ -46,8 +46,8 @@ WORDS = 5
 #: Similarity as a fraction: 100 * |A & B| >= 80 * |A | B|.
 PART, WHOLE = 4, 5
 MINIMA = 4
-SKETCH_BITS, CHUNK_BITS = 22, 16
-SENT_ROWS = 500_000
+SKETCH_BITS, CHUNK_BITS = 24, 16
+SENT_ROWS = 1_000_000
 STAR_ROWS = 256
 _SEEDS = mixed(np.arange(1, 64, dtype=np.uint64))
 
@@ -83,20 +83,11 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row a document; then the task's sketch, a row a chunk (``doc_id`` null, ``chunk`` set)."""
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     names = [x.split()[0] for x in MARKS.split(", ")]
-    waiting: list[np.ndarray] = []
-
-    def count() -> None:
-        if waiting:
-            counts[:] += np.bincount(np.concatenate(waiting), minlength=len(counts)).astype(np.uint32)
-            waiting.clear()
-
     for batch in blocks(batches, "text"):
         sets = shingle_sets(*text_bytes(batch, "text"))
         n = np.array([len(s) for s in sets])
         flat = np.concatenate(sets)
-        waiting.append((flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
-        if sum(map(len, waiting)) > len(counts) // 4:
-            count()
+        np.add.at(counts, (flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         sums = np.zeros((2 + MINIMA, len(sets)), np.uint64)
         full = n > 0
         if full.any():
@@ -107,10 +98,10 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sums[2 + k, full] = np.minimum.reduceat(mixed(flat ^ _SEEDS[40 + k]), at)
         empty = len(sets)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int32)), *map(pa.array, sums.view(np.int64)), pa.nulls(empty, pa.int32()), pa.nulls(empty, pa.binary())], names=names)
-    count()
     chunks = counts.reshape(-1, 1 << CHUNK_BITS)
     for i in np.flatnonzero(chunks.any(axis=1)).tolist():
-        row = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), *[pa.nulls(1, pa.int64())] * (2 + MINIMA), pa.array([i], pa.int32()), pa.array([zlib.compress(chunks[i].tobytes(), 1)], pa.binary())]
+        own = np.minimum(chunks[i], 65535).astype(np.uint16)  # more makes no difference
+        row = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), *[pa.nulls(1, pa.int64())] * (2 + MINIMA), pa.array([i], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())]
         yield pa.RecordBatch.from_arrays(row, names=names)
 
 
@@ -119,7 +110,7 @@ def _merge_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
-            own = np.frombuffer(zlib.decompress(counts), np.uint32)
+            own = np.frombuffer(zlib.decompress(counts), np.uint16)
             sums[chunk] = sums[chunk] + own if chunk in sums else own.astype(np.uint64)
     for chunk, own in sums.items():
         yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.minimum(own, 65535).astype(np.uint16).tobytes()], pa.binary())], names=["chunk", "counts"])
@@ -209,9 +200,10 @@ def _star_pairs(classes: DataFrame) -> DataFrame:
 
 def _cross_pairs(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of ids in different components whose prefixes meet and whose sizes and places allow the similarity."""
-    own = prefixes.join(labels, F.col("doc_id") == F.col("id")).select("id", "component", "n", "prefix", F.xxhash64("prefix", "n").alias("group"))
+    own = prefixes.join(_small(labels), F.col("doc_id") == F.col("id")).select("id", "component", "n", "prefix", F.xxhash64("prefix", "n").alias("group"))
     own = written(own, "prefixes")
-    groups = own.groupBy("group", "component", "n").agg(F.first("prefix").alias("prefix"))  # one prefix each
+    ones = written(own.groupBy("group", "component", "n").agg(F.min("id").alias("one")).select("one"), "groups")
+    groups = own.join(_small(ones), F.col("id") == F.col("one"), "left_semi").select("group", "component", "n", "prefix")
     at = F.posexplode("prefix").alias("at", "shingle")
     shared = groups.select("component", F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b").select("shingle")
     shared = written(shared, "shared")
@@ -245,9 +237,9 @@ def similar_documents(documents: DataFrame) -> DataFrame:
     links = verified_links(real, _star_pairs(classes))
     nodes = classes.select("id").distinct()
     first = written(connected_components(links), "components")
-    labels = nodes.join(first, F.col("id") == F.col("vertex"), "left").select("id", F.coalesce("component", "id").alias("component"))
+    labels = written(nodes.join(first, F.col("id") == F.col("vertex"), "left").select("id", F.coalesce("component", "id").alias("component")), "labels")
     # of documents with equal sets only one needs a prefix
-    more = verified_links(real, _cross_pairs(_prefixes(real.join(_small(nodes), F.col("doc_id") == F.col("id"), "left_semi"), _sketch(marks)), labels))
+    more = verified_links(real, _cross_pairs(_prefixes(real.join(_small(labels.select("id")), F.col("doc_id") == F.col("id"), "left_semi"), _sketch(marks)), labels))
     final = connected_components(first.select(F.col("vertex").alias("u"), F.col("component").alias("v")).unionByName(more)) if more.take(1) else first
     found = classes.select("n", "s1", "s2", "id").join(final, F.col("id") == F.col("vertex"), "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("_c"))
     joined = known.select("doc_id", "n", "s1", "s2").join(found, ["n", "s1", "s2"], "left")
