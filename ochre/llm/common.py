@@ -109,3 +109,10 @@ def text_bytes(batch: pa.RecordBatch, column: str):
         keep = np.concatenate([data[a : a + n] for a, n in zip(ends[:-1].tolist(), lengths.tolist())] or [data[:0]])
         return keep, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
     return data[ends[0] : ends[-1]], ends - ends[0]
+
+
+def filesystem(uri: str):
+    """The file system of a shared folder, and the path there, for Python on any machine."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)

@@ -18,9 +18,9 @@ stream past; stars are salted, so a hub with many partners is shared by many tas
 Only pairs of different components are ever candidates in step 3, so a group of near
 copies doesn't make all its pairs.
 
-What is sent to executors or the driver is bounded: the sketch (``2 ** SKETCH_BITS``
-counters), and sets of ids or shingles of at most ``SENT_ROWS`` rows; with more rows
-a shuffle join takes their place.
+What is sent to executors is bounded: the sketch (``2 ** SKETCH_BITS`` bytes, through
+files in the shared folder), and sets of ids or shingles of at most ``SENT_ROWS``
+rows; with more rows a shuffle join takes their place.
 
 Defined results: null or empty text, or one without words, has 0 shingles and is its
 own component; a text with fewer than five words is one shingle; a row with a null
@@ -30,15 +30,17 @@ own component; a text with fewer than five words is one shingle; a row with a nu
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, map_arrow, shuffle_partitions, text_bytes, written
+from .common import blocks, filesystem, map_arrow, scratch, shuffle_partitions, text_bytes, written
 from .components import connected_components
 from .hashing import LOWER, mixed, piece_hashes, spaced_words
 
@@ -46,7 +48,7 @@ WORDS = 5
 #: Similarity as a fraction: 100 * |A & B| >= 80 * |A | B|.
 PART, WHOLE = 4, 5
 MINIMA = 4
-SKETCH_BITS, CHUNK_BITS = 24, 16
+SKETCH_BITS, CHUNK_BITS = 26, 18
 SENT_ROWS = 1_000_000
 STAR_ROWS = 256
 _SEEDS = mixed(np.arange(1, 64, dtype=np.uint64))
@@ -81,13 +83,14 @@ MARKS = f"doc_id long, n int, s1 long, s2 long, {', '.join(f'm{k} long' for k in
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row a document; then the task's sketch, a row a chunk (``doc_id`` null, ``chunk`` set)."""
-    counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+    counts = np.zeros(1 << SKETCH_BITS, np.uint8)
     names = [x.split()[0] for x in MARKS.split(", ")]
     for batch in blocks(batches, "text"):
         sets = shingle_sets(*text_bytes(batch, "text"))
         n = np.array([len(s) for s in sets])
         flat = np.concatenate(sets)
-        np.add.at(counts, (flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+        spot, more = np.unique(flat >> np.uint64(64 - SKETCH_BITS), return_counts=True)
+        counts[spot] = np.minimum(counts[spot] + more, 255)  # more makes no difference
         sums = np.zeros((2 + MINIMA, len(sets)), np.uint64)
         full = n > 0
         if full.any():
@@ -100,37 +103,52 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int32)), *map(pa.array, sums.view(np.int64)), pa.nulls(empty, pa.int32()), pa.nulls(empty, pa.binary())], names=names)
     chunks = counts.reshape(-1, 1 << CHUNK_BITS)
     for i in np.flatnonzero(chunks.any(axis=1)).tolist():
-        own = np.minimum(chunks[i], 65535).astype(np.uint16)  # more makes no difference
-        row = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), *[pa.nulls(1, pa.int64())] * (2 + MINIMA), pa.array([i], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())]
+        row = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), *[pa.nulls(1, pa.int64())] * (2 + MINIMA), pa.array([i], pa.int32()), pa.array([zlib.compress(chunks[i].tobytes(), 1)], pa.binary())]
         yield pa.RecordBatch.from_arrays(row, names=names)
 
 
-def _merge_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums the counts of each chunk; a task holds only the chunks dealt to it."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
-            own = np.frombuffer(zlib.decompress(counts), np.uint16)
-            sums[chunk] = sums[chunk] + own if chunk in sums else own.astype(np.uint64)
-    for chunk, own in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.minimum(own, 65535).astype(np.uint16).tobytes()], pa.binary())], names=["chunk", "counts"])
+def _sketch(marks: DataFrame) -> str:
+    """Merges the tasks' sketches; a chunk is a file in the shared folder, a byte a counter, on a log scale.  Returns the folder."""
+    folder = scratch(marks.sparkSession, "sketch")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}  # of the chunks dealt to this task
+        for batch in batches:
+            for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
+                own = np.frombuffer(zlib.decompress(counts), np.uint8)
+                sums[chunk] = sums[chunk] + own if chunk in sums else own.astype(np.uint32)
+        store, path = filesystem(folder)
+        store.create_dir(path, recursive=True)
+        for chunk, own in sums.items():
+            name = f"{path}/{chunk}-{uuid.uuid4().hex}"
+            with store.open_output_stream(name) as out:
+                out.write(np.minimum(8 * np.log2(1.0 + own), 255).astype(np.uint8).tobytes())
+            store.move(name, f"{path}/{chunk}")
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32())], names=["chunk"])
 
-
-def _sketch(marks: DataFrame) -> np.ndarray:
     rows = marks.where("chunk is not null").select("chunk", "counts")
-    merged = map_arrow(rows.repartition(1 << (SKETCH_BITS - CHUNK_BITS), "chunk"), _merge_chunks, "chunk int, counts binary").collect()  # of fixed size
-    sketch = np.zeros((1 << (SKETCH_BITS - CHUNK_BITS), 1 << CHUNK_BITS), np.uint16)
-    for r in merged:
-        sketch[r["chunk"]] = np.frombuffer(r["counts"], np.uint16)
+    map_arrow(rows.repartition(1 << (SKETCH_BITS - CHUNK_BITS), "chunk"), merge, "chunk int").count()
+    return folder
+
+
+@lru_cache(maxsize=1)
+def _read_sketch(folder: str) -> np.ndarray:
+    from pyarrow import fs
+
+    sketch = np.zeros((1 << (SKETCH_BITS - CHUNK_BITS), 1 << CHUNK_BITS), np.uint8)
+    store, path = filesystem(folder)
+    for info in store.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+        if info.base_name.isdigit():
+            with store.open_input_file(info.path) as file:
+                sketch[int(info.base_name)] = np.frombuffer(file.read(), np.uint8)
     return sketch.ravel()
 
 
-def _prefixes(documents: DataFrame, sketch: np.ndarray) -> DataFrame:
+def _prefixes(documents: DataFrame, folder: str) -> DataFrame:
     """``doc_id, n, prefix``: a set's first shingles from rare to frequent, among which any similar set has one."""
-    sent = documents.sparkSession.sparkContext.broadcast(sketch)
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sent.value
+        counts = _read_sketch(folder)
         for batch in blocks(batches, "text"):
             sets = shingle_sets(*text_bytes(batch, "text"))
             out = []

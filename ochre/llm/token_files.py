@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, map_arrow, shared_dir, shuffle_partitions, text_bytes
+from .common import blocks, filesystem, map_arrow, shared_dir, shuffle_partitions, text_bytes
 from .tokens import encoder, vocabulary
 
 MANIFEST = "shard string, first_doc long, first_hash long, n_docs long, n_null long, n_tokens long, width int"
@@ -44,20 +44,14 @@ class Shard(NamedTuple):
     width: int
 
 
-def _filesystem(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-
 def _mapped(uri: str, dtype: str) -> np.ndarray:
     """A flat file as an array: memory-mapped where the store is a mounted one, else read."""
-    filesystem, path = _filesystem(uri)
-    if filesystem.type_name == "local":
-        if not filesystem.get_file_info(path).size:
+    store, path = filesystem(uri)
+    if store.type_name == "local":
+        if not store.get_file_info(path).size:
             return np.zeros(0, dtype)
         return np.memmap(path, dtype, "r")
-    with filesystem.open_input_file(path) as file:
+    with store.open_input_file(path) as file:
         return np.frombuffer(file.read(), dtype)
 
 
@@ -68,13 +62,13 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer: str | None =
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, name, out = encoder(place), f"{run}-{uuid.uuid4().hex}", {}
-        filesystem, path = _filesystem(folder)
+        store, path = filesystem(folder)
         first, n_docs, n_null, n_tokens = None, 0, 0, 0
         try:
             for batch in blocks(batches, "text"):
                 if first is None:
-                    filesystem.create_dir(path, recursive=True)
-                    out = {kind: filesystem.open_output_stream(f"{path}/{name}.{kind}") for kind in ("ids", "starts", "docs")}
+                    store.create_dir(path, recursive=True)
+                    out = {kind: store.open_output_stream(f"{path}/{name}.{kind}") for kind in ("ids", "starts", "docs")}
                     first = (batch.column("doc_id")[0].as_py(), batch.column("text_hash")[0].as_py())
                 ids, ends = encode.encode_block(*text_bytes(batch, "text"))
                 ids = np.insert(ids, ends[1:], np.array(end_id, encode.dtype))
