@@ -79,8 +79,8 @@ class OrdinalModel:
         return _sigmoid(scores[:, None] - self.thresholds[None, :])
 
 
-def fit_ordinal(index: np.ndarray, starts: np.ndarray, grades: np.ndarray, n_grades: int, bits: int = BITS, epochs: int = 12, batch: int = 256, rate: float = 0.1, sparse: float = 5e-4, seed: int = 7) -> OrdinalModel:
-    """Maximum likelihood by AdaGrad over shuffled batches, with weights shrunk towards 0; thresholds stay in order."""
+def fit_ordinal(index: np.ndarray, starts: np.ndarray, grades: np.ndarray, n_grades: int, bits: int = BITS, steps: int = 1000, batch: int = 256, rate: float = 0.1, sparse: float = 0.04, seed: int = 7) -> OrdinalModel:
+    """Maximum likelihood by AdaGrad in about ``steps`` shuffled batches, with weights shrunk towards 0 by ``sparse`` over the root of the rows; thresholds stay in order."""
     weights, squares = np.zeros(1 << bits), np.full(1 << bits, 1e-8)
     present = np.unique(grades)
     if len(present) < 2:
@@ -89,8 +89,9 @@ def fit_ordinal(index: np.ndarray, starts: np.ndarray, grades: np.ndarray, n_gra
     share = np.array([(grades > j).mean() for j in range(n_grades - 1)]).clip(1e-6, 1 - 1e-6)
     thresholds = np.log((1 - share) / share)
     t_squares = np.full(n_grades - 1, 1e-8)
+    sparse /= np.sqrt(len(grades))
     lengths, rng = np.diff(starts), np.random.default_rng(seed)
-    for _ in range(epochs):
+    for _ in range(-(-steps // max(1, -(-len(grades) // batch)))):
         order = rng.permutation(len(grades))
         for i in range(0, len(order), batch):
             own = order[i : i + batch]
