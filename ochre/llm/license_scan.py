@@ -93,7 +93,10 @@ def licence_words(documents: DataFrame, templates: tuple[Template, ...] = TEMPLA
 
         return F.transform(F.filter("_p", here), lambda h: h["at"])
 
-    found = F.flatten(F.array(*[F.transform(stands(p), lambda at, k=k: F.struct(F.lit(k).alias("phrase"), at.alias("at"))) for k, p in enumerate(phrases)]))
+    def tagged(k: int, phrase: list[str]) -> Column:
+        return F.transform(stands(phrase), lambda at: F.struct(F.lit(k).alias("phrase"), at.alias("at")))
+
+    found = F.flatten(F.array(*[tagged(k, p) for k, p in enumerate(phrases)]))
     return rows.select("doc_id", "_text", "n_words", F.filter("_p", lambda h: h["w"].isin(*vocabulary)).alias("hits"), F.when(F.size("_p") > 0, found).otherwise(F.array().cast("array<struct<phrase:int,at:int>>")).alias("phrases"))
 
 
@@ -101,7 +104,7 @@ def scan_licenses(documents: DataFrame, templates: tuple[Template, ...] = TEMPLA
     """A row a file.
 
     A file looks up its ``look_up`` rarest licence words.  A template is indexed by its
-    ``index_words`` rarest words; it fits where at least ``least_share`` of those agree
+    ``index_words`` rarest words among those that any file has; it fits where at least ``least_share`` of those agree
     on one relative position.
     """
     spark, phrases = documents.sparkSession, _phrases(templates, base)
@@ -114,11 +117,11 @@ def scan_licenses(documents: DataFrame, templates: tuple[Template, ...] = TEMPLA
     postings, sizes = [], []
     for k, template in enumerate(templates):
         words = template.text.split()
-        own = rarest([w for w in words if w in idf], index_words)
+        own = rarest([w for w in words if frequency.get(w)], index_words)
         sizes.append((k, len(own)))
         postings += [(w, k, at) for at, w in enumerate(words) if w in own]
     ranks = spark.createDataFrame([(w, k) for k, w in enumerate(rarest(idf, len(idf)))], "w string, rank int")
-    index = spark.createDataFrame(postings, "w string, template int, place int")
+    index = spark.createDataFrame(postings or [("", 0, 0)], "w string, template int, place int")
     needed = spark.createDataFrame([(k, n, [phrases.index(m.split()) for m in t.mandatory], t.label) for (k, n), t in zip(sizes, templates)], "template int, words int, mandatory array<int>, label string")
 
     hits = files.select("doc_id", "_text", F.explode("hits").alias("h")).select("doc_id", "_text", "h.w", "h.at").distinct()
