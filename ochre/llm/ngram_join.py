@@ -33,7 +33,6 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +47,7 @@ WORDS = 5
 #: Similarity as a fraction: 100 * |A & B| >= 80 * |A | B|.
 PART, WHOLE = 4, 5
 MINIMA = 4
-SKETCH_BITS, CHUNK_BITS = 26, 18
+SKETCH_BITS, CHUNK_BITS = 25, 17
 SENT_ROWS = 1_000_000
 STAR_ROWS = 256
 _SEEDS = mixed(np.arange(1, 64, dtype=np.uint64))
@@ -131,7 +130,6 @@ def _sketch(marks: DataFrame) -> str:
     return folder
 
 
-@lru_cache(maxsize=1)
 def _read_sketch(folder: str) -> np.ndarray:
     from pyarrow import fs
 
@@ -266,8 +264,8 @@ def similar_documents(documents: DataFrame) -> DataFrame:
 
 def one_of_each(documents: DataFrame, similar: DataFrame) -> DataFrame:
     """``documents`` with one row of each component of ``similar``, the one with the smallest id; rows with a null id stay.  ``similar`` is a written table."""
-    gone = similar.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = documents.join(_small(written(gone, "gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = similar.where("doc_id <> component_id").select(F.col("doc_id").alias("__ngram_join_gone")).distinct()
+    kept = documents.join(_small(written(gone, "gone")), F.col("doc_id") == F.col("__ngram_join_gone"), "left_anti")
     twice = similar.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     if not twice.take(1):
         return kept

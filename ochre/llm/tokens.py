@@ -10,7 +10,7 @@ import numpy as np
 from .hashing import piece_hashes, ragged
 
 #: Words whose ids a worker remembers, at about 25 bytes each.
-CACHE_WORDS = 3_000_000
+CACHE_WORDS = 1_000_000
 #: Bytes after which a space may not be cut off: white space, and what starts white space of several bytes.
 _LEADS = np.ones(256, bool)
 _LEADS[:33] = False
