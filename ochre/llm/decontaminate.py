@@ -37,6 +37,8 @@ from .hashing import LOWER, mixed, piece_hashes, runs
 SEED_WORDS = 4
 BLOCK_ITEMS_BYTES = 16 << 20
 SENT_ROWS = 300_000
+#: Starts the names of columns that meet the input's in a join.
+OWN = "__decontaminate_"
 MATCH, MISMATCH, GAP = 2, -1, -1
 FOUND = "doc_id long, text_hash long, item_id long, score double, start_word int, end_word int"
 _SEEDS = mixed(np.arange(100, 200, dtype=np.uint64)) | np.uint64(1)
@@ -241,8 +243,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, least: float = 0.5)
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, least: float = 0.5) -> DataFrame:
     """``documents`` without those in which an item stands."""
-    bad = written(contaminated(documents, benchmark, least).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct(), "contaminated")
+    bad = written(contaminated(documents, benchmark, least).select(F.col("doc_id").alias(f"{OWN}d"), F.col("text_hash").alias(f"{OWN}t")).distinct(), "contaminated")
     if bad.count() <= SENT_ROWS:
         bad = F.broadcast(bad)
-    keyed = documents.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    return keyed.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_t")), "left_anti").drop("_hash")
+    own = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return documents.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(f"{OWN}d")) & (own == F.col(f"{OWN}t")), "left_anti")

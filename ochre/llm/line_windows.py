@@ -12,7 +12,8 @@ frequent; covered places are gathered by document, so they are bounded by its li
 Defined results: a null text stays null; texts with fewer than ``width`` lines stay;
 windows of blank lines alone are not compared; a text whose lines all go becomes
 empty and its row stays; rows that agree in ``doc_id`` and text are one document and
-get the same result; an empty table gives no rows; other columns pass through.
+get the same result; an empty table gives no rows; other columns pass through, but those named like an
+output are replaced.
 """
 
 from __future__ import annotations
@@ -23,6 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Starts the names of columns that are joined to the input for a while.
+OWN = "__line_windows_"
+OUTPUTS = ("n_lines", "n_removed")
+
+
 def _windows(lines: Column, width: int) -> Column:
     """Structs of place and hash, one for each window that is not blank."""
     at = lambda i, k: F.get(lines, i + k)
@@ -38,19 +44,20 @@ def _windows(lines: Column, width: int) -> Column:
 
 def dedup_lines(documents: DataFrame, width: int = 3) -> DataFrame:
     """``documents`` with later occurrences of repeated windows taken out of ``text``, and ``n_lines`` and ``n_removed`` (null text: 0)."""
-    keyed = documents.withColumn("_hash", F.xxhash64("text")).withColumn("_lines", F.split("text", "\n", -1))
-    windows = keyed.where("text is not null").select("doc_id", "_hash", F.explode(_windows(F.col("_lines"), width)).alias("w")).select("doc_id", "_hash", "w.*")
+    keyed = documents.where("text is not null").select("doc_id", F.xxhash64("text").alias("_hash"), F.split("text", "\n", -1).alias("_lines"))
+    windows = keyed.select("doc_id", "_hash", F.explode(_windows(F.col("_lines"), width)).alias("w")).select("doc_id", "_hash", "w.*")
     first = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "_hash", "at")).alias("first")).where("n > 1").drop("n")
     later = windows.join(first, ["h1", "h2"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("_hash") == F.col("first._hash")) & (F.col("at") == F.col("first.at"))))
-    covered = later.groupBy(F.col("doc_id").alias("_doc"), F.col("_hash").alias("_text")).agg(F.collect_set("at").alias("_starts"))
-    joined = documents.withColumn("_hash", F.xxhash64("text")).join(covered, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_text")), "left")
+    covered = later.groupBy(F.col("doc_id").alias(f"{OWN}doc"), F.col("_hash").alias(f"{OWN}text")).agg(F.collect_set("at").alias(f"{OWN}starts"))
+    joined = documents.join(covered, F.col("doc_id").eqNullSafe(F.col(f"{OWN}doc")) & (F.xxhash64("text") == F.col(f"{OWN}text")), "left")
+    starts = F.col(f"{OWN}starts")
     lines = F.split("text", "\n", -1)
-    gone = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + (width - 1)))))
+    gone = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s, s + (width - 1)))))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    text = F.when(F.col("_starts").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    text = F.when(starts.isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    removed = F.when(F.col("_starts").isNull(), 0).otherwise(F.size(gone))
-    own = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns]
+    removed = F.when(starts.isNull(), 0).otherwise(F.size(gone))
+    own = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns if c not in OUTPUTS]
     return joined.select(*own, n_lines.alias("n_lines"), removed.alias("n_removed"))
 
 

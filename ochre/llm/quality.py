@@ -138,11 +138,12 @@ def fit(documents: DataFrame, grades: DataFrame, n_grades: int, max_rows: int =
     return fit_ordinal(index, starts, found["grade"].to_numpy()[:max_rows].astype(np.int64), n_grades, bits)
 
 
-def score(documents: DataFrame, model: OrdinalModel, tail_grade: int, least: float = 0.5) -> DataFrame:
-    """``documents`` with ``score``, ``expected_grade``, ``tail`` (the probability of ``tail_grade`` or better) and ``keep`` (whether that is at least ``least``)."""
+def score(documents: DataFrame, model: OrdinalModel, tail_grade: int, least: float = 0.5, prefix: str = "") -> DataFrame:
+    """``documents`` with ``score``, ``expected_grade``, ``tail`` (the probability of ``tail_grade`` or better) and ``keep`` (whether that is at least ``least``), all with ``prefix`` before their names."""
     spark = documents.sparkSession
     sent = spark.sparkContext.broadcast(model)
-    kept = [c for c in documents.columns if c not in OUTPUTS]
+    names = [prefix + c for c in OUTPUTS]
+    kept = [c for c in documents.columns if c not in names]
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -150,8 +151,10 @@ def score(documents: DataFrame, model: OrdinalModel, tail_grade: int, least: flo
             scores = own.scores(*features(*text_bytes(batch, "text"), own.bits))
             above = own.above(scores)
             tail = above[:, tail_grade - 1]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, (scores, above.sum(axis=1), tail, tail >= least))], names=[*batch.schema.names, *OUTPUTS])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, (scores, above.sum(axis=1), tail, tail >= least))], names=[*batch.schema.names, *names])
 
     rows = documents.select(*[F.col(f"`{c}`") for c in kept])
-    schema = StructType(list(rows.schema.fields)).add("score", "double").add("expected_grade", "double").add("tail", "double").add("keep", "boolean")
+    schema = StructType(list(rows.schema.fields))
+    for name, kind in zip(names, ("double", "double", "double", "boolean")):
+        schema = schema.add(name, kind)
     return map_arrow(rows, rate, schema)

@@ -45,6 +45,16 @@ def test_lines_of_odd_tables(spark):
     assert [r["text"] for r in line_windows.dedup_lines(one.unionByName(one)).collect()] == ["a\nb\nc\nd"] * 2
 
 
+def test_clashing_columns(spark):
+    docs = documents(spark, ["a b c d e f g\nb\nc", "x\na b c d e f g\nb\nc"])
+    for name in ("_hash", "_starts", "_gone", "at", "n", "h1", "keep"):
+        docs = docs.withColumn(name, F.lit(7))
+    rows = line_windows.dedup_lines(docs.withColumn("n_lines", F.lit(0))).orderBy("doc_id").collect()
+    assert rows[1]["text"] == "x" and rows[1]["_hash"] == rows[1]["keep"] == 7 and rows[1]["n_lines"] == 4
+    bench = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
+    assert decontaminate.decontaminate(docs, bench).columns == docs.columns and decontaminate.decontaminate(docs, bench).count() == 0
+
+
 def test_urls(spark):
     r = random.Random(2)
     hosts = ["a.example.com", "b.example.com", "x.example.net", "y.site.co.uk", "com", "z.org"]
