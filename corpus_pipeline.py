@@ -14,17 +14,22 @@ from ochre.llm import decontaminate, line_windows, ngram_join, packing, quality
 from ochre.llm.common import written
 from ochre.llm.queries import document_grades
 
+#: Starts the names of columns that stages add for a while.
+OWN = "__pipeline_"
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that are good with a probability of at least a half (operator 10)."""
     model = quality.fit(docs, document_grades(spark, sf_dir), n_grades=3, max_rows=20_000)
-    return quality.score(docs, model, tail_grade=2, least=0.5).where("keep").select(*docs.columns)
+    return quality.score(docs, model, tail_grade=2, least=0.5, prefix=OWN).where(f"{OWN}keep").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes later occurrences of repeated three-line windows out of the texts (operator 6); every row stays."""
-    cut = line_windows.dedup_lines(docs, width=3)
-    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    cut = line_windows.dedup_lines(docs.select("doc_id", "text", F.struct("*").alias(f"{OWN}row")), width=3)
+    row = F.col(f"{OWN}row")
+    changed = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(row["n_chars"])}
+    return cut.select(*[changed.get(c, row[c]).alias(c) for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
