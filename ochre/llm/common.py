@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ensure_shipped
+
 #: Text handed to numpy or a tokenizer at once, in bytes.
 BLOCK_BYTES = 1 << 20
 #: Bytes of an Arrow batch between Spark and Python.
 BATCH_BYTES = 8 << 20
 
 _own_dir: dict[str, str] = {}
-_sent_to: set[str] = set()
 
 
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
@@ -26,16 +26,8 @@ def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     Batches are held to ``BATCH_BYTES``: Spark's own limit would take much of what an
     executor leaves to Python workers.
     """
-    context = df.sparkSession.sparkContext
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    if context.applicationId not in _sent_to:
-        root = Path(__file__).resolve().parents[1]
-        archive = Path(tempfile.mkdtemp(prefix="ochre-code-")) / f"{root.name}.zip"
-        with zipfile.ZipFile(archive, "w") as out:
-            for path in sorted(root.rglob("*.py")):
-                out.write(path, path.relative_to(root.parent))
-        context.addPyFile(str(archive))
-        _sent_to.add(context.applicationId)
+    ensure_shipped(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
@@ -48,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = tempfile.mkdtemp(prefix="ochre-")
@@ -71,14 +65,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def is_within(df: DataFrame, limit_bytes: int) -> bool:
-    """Whether the rows of ``df`` take at most ``limit_bytes`` as UTF-8 text, measured over all rows."""
-    from pyspark.sql import functions as F
-
-    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 8 for c in df.columns), F.lit(0))
-    return (df.agg(F.sum(width)).first()[0] or 0) <= limit_bytes
-
-
 def blocks(batches: Iterable[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts record batches by rows so that ``column`` has at most ``limit`` bytes in each; a longer value stands alone."""
     import numpy as np
