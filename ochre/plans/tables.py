@@ -17,20 +17,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out anew where there are fewer partitions than cores; a table of many files or splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def document_records(spark: SparkSession, folder: str, fold: bool = True) -> DataFrame:
     """A record a document: its letters as a sequence, other letters folded to bases if asked.
 
-    Every seventh document is declared circular.  Rows are dealt out anew, as texts
-    become many codons later.
+    Every seventh document is declared circular.
     """
     seq = normalized(F.col("text"))
     if fold:
         seq = F.translate(seq, FOLDED, BASES)
-    rows = table(spark, folder, "documents").select("doc_id", seq.alias("s"))
+    rows = spread(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", seq.alias("s"))
     return rows.select(
         F.col("doc_id").alias("seq_idx"), F.col("doc_id").cast("string").alias("seq_id"), as_bytes(F.col("s")).alias("seq"), F.length("s").alias("length"),
         (F.col("doc_id") % 7 == 0).alias("circular"), F.lit("raw").alias("source_kind"),
-    ).repartition("seq_idx")
+    )
 
 
 def document_features(spark: SparkSession, folder: str) -> DataFrame:
