@@ -76,6 +76,14 @@ def circular_angles(hits: DataFrame, records: DataFrame) -> DataFrame:
     return hits.join(circles, "seq_id").select("seq_id", "start", "strand", "rpos", "codon", ((F.col("start") - 1) / F.col("length") * 360).alias("angle"))
 
 
+def feature_angles(features: DataFrame, records: DataFrame) -> DataFrame:
+    """The angles at which genes, CDS and ORFs start and end on their circular records, in degrees."""
+    circles = records.where("circular").select("seq_id", "length")
+    own = features.where(F.col("type").isin("gene", *CODING)).join(circles, "seq_id")
+    at = lambda c: (F.col(c) - 1) / F.col("length") * 360
+    return own.select("feat_idx", "seq_id", "type", "strand", at("start").alias("from_angle"), at("end").alias("to_angle"))
+
+
 def gene_lanes(hits: DataFrame, features: DataFrame, records: DataFrame) -> DataFrame:
     """The frame each CDS or ORF is drawn in: that of the first stop that ends it, else of its last codon's place."""
     own = exportable(features).withColumn("key", feature_key())

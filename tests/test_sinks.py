@@ -80,3 +80,12 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_axes(spark):
+    from ochre.sinks.axes import bases_label, nice_step
+
+    assert [nice_step(s, 10) for s in (10, 17, 48502, 90)] == [1, 2, 5000, 10] and [bases_label(n) for n in (12, 1500, 2000, 1250000)] == ["12 bp", "1.5 kb", "2 kb", "1.25 Mb"]
+    own, table, _ = analysed(spark, circular=True)
+    row = select.feature_angles(table, own).first()
+    assert row["from_angle"] == 0 and abs(row["to_angle"] - 11 / 17 * 360) < 1e-9
