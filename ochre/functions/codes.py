@@ -132,18 +132,28 @@ def stops_of(table_id: Column) -> Column:
     return by_code(table_id, lambda t: sorted(resolved_stops(stop_set(t))))
 
 
-def amino_acid(codon: Column, table_id: Column) -> Column:
-    """One-letter amino acid of a codon; X for anything that isn't one."""
-    letters = F.translate(F.upper(codon), "TCAG", "0123")
-    plain = F.upper(codon).rlike("^[TCAG]{3}$")
-    place = F.conv(F.when(plain, letters), 4, 10).cast("int") + 1
-    table = F.lit("".join(genetic_code(DEFAULT).amino[c] for c in CODONS))
+def amino_letters(table_id: Column) -> Column:
+    """The 64 amino acids of a code, in the order of ``CODONS``."""
+    letters = lambda t: "".join(genetic_code(t).amino[c] for c in CODONS)
     groups: dict[str, list[int]] = {}
     for t in CODES:
-        groups.setdefault("".join(genetic_code(t).amino[c] for c in CODONS), []).append(t)
+        groups.setdefault(letters(t), []).append(t)
+    out = F.lit(letters(DEFAULT))
     for own, ids in groups.items():
-        table = F.when(table_id.isin(*ids), F.lit(own)).otherwise(table)
-    return F.coalesce(F.substring(table, place, F.lit(1)), F.lit("X"))
+        out = F.when(table_id.isin(*ids), F.lit(own)).otherwise(out)
+    return out
+
+
+def amino_acid(codon: Column, table_id: Column, letters: Column | None = None) -> Column:
+    """One-letter amino acid of a codon; X for anything that isn't one.  ``letters`` saves working out the code's."""
+    place = F.when(F.length(codon) == 3, F.instr(F.lit(",".join(CODONS)), F.upper(codon))).otherwise(0)
+    return F.substring(F.concat(F.lit("X"), amino_letters(table_id) if letters is None else letters), F.floor((place + 3) / 4).cast("int") + 1, F.lit(1))
+
+
+def amino_acid_at(data: Column, start: Column, letters: Column) -> Column:
+    """The amino acid of the three bytes from ``start`` (from 1) of upper-case ``data``; ``letters`` are X and a code's."""
+    place = F.instr(F.lit(",".join(CODONS)), F.substring(data, start, F.lit(3)).cast("string"))
+    return F.substring(letters, F.shiftright(place + 3, 2) + 1, F.lit(1))
 
 
 # Keywords that tell the code, tried in this order.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes
-from ..functions.sequence import as_text, non_empty, reverse_complement
+from ..functions.sequence import as_bytes, as_text, non_empty, reverse_complement
 from .select import exportable
 
 
@@ -26,8 +26,14 @@ def translated(seq: Column, table_id: Column, phase: Column) -> Column:
     """The protein of a coding sequence under a code; one stop at the end goes, others stay as ``*``."""
     skip = F.when(phase.isin(1, 2), phase).otherwise(0)
     codons = F.floor((F.length(seq) - skip) / 3)
-    letters = F.transform(F.when(codons > 0, F.sequence(F.lit(0), codons - 1)).otherwise(F.array().cast("array<bigint>")), lambda k: codes.amino_acid(F.substring(seq, (skip + k * 3 + 1).cast("int"), F.lit(3)), table_id))
-    return F.regexp_replace(F.array_join(letters, ""), r"\*$", "")
+    places = F.when(codons > 0, F.sequence(F.lit(0), codons - 1)).otherwise(F.array().cast("array<bigint>"))
+    # the code's letters and the bytes are bound once, not for each codon
+    bound = F.array(F.struct(F.concat(F.lit("X"), codes.amino_letters(table_id)).alias("letters"), as_bytes(F.upper(seq)).alias("bytes"), (skip + 1).alias("first")))
+
+    def protein(x: Column) -> Column:
+        return F.array_join(F.transform(places, lambda k: codes.amino_acid_at(x["bytes"], (x["first"] + k * 3).cast("int"), x["letters"])), "")
+
+    return F.regexp_replace(F.get(F.transform(bound, protein), F.lit(0)), r"\*$", "")
 
 
 def label() -> Column:
