@@ -1,13 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment.
+"""Benchmark decontamination: n-gram seeds, then local alignment.
 
 1. One pass over the texts finds every place where an n-gram of a benchmark item
-   stands, and so each n-gram's document frequency over the whole corpus.
-2. An item's seeds are the rarer half of its n-grams, by that frequency.  The rule is
-   relative, so an item that leaked into very many documents keeps its seeds.
-3. Documents with a seed are read again, and each stretch around seeds of an item is
-   aligned with the item word by word (Smith-Waterman).  The score is the best local
-   alignment's share of the item's own score, so copies with words changed, put in or
-   left out still score high.
+   stands.  All of an item's n-grams are seeds, however often they occur: the ones that
+   an edited copy keeps may be the commonest of the item.
+2. Each stretch around seeds of an item is aligned with the item word by word
+   (Smith-Waterman), unless it has too few of the item's words to score enough.  The
+   score is the best local alignment's share of the item's own score, so copies with
+   words changed, put in or left out still score high.
 
 The benchmark is the stated query set: it is taken in blocks of at most
 ``BLOCK_ITEMS_BYTES`` of text, each block small enough to send to the executors.
@@ -37,6 +36,7 @@ from .hashing import LOWER, mixed, piece_hashes, runs
 SEED_WORDS = 4
 BLOCK_ITEMS_BYTES = 16 << 20
 SENT_ROWS = 300_000
+PART_POSTINGS = 1 << 20
 #: Starts the names of columns that meet the input's in a join.
 OWN = "__decontaminate_"
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -113,86 +113,55 @@ def index_items(ids: list, texts: list[str]) -> Items:
     return Items(ids, words, ends, distinct, gram, item[use], place[use])
 
 
-def _gram_places(items_grams: np.ndarray, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _gram_places(items: Items, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place among all words, number of the n-gram) wherever an n-gram of the block stands."""
     left = np.repeat(ends[1:], np.diff(ends)) - np.arange(len(words))
     places, numbers = [], []
-    for n in range(1, SEED_WORDS + 1):
+    for n in np.unique(np.minimum(np.diff(items.ends), SEED_WORDS)).tolist():
+        if not n:
+            continue
         grams = ngrams(words, n)
         if n < SEED_WORDS:
             grams ^= np.uint64(n)
-        at = np.minimum(np.searchsorted(items_grams, grams), len(items_grams) - 1)
-        hit = np.flatnonzero((items_grams[at] == grams) & (left >= n))
+        at = np.minimum(np.searchsorted(items.grams, grams), len(items.grams) - 1)
+        hit = np.flatnonzero((items.grams[at] == grams) & (left >= n))
         places.append(hit)
         numbers.append(at[hit])
     return np.concatenate(places), np.concatenate(numbers)
 
 
-def _find_grams(documents: DataFrame, items: Items) -> DataFrame:
-    """``doc_id, text_hash, gram``: which n-grams of the block stand in which document."""
-    sent = documents.sparkSession.sparkContext.broadcast(items.grams)
-    short = bool((np.diff(items.ends) < SEED_WORDS).any())
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = sent.value
-        for batch in blocks(batches, "text"):
-            words, ends = word_hashes(*text_bytes(batch, "text"))
-            if short:
-                places, numbers = _gram_places(grams, words, ends)
-            else:
-                own = ngrams(words)
-                left = np.repeat(ends[1:], np.diff(ends)) - np.arange(len(words))
-                at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
-                places = np.flatnonzero((grams[at] == own) & (left >= SEED_WORDS))
-                numbers = at[places]
-            text = np.searchsorted(ends, places, "right") - 1
-            pairs = np.unique(np.stack([text, numbers]), axis=1)
-            rows = pa.array(pairs[0])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("text_hash").take(rows), pa.array(pairs[1].astype(np.int32))], names=["doc_id", "text_hash", "gram"])
-
-    return map_arrow(documents, find, "doc_id long, text_hash long, gram int")
-
-
-def _rare_seeds(items: Items, frequency: dict[int, int]) -> np.ndarray:
-    """Which postings are seeds: the rarer half of each item's, rounded up."""
-    count = np.array([frequency.get(g, 0) for g in range(len(items.grams))])[items.gram]
-    order = np.lexsort((items.place, count, items.item))
-    n = np.bincount(items.item, minlength=len(items.ids))
-    rank = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n)
-    seed = np.zeros(len(order), bool)
-    seed[order] = rank < -(-n[items.item[order]] // 2)
-    return seed
-
-
-def _score(documents: DataFrame, items: Items, seed: np.ndarray, least: float) -> DataFrame:
-    sent = documents.sparkSession.sparkContext.broadcast((items, seed))
+def _score(documents: DataFrame, items: Items, least: float) -> DataFrame:
+    sent = documents.sparkSession.sparkContext.broadcast(items)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seeds = sent.value
-        by_gram = np.argsort(own.gram[seeds], kind="stable")
-        gram, item, place = (x[seeds][by_gram] for x in (own.gram, own.item, own.place))
+        own = sent.value
+        by_gram = np.argsort(own.gram, kind="stable")
+        gram, item, place = own.gram[by_gram], own.item[by_gram], own.place[by_gram]
         for batch in blocks(batches, "text"):
             words, ends = word_hashes(*text_bytes(batch, "text"))
-            places, numbers = _gram_places(own.grams, words, ends)
+            places, numbers = _gram_places(own, words, ends)
+            by_place = np.argsort(places, kind="stable")
+            places, numbers = places[by_place], numbers[by_place]
             a, b = np.searchsorted(gram, numbers, "left"), np.searchsorted(gram, numbers, "right")
-            which = np.repeat(np.arange(len(places)), b - a)
-            posting = np.arange(len(which)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + a[which]
-            spot = places[which]
-            text = np.searchsorted(ends, spot, "right") - 1
-            start = spot - place[posting]  # where the item would start
-            order = np.lexsort((start, item[posting], text))
             rows = []
-            last, stretches = None, []
-            for t, i, s in [*zip(text[order].tolist(), item[posting][order].tolist(), start[order].tolist()), (None, None, 0)]:
-                if (t, i) != last:
-                    if last is not None:
-                        rows += _best(own, words, ends, *last, stretches, least)
-                    last, stretches = (t, i), []
-                n = int(own.ends[i + 1] - own.ends[i]) if i is not None else 0
-                if stretches and s - n // 2 - 2 <= stretches[-1][1]:
-                    stretches[-1][1] = s + n + n // 2 + 2
-                else:
-                    stretches.append([s - n // 2 - 2, s + n + n // 2 + 2])
+            for part in _parts(np.searchsorted(ends, places, "right") - 1, b - a):
+                many = (b - a)[part]
+                posting = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(a[part], many)
+                spot = np.repeat(places[part], many)
+                text = np.searchsorted(ends, spot, "right") - 1
+                start = spot - place[posting]  # where the item would start
+                order = np.lexsort((start, item[posting], text))
+                last, stretches = None, []
+                for t, i, s in [*zip(text[order].tolist(), item[posting][order].tolist(), start[order].tolist()), (None, None, 0)]:
+                    if (t, i) != last:
+                        if last is not None:
+                            rows += _best(own, words, ends, *last, stretches, least)
+                        last, stretches = (t, i), []
+                    n = int(own.ends[i + 1] - own.ends[i]) if i is not None else 0
+                    if stretches and s - n // 2 - 2 <= stretches[-1][1]:
+                        stretches[-1][1] = s + n + n // 2 + 2
+                    else:
+                        stretches.append([s - n // 2 - 2, s + n + n // 2 + 2])
             if rows:
                 columns = list(zip(*rows))
                 at = pa.array(columns[0])
@@ -201,12 +170,26 @@ def _score(documents: DataFrame, items: Items, seed: np.ndarray, least: float) -
     return map_arrow(documents, score, FOUND)
 
 
+def _parts(text: np.ndarray, n: np.ndarray) -> Iterator[slice]:
+    """Cuts places, which lie in order, between texts so that a part has at most ``PART_POSTINGS`` postings; a text with more stands alone."""
+    heads = np.flatnonzero(np.diff(text, prepend=-1))
+    stops = np.append(heads[1:], len(text))
+    total = np.concatenate([[0], np.cumsum(n)])
+    k = 0
+    while k < len(heads):
+        last = max(k, int(np.searchsorted(total[stops], total[heads[k]] + PART_POSTINGS, "right")) - 1)
+        yield slice(int(heads[k]), int(stops[last]))
+        k = last + 1
+
+
 def _best(own: Items, words: np.ndarray, ends: np.ndarray, text: int, item: int, stretches: list, least: float) -> list[tuple]:
     """The best alignment of an item within the stretches of a text, as a row; none if it scores too low."""
     target = own.words[own.ends[item] : own.ends[item + 1]]
     best = (0, 0, 0)
     for a, b in stretches:
         a, b = max(a, int(ends[text])), min(b, int(ends[text + 1]))
+        if np.count_nonzero(np.isin(words[a:b], target)) < least * len(target):  # no alignment can match more
+            continue
         found, begin, end = align(target, words[a:b])
         if found > best[0]:
             best = (found, begin + a - int(ends[text]), end + a - int(ends[text]))
@@ -227,15 +210,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, least: float = 0.5)
         own = index_items([r["item_id"] for r in rows], [r["text"] for r in rows])
         if not len(own.grams):
             continue
-        places = written(_find_grams(texts, own), "grams")
-        frequency = {r["gram"]: r["n"] for r in places.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most the block's n-grams
-        seed = _rare_seeds(own, frequency)
-        seeds = spark.createDataFrame([(int(g),) for g in np.unique(own.gram[seed])], "gram int")
-        chosen = written(places.join(F.broadcast(seeds), "gram", "left_semi").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct(), "chosen")
-        if chosen.count() <= SENT_ROWS:
-            chosen = F.broadcast(chosen)
-        near = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")), "left_semi")
-        found.append(_score(near, own, seed, least))
+        found.append(_score(texts, own, least))
     if not found:
         return spark.createDataFrame([], FOUND)
     return reduce(DataFrame.unionByName, found).distinct()

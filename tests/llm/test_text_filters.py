@@ -157,6 +157,30 @@ def test_contamination(spark):
     assert kept.columns == documents(spark, texts).columns
 
 
+def every(words, step, first):
+    """``words`` with one word in ``step`` changed."""
+    return " ".join(f"changed{k}" if k % step == first else w for k, w in enumerate(words))
+
+
+def test_contamination_by_edited_copies(spark, monkeypatch):
+    r = random.Random(8)
+    items = [prose(r, 40) for _ in range(8)]
+    copies = [(k, every(item.split(" "), 5 + k % 4, 4)) for k, item in enumerate(items[:6])]  # the only copy of its item
+    copies += [(6, items[6])] + [(6, every(items[6].split(" "), 5, 4)) for _ in range(5)]  # edited ones outnumber an exact one
+    copies += [(7, " ".join([*items[7].split(" ")[:24], *prose(r, 16).split(" ")])) for _ in range(5)] + [(7, items[7])]
+    texts = [f"{prose(r, 25)} {copy} {prose(r, 25)}" for _, copy in copies]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    wanted = {(d, i) for d, text in enumerate(texts) for i, item in enumerate(items) if runs_of(word_list(item), 4) & runs_of(word_list(text), 4) and brute_alignment(word_list(item), word_list(text)) >= len(word_list(item))}
+    assert {(d, i) for d, (i, _) in enumerate(copies)} <= wanted
+    rows = decontaminate.contaminated(documents(spark, texts), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == wanted
+    assert decontaminate.decontaminate(documents(spark, texts), bench).count() == 0
+    monkeypatch.setattr(decontaminate, "PART_POSTINGS", 30)  # many parts give the same
+    text = np.array([0, 0, 2, 2, 2, 5])
+    assert [(p.start, p.stop) for p in decontaminate._parts(text, np.array([9, 9, 20, 20, 20, 1]))] == [(0, 2), (2, 5), (5, 6)]
+    assert [(p.start, p.stop) for p in decontaminate._parts(text, np.array([1, 1, 1, 1, 1, 1]))] == [(0, 6)] and not list(decontaminate._parts(text[:0], text[:0]))
+
+
 def test_contamination_of_odd_tables(spark):
     bench = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
     assert decontaminate.contaminated(empty(spark), bench).count() == 0
