@@ -11,8 +11,8 @@
 The benchmark is the stated query set: it is taken in blocks of at most
 ``BLOCK_ITEMS_BYTES`` of text, each block small enough to send to the executors.
 
-Defined results: words are runs of letters and digits (and all non-ASCII) with A-Z
-lower-cased; null or empty texts have none and match nothing; an item with fewer
+Defined results: words are runs of letters and digits (and all non-ASCII) of the text
+lower-cased by Spark's ``lower``; null or empty texts have none and match nothing; an item with fewer
 words than a seed has is one seed as a whole; an item without words matches nothing;
 repeated items match each; rows that agree in ``doc_id`` and text are one document;
 rows with a null ``doc_id`` are judged like others; tables may be empty; other
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, map_arrow, text_bytes, written
-from .hashing import LOWER, mixed, piece_hashes, runs
+from .hashing import mixed, piece_hashes, runs
 
 SEED_WORDS = 4
 BLOCK_ITEMS_BYTES = 16 << 20
@@ -46,11 +46,10 @@ _WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 
 
 def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in texts that lie one after the other, and where each text's words start (one more than texts)."""
-    lowered = LOWER[data]
-    starts, lengths, text = runs(lowered, bounds)
-    words = _WORD[lowered[starts]]
-    hashes = piece_hashes(lowered, starts[words], lengths[words])
+    """Hashes of all words in lower-cased texts that lie one after the other, and where each text's words start (one more than texts)."""
+    starts, lengths, text = runs(data, bounds)
+    words = _WORD[data[starts]]
+    hashes = piece_hashes(data, starts[words], lengths[words])
     return hashes, np.searchsorted(text[words], np.arange(len(bounds)))
 
 
@@ -200,8 +199,8 @@ def _best(own: Items, words: np.ndarray, ends: np.ndarray, text: int, item: int,
 def contaminated(documents: DataFrame, benchmark: DataFrame, least: float = 0.5) -> DataFrame:
     """A row a document and item whose alignment scores ``least`` or more: ids, the text's hash, the score and the words it covers."""
     spark: SparkSession = documents.sparkSession
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text")).withColumn("text", F.lower("text"))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n_blocks = -(-size // BLOCK_ITEMS_BYTES)
     found = []

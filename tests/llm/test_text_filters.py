@@ -181,6 +181,16 @@ def test_contamination_by_edited_copies(spark, monkeypatch):
     assert [(p.start, p.stop) for p in decontaminate._parts(text, np.array([1, 1, 1, 1, 1, 1]))] == [(0, 6)] and not list(decontaminate._parts(text[:0], text[:0]))
 
 
+def test_contamination_in_capitals(spark):
+    items = ["¿Cuántos años tenía el niño cuando llegó a la montaña según el último capítulo?", "Где находится самое глубокое озеро в мире и какова его глубина", "Ποιος είναι ο μεγαλύτερος ποταμός της Ευρώπης"]
+    texts = [f"Bien. {items[0].upper()} Sí.", f"да {items[1].upper()} да", items[2].upper(), items[0].lower(), "nada que ver con los años del niño"]
+    bench = spark.createDataFrame([(k, item.upper() if k == 1 else item) for k, item in enumerate(items)], "item_id long, text string")
+    rows = decontaminate.contaminated(documents(spark, texts), bench).collect()
+    found = {(r["doc_id"], r["item_id"]): r["score"] for r in rows}
+    assert set(found) == {(0, 0), (1, 1), (2, 2), (3, 0)} and found[0, 0] == found[1, 1] == found[3, 0] == 1
+    assert [r["doc_id"] for r in decontaminate.decontaminate(documents(spark, texts), bench).collect()] == [4]
+
+
 def test_contamination_of_odd_tables(spark):
     bench = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
     assert decontaminate.contaminated(empty(spark), bench).count() == 0
