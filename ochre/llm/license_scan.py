@@ -3,9 +3,10 @@
 One pass over the texts keeps, for each file, the places of licence words (a fixed
 vocabulary from the templates, function words left out).  Everything after it works
 on that compact table.  Document frequencies over all files give each word its IDF.
-A file looks up its highest-IDF licence words; each place of such a word meets the
-template postings of that word, and the pair votes for a relative position (place in
-the file less place in the template).  A template fits at a relative position that
+A template is indexed by its highest-IDF words, and a file looks up every word of that
+index that it has; each place of such a word meets the template postings of that word,
+and the pair votes for a relative position (place in the file less place in the
+template).  A template fits at a relative position that
 enough different words agree on, and its label counts only where one of its mandatory
 phrases stands in the file word by word.  Apart from that, the base phrases are
 counted wherever their words stand consecutively.
@@ -27,7 +28,6 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import written
 
@@ -100,12 +100,11 @@ def licence_words(documents: DataFrame, templates: tuple[Template, ...] = TEMPLA
     return rows.select("doc_id", "_text", "n_words", F.filter("_p", lambda h: h["w"].isin(*vocabulary)).alias("hits"), F.when(F.size("_p") > 0, found).otherwise(F.array().cast("array<struct<phrase:int,at:int>>")).alias("phrases"))
 
 
-def scan_licenses(documents: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base: dict[str, str] = BASE, look_up: int = 8, index_words: int = 6, least_share: float = 0.6) -> DataFrame:
+def scan_licenses(documents: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base: dict[str, str] = BASE, index_words: int = 6, least_share: float = 0.6) -> DataFrame:
     """A row a file.
 
-    A file looks up its ``look_up`` rarest licence words.  A template is indexed by its
-    ``index_words`` rarest words among those that any file has; it fits where at least ``least_share`` of those agree
-    on one relative position.
+    A template is indexed by its ``index_words`` rarest words among those that any file
+    has; it fits where at least ``least_share`` of those agree on one relative position.
     """
     spark, phrases = documents.sparkSession, _phrases(templates, base)
     files = written(licence_words(documents, templates, base), "licence-words")
@@ -120,14 +119,10 @@ def scan_licenses(documents: DataFrame, templates: tuple[Template, ...] = TEMPLA
         own = rarest([w for w in words if frequency.get(w)], index_words)
         sizes.append((k, len(own)))
         postings += [(w, k, at) for at, w in enumerate(words) if w in own]
-    ranks = spark.createDataFrame([(w, k) for k, w in enumerate(rarest(idf, len(idf)))], "w string, rank int")
     index = spark.createDataFrame(postings or [("", 0, 0)], "w string, template int, place int")
     needed = spark.createDataFrame([(k, n, [phrases.index(m.split()) for m in t.mandatory], t.label) for (k, n), t in zip(sizes, templates)], "template int, words int, mandatory array<int>, label string")
 
-    hits = files.select("doc_id", "_text", F.explode("hits").alias("h")).select("doc_id", "_text", "h.w", "h.at").distinct()
-    chosen = hits.select("doc_id", "_text", "w").distinct().join(F.broadcast(ranks), "w")
-    chosen = chosen.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "_text").orderBy("rank"))).where(F.col("_k") <= look_up).select(F.col("doc_id").alias("_d"), F.col("_text").alias("_t"), F.col("w").alias("_w"))
-    looked = hits.join(chosen, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_text").eqNullSafe(F.col("_t")) & (F.col("w") == F.col("_w"))).select("doc_id", "_text", "w", "at")
+    looked = files.select("doc_id", "_text", F.explode("hits").alias("h")).select("doc_id", "_text", "h.w", "h.at").distinct()
     votes = looked.join(F.broadcast(index), "w").groupBy("doc_id", "_text", "template", (F.col("at") - F.col("place")).alias("offset")).agg(F.count_distinct("w").alias("agree"))
     best = votes.groupBy("doc_id", "_text", "template").agg(F.max("agree").alias("agree")).join(F.broadcast(needed), "template").withColumn("share", F.col("agree") / F.col("words")).where(F.col("share") >= least_share)
     fits = best.groupBy(F.col("doc_id").alias("_d"), F.col("_text").alias("_t")).agg(F.collect_list(F.struct("label", "share", "mandatory")).alias("_fits"))  # a row a template at most

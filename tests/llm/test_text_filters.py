@@ -107,6 +107,23 @@ def test_licenses(spark):
     assert [r["labels"] for r in license_scan.scan_licenses(same.unionByName(same)).collect()] == ["mit", "mit"]
 
 
+def test_licenses_of_files_with_many_licence_words(spark):
+    r = random.Random(3)
+    filler = lambda: prose(r, 12)
+    notices = ["licensed under cc by nc 4 0", "released under the mit license", "licensed under the apache license version 2 0", "licensed under the gnu general public license version 3"]
+    texts = [" ".join(f"{filler()} {n}" for n in notices) + " " + filler()] * 2
+    stray = sorted({w for t in license_scan.TEMPLATES for w in t.text.split()} - license_scan.FUNCTION_WORDS)
+    for t in license_scan.TEMPLATES:  # each notice at the end of a long file with all other licence words
+        r.shuffle(stray)
+        texts.append(" ".join(f"{prose(r, 3)} {w}" for w in stray) + f" {filler()} {t.text} {filler()}")
+    texts += [prose(r, 30) for _ in range(40)]
+    rows = {row["doc_id"]: row for row in license_scan.scan_licenses(documents(spark, texts)).collect()}
+    for k in (0, 1):
+        assert {"cc-by-nc", "mit", "apache-2.0", "gpl-3.0"} <= set(rows[k]["labels"].split(",")) and rows[k]["score"] == 1
+    for k, t in enumerate(license_scan.TEMPLATES, 2):
+        assert t.label in rows[k]["labels"].split(","), t
+
+
 def brute_alignment(a, b):
     score, best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)], 0
     for i in range(1, len(a) + 1):
