@@ -64,7 +64,7 @@ def table_counts(shown: DataFrame, filtered: DataFrame, hits: DataFrame) -> Data
 
 
 def frame_track(hits: DataFrame, limit: int = MAX_TICKS) -> DataFrame:
-    """Ticks by signed frame: the first ``limit`` of each record by start."""
+    """Ticks by signed frame: the first ``limit`` of each record by start.  (The reference draws no ticks at all for a record with more.)"""
     rank = F.row_number().over(Window.partitionBy("seq_id").orderBy("start", "hit_no"))
     rows = hits.select("seq_id", signed_frame(F.col("strand"), F.col("frame")).alias("lane"), "start", "codon", "id", "hit_no")
     return rows.withColumn("_k", rank).where(F.col("_k") <= limit).drop("_k", "hit_no")
