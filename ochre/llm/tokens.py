@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -29,8 +30,9 @@ class WordwiseEncoder:
 
     The byte-level pattern starts a new piece at every single space that a visible
     character follows, and merges never cross pieces, so a text's ids are those of
-    its space-led words in turn.  The library encodes each word once; words are known
-    by their length, first eight bytes and a 64-bit hash.
+    its space-led words in turn.  The vocabulary's added tokens, such as <|endoftext|>,
+    are cut out first, as the library does.  The library encodes each word once; words
+    are known by their length, first eight bytes and a 64-bit hash.
     """
 
     def __init__(self, path: str):
@@ -38,7 +40,8 @@ class WordwiseEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile(b"|".join(re.escape(t.encode()) for t in added)) if added else None
         size = self.library.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         # each letter of a byte-level token stands for one byte
@@ -61,9 +64,12 @@ class WordwiseEncoder:
             return np.zeros(0, self.dtype), np.zeros(len(bounds), np.int64)
         cut = np.zeros(size, bool)
         cut[:-1] = (data[:-1] == 32) & _LEADS[data[1:]]
-        inner = bounds[(bounds > 0) & (bounds < size)]
-        cut[inner - 1] = False
-        cut[bounds[:-1][np.diff(bounds) > 0]] = True
+        spans = self._added_tokens(data, bounds)
+        edges = np.unique(np.concatenate([bounds, spans.ravel()]))
+        cut[edges[edges > 0] - 1] = False
+        for a, b in spans.tolist():
+            cut[a:b] = False
+        cut[edges[edges < size]] = True
         starts = np.flatnonzero(cut)
         lengths = np.diff(starts, append=size)
         prefix = self._first_bytes(data, starts, lengths)
@@ -74,6 +80,15 @@ class WordwiseEncoder:
         ends = np.concatenate([[0], np.cumsum(n[which].astype(np.int64))])
         return out, ends[np.searchsorted(starts, bounds)]
 
+    def _added_tokens(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Where added tokens start and end, a row each."""
+        spans: list[tuple[int, int]] = []
+        raw = data.tobytes()
+        if self.added and self.added.search(raw):
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):  # none stands across two texts
+                spans += [m.span() for m in self.added.finditer(raw, a, b)]
+        return np.array(spans, np.int64).reshape(-1, 2)
+
     @staticmethod
     def _first_bytes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         padded = np.concatenate([data, np.zeros(8, np.uint8)])

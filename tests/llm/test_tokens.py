@@ -27,6 +27,20 @@ def test_ids_are_the_librarys(texts):
     assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])] == [library_ids(t) for t in texts]
 
 
+def test_added_tokens_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    end, r = "<|endoftext|>", random.Random(7)
+    fresh = Tokenizer.from_file(vocabulary())
+    texts = [end, f"a {end} b", f"a  {end}  b", f"{end}{end} x", f"one{end}two three", "<|endof", "text|> and", f" {end}\n{end} ", "<|endoftext|", "", "|>", f"é {end}é  {end}\t z"]
+    texts += ["".join(r.choice([end, " ", "  ", "\n", "word", " two", "<|", "|>", "é"]) for _ in range(r.randint(1, 12))) for _ in range(300)]
+    raw = [t.encode() for t in texts]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+    ids, starts = encoder(vocabulary()).encode_block(np.frombuffer(b"".join(raw), np.uint8), bounds)
+    assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])] == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids[0] == 50256
+
+
 def test_forgetting_words_changes_nothing(monkeypatch):
     from ochre.llm import tokens
 
