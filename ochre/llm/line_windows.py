@@ -12,8 +12,9 @@ frequent; covered places are gathered by document, so they are bounded by its li
 Defined results: a null text stays null; texts with fewer than ``width`` lines stay;
 windows of blank lines alone are not compared; a text whose lines all go becomes
 empty and its row stays; rows that agree in ``doc_id`` and text are one document and
-get the same result; an empty table gives no rows; other columns pass through, but those named like an
-output are replaced.
+get the same result; a long text is taken whole, in time and memory that grow with the
+number of its lines; an empty table gives no rows; other columns pass through, but those
+named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -44,19 +45,28 @@ def _windows(lines: Column, width: int) -> Column:
 
 def dedup_lines(documents: DataFrame, width: int = 3) -> DataFrame:
     """``documents`` with later occurrences of repeated windows taken out of ``text``, and ``n_lines`` and ``n_removed`` (null text: 0)."""
-    keyed = documents.where("text is not null").select("doc_id", F.xxhash64("text").alias("_hash"), F.split("text", "\n", -1).alias("_lines"))
-    windows = keyed.select("doc_id", "_hash", F.explode(_windows(F.col("_lines"), width)).alias("w")).select("doc_id", "_hash", "w.*")
+    found = F.flatten(F.transform(F.array(F.split("text", "\n", -1)), lambda lines: _windows(lines, width)))
+    windows = documents.where("text is not null").select("doc_id", F.xxhash64("text").alias("_hash"), found.alias("_found"))
+    windows = windows.select("doc_id", "_hash", F.explode("_found").alias("w")).select("doc_id", "_hash", "w.*")  # a step of its own, else the text is hashed for each window
     first = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "_hash", "at")).alias("first")).where("n > 1").drop("n")
     later = windows.join(first, ["h1", "h2"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("_hash") == F.col("first._hash")) & (F.col("at") == F.col("first.at"))))
     covered = later.groupBy(F.col("doc_id").alias(f"{OWN}doc"), F.col("_hash").alias(f"{OWN}text")).agg(F.collect_set("at").alias(f"{OWN}starts"))
     joined = documents.join(covered, F.col("doc_id").eqNullSafe(F.col(f"{OWN}doc")) & (F.xxhash64("text") == F.col(f"{OWN}text")), "left")
     starts = F.col(f"{OWN}starts")
-    lines = F.split("text", "\n", -1)
     gone = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s, s + (width - 1)))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    text = F.when(starts.isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    removed = F.when(starts.isNull(), 0).otherwise(F.size(gone))
+    # the lines are bound once: a lambda that named the split itself would split the text for each line
+    bound = F.array(F.struct(F.split("text", "\n", -1).alias("lines"), gone.alias("gone")))
+
+    def cut(x: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(x["lines"]) - 1), x["gone"])
+        text = F.when(x["gone"].isNotNull(), F.array_join(F.transform(kept, lambda i: F.get(x["lines"], i)), "\n"))
+        return F.struct(text.alias("text"), F.size(x["lines"]).alias("lines"), F.size(x["gone"]).alias("gone"))
+
+    joined = joined.withColumn(f"{OWN}cut", F.when(F.col("text").isNotNull(), F.get(F.transform(bound, cut), F.lit(0))))
+    done = F.col(f"{OWN}cut")
+    text = F.when(starts.isNull(), F.col("text")).otherwise(done["text"])
+    n_lines = F.coalesce(done["lines"], F.lit(0))
+    removed = F.when(starts.isNull(), 0).otherwise(done["gone"])
     own = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns if c not in OUTPUTS]
     return joined.select(*own, n_lines.alias("n_lines"), removed.alias("n_removed"))
 

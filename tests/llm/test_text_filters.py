@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -45,6 +46,16 @@ def test_lines_of_odd_tables(spark):
     assert [r["text"] for r in line_windows.dedup_lines(one.unionByName(one)).collect()] == ["a\nb\nc\nd"] * 2
 
 
+def test_lines_of_long_texts(spark):
+    long = "\n".join(f"line {k}" for k in range(50_000))
+    texts = ["line 9\nline 10\nline 11\nend", long, "line 49998\nline 49999\nx\ny\n" + long]
+    began = time.time()
+    rows = line_windows.dedup_lines(documents(spark, texts)).orderBy("doc_id").collect()
+    assert time.time() - began < 60  # a split for each line would take minutes
+    assert ([r["text"] for r in rows], [r["n_removed"] for r in rows]) == brute_lines(texts)
+    assert rows[2]["n_removed"] == 50_000 and rows[1]["n_removed"] == 3
+
+
 def test_clashing_columns(spark):
     docs = documents(spark, ["a b c d e f g\nb\nc", "x\na b c d e f g\nb\nc"])
     for name in ("_hash", "_starts", "_gone", "at", "n", "h1", "keep"):
