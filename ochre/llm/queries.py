@@ -104,4 +104,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_ngram_join": ngram_join.SIMILAR_SQL,
     "op6_line_windows": line_windows.DEDUP_SQL,
     "op7_url_reputation": url_reputation.JUDGE_SQL,
+    "op9_license_scan": license_scan.SCAN_SQL,
 }

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 import time
@@ -135,6 +136,31 @@ def test_licenses_of_files_with_many_licence_words(spark):
         assert t.label in rows[k]["labels"].split(","), t
 
 
+def told_by_sql(frame):
+    con = duckdb.connect()
+    con.register("t", frame.select("doc_id", "text").toPandas())
+    con.execute("CREATE VIEW documents AS SELECT doc_id::BIGINT AS doc_id, text::VARCHAR AS text FROM t")
+    told = con.execute(license_scan.SCAN_SQL)
+    names = [d[0] for d in told.description]
+    return names, told.fetchall()
+
+
+def test_licenses_agree_with_sql(spark):
+    docs = documents(spark, odd_texts() + [t.text for t in license_scan.TEMPLATES] + ["licKnse mit lİcense", "MIT license " * 3000])
+    names, told = told_by_sql(docs)
+    assert sorted((tuple(r[n] for n in names) for r in license_scan.scan_licenses(docs).collect()), key=str) == sorted(told, key=str)
+
+
+def test_every_pair_and_triple_of_licenses(spark):
+    r, n = random.Random(4), len(license_scan.TEMPLATES)
+    sets = [(k,) for k in range(n)] + list(itertools.combinations(range(n), 2)) + list(itertools.combinations(range(n), 3)) + [tuple(range(n))]
+    texts = [f"{prose(r, 7)} " + f" {prose(r, 5)} ".join(license_scan.TEMPLATES[k].text for k in r.sample(own, len(own))) for own in sets]
+    rows = license_scan.scan_licenses(documents(spark, texts).withColumn("labels", F.lit(1)).withColumn("w", F.lit(2))).collect()
+    assert len(rows) == len(sets)
+    for row in rows:
+        assert {license_scan.TEMPLATES[k].label for k in sets[row["doc_id"]]} <= set(row["labels"].split(",")), sets[row["doc_id"]]
+
+
 def brute_alignment(a, b):
     score, best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)], 0
     for i in range(1, len(a) + 1):
