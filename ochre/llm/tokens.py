@@ -10,7 +10,7 @@ import numpy as np
 
 from .hashing import piece_hashes, ragged
 
-#: Words whose ids a worker remembers, at about 25 bytes each.
+#: Words whose ids a worker remembers, at about 45 bytes each.
 CACHE_WORDS = 1_000_000
 #: Bytes after which a space may not be cut off: white space, and what starts white space of several bytes.
 _LEADS = np.ones(256, bool)
@@ -25,14 +25,19 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Collision(Exception):
+    """Two words have one key."""
+
+
 class WordwiseEncoder:
     """Ids of whole texts, by cutting before single spaces.
 
     The byte-level pattern starts a new piece at every single space that a visible
     character follows, and merges never cross pieces, so a text's ids are those of
     its space-led words in turn.  The vocabulary's added tokens, such as <|endoftext|>,
-    are cut out first, as the library does.  The library encodes each word once; words
-    are known by their length, first eight bytes and a 64-bit hash.
+    are cut out first, as the library does.  The library encodes each word once.  Words
+    are found by a 64-bit key and compared byte by byte with what the key stands for;
+    where two words share a key, the block is encoded text by text instead.
     """
 
     def __init__(self, path: str):
@@ -52,6 +57,7 @@ class WordwiseEncoder:
         self.keys = np.zeros(0, np.uint64)
         self.at, self.n = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.ids = np.zeros(0, self.dtype)
+        self.bytes, self.byte_at, self.size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, text: str) -> np.ndarray:
         raw = np.frombuffer(text.encode(), np.uint8)
@@ -59,9 +65,17 @@ class WordwiseEncoder:
 
     def encode_block(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts ``data[bounds[i] : bounds[i + 1]]`` one after the other, and where each text's ids start (one more than texts)."""
-        size = len(data)
-        if not size:
+        if not len(data):
             return np.zeros(0, self.dtype), np.zeros(len(bounds), np.int64)
+        try:
+            return self._by_words(data, bounds)
+        except Collision:
+            texts = [data[a:b].tobytes().decode() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            found = [np.array(x.ids, self.dtype) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.concatenate(found), np.concatenate([[0], np.cumsum([len(x) for x in found])])
+
+    def _by_words(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = len(data)
         cut = np.zeros(size, bool)
         cut[:-1] = (data[:-1] == 32) & _LEADS[data[1:]]
         spans = self._added_tokens(data, bounds)
@@ -75,6 +89,8 @@ class WordwiseEncoder:
         prefix = self._first_bytes(data, starts, lengths)
         keys = piece_hashes(data, starts, lengths) ^ (prefix * np.uint64(0x9FB21C651E98DF25))
         words, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        if not (np.array_equal(lengths[first][which], lengths) and np.array_equal(data[ragged(starts[first][which], lengths)], data)):
+            raise Collision
         at, n = self._known(words, data, starts[first], lengths[first])
         out = self.ids[ragged(at[which], n[which])]
         ends = np.concatenate([[0], np.cumsum(n[which].astype(np.int64))])
@@ -104,13 +120,19 @@ class WordwiseEncoder:
         inside = place < len(self.keys)
         known[inside] = self.keys[place[inside]] == words[inside]
         new = ~known
+        if known.any():
+            own = place[known]
+            if not (np.array_equal(self.size[own], lengths[known]) and np.array_equal(self.bytes[ragged(self.byte_at[own], lengths[known])], data[ragged(starts[known], lengths[known])])):
+                raise Collision
         if new.any():
             if len(self.keys) + int(new.sum()) > CACHE_WORDS and known.any():
                 self._forget()
                 return self._known(words, data, starts, lengths)
             at, n = self._learn(data, starts[new], lengths[new])
             where = place[new]
-            self.keys, self.at, self.n = np.insert(self.keys, where, words[new]), np.insert(self.at, where, at), np.insert(self.n, where, n)
+            self.byte_at = np.insert(self.byte_at, where, len(self.bytes) + np.cumsum(lengths[new]) - lengths[new])
+            self.bytes = np.concatenate([self.bytes, data[ragged(starts[new], lengths[new])]])
+            self.keys, self.at, self.n, self.size = (np.insert(old, where, more) for old, more in ((self.keys, words[new]), (self.at, at), (self.n, n), (self.size, lengths[new])))
             place = np.searchsorted(self.keys, words)
         return self.at[place], self.n[place]
 
