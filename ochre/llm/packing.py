@@ -11,9 +11,11 @@ holds a third of all pieces is shared by many tasks, and look their slot up.
 The plan's size depends on ``capacity`` alone, not on the corpus, so broadcasting it
 is safe.
 
+``least_bins`` bounds from below what any packing of a histogram needs.
+
 Defined results: null text is empty and gives one piece with the end id alone; an
-empty table gives no piece; equal rows get slots of their own; other columns are
-ignored.
+empty table gives no piece; equal rows get slots of their own; a long text is encoded
+whole and cut into pieces only afterwards; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -98,6 +100,18 @@ def plan_bins(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int,
     return plan, bins
 
 
+def least_bins(histogram: dict[int, int], capacity: int) -> int:
+    """No packing has fewer bins: for each ``small``, pieces over ``capacity - small`` stand alone, those over half never share, and what the rest over ``small`` still needs."""
+    longest, best = sorted(histogram), 0
+    for small in [0, *(n for n in longest if n <= capacity // 2)]:
+        alone = sum(histogram[n] for n in longest if n > capacity - small)
+        halves = [n for n in longest if capacity // 2 < n <= capacity - small]
+        room = sum(histogram[n] * (capacity - n) for n in halves)
+        rest = sum(histogram[n] * n for n in longest if max(small, 1) <= n <= capacity // 2)
+        best = max(best, alone + sum(histogram[n] for n in halves) + max(0, -(-(rest - room) // capacity)))
+    return best
+
+
 def assign(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``.  ``pieces`` should be a written table, as it is read twice."""
     spark = pieces.sparkSession
@@ -115,8 +129,11 @@ def assign(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     base = base.select("length", "_salt", F.coalesce("_base", F.lit(0)).alias("_base"))
     ranked = salted.withColumn("_row", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
     placed = ranked.join(base, ["length", "_salt"]).withColumn("_rank", F.col("_row") + F.col("_base")).join(F.broadcast(table), "length")
-    k = F.size(F.filter("_ranks", lambda x: x <= F.col("_rank")))
-    slot = placed.withColumn("_k", k)
+    longest = max((len(v[0]) for v in slots.values()), default=1)
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(longest.bit_length()))])
+    # binary search for the last slot that starts at the piece's rank or before
+    k = F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get("_ranks", low + step) <= F.col("_rank"), low + step).otherwise(low))
+    slot = placed.withColumn("_k", k + 1)
     at = lambda c: F.element_at(c, F.col("_k"))
     return slot.select(*pieces.columns, (at("_firsts") + F.col("_rank") - at("_ranks")).alias("sequence_id"), at("_offsets").cast("long").alias("offset"))
 
