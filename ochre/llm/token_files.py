@@ -2,17 +2,18 @@
 
 ``write_token_files`` deals documents by ``doc_id`` into shards; a task encodes its
 documents in order and writes three flat files a shard: the ids, the 64-bit place
-where each document starts, and the document ids.  A manifest row a shard comes back
-to the driver (their number is that of the shuffle partitions), and each shard's
-base is the prefix sum of the token counts before it.  ``read_token_files`` maps
-the files into memory again.
+where each document starts, and the document ids.  There is a shard for each
+``SHARD_BYTES`` of text, and one for each shuffle partition at least.  A manifest row a
+shard comes back to the driver, and each shard's base is the prefix sum of the token
+counts before it.  ``read_token_files`` maps the files into memory again; from a store
+that can't be mapped it reads the ids of some documents at a time.
 
 A task writes under a name of its own and a shard counts only once the manifest names
 it, so a repeated or speculative task leaves nothing that is read.
 
 Defined results: a null text is empty (only the end id); a null ``doc_id`` sorts
 before all others; rows with equal ``doc_id`` are ordered by a hash of their text;
-an empty table gives no shard; other columns are ignored.
+a long text is encoded whole; an empty table gives no shard; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ from .common import blocks, filesystem, map_arrow, shared_dir, shuffle_partition
 from .tokens import encoder, vocabulary
 
 MANIFEST = "shard string, first_doc long, first_hash long, n_docs long, n_null long, n_tokens long, width int"
+#: Bytes of text a shard, about.
+SHARD_BYTES = 256 << 20
+DOCS_AT_ONCE = 4096
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -44,15 +48,21 @@ class Shard(NamedTuple):
     width: int
 
 
-def _mapped(uri: str, dtype: str) -> np.ndarray:
-    """A flat file as an array: memory-mapped where the store is a mounted one, else read."""
-    store, path = filesystem(uri)
-    if store.type_name == "local":
-        if not store.get_file_info(path).size:
-            return np.zeros(0, dtype)
-        return np.memmap(path, dtype, "r")
-    with store.open_input_file(path) as file:
-        return np.frombuffer(file.read(), dtype)
+class Flat:
+    """A flat file of numbers: memory-mapped where the store is a mounted one, else read by ranges."""
+
+    def __init__(self, uri: str, dtype: str):
+        store, path = filesystem(uri)
+        self.dtype = np.dtype(dtype)
+        size = store.get_file_info(path).size
+        self.mapped = (np.memmap(path, self.dtype, "r") if size else np.zeros(0, self.dtype)) if store.type_name == "local" else None
+        self.file = store.open_input_file(path) if self.mapped is None else None
+
+    def __getitem__(self, span: slice) -> np.ndarray:
+        if self.mapped is not None:
+            return self.mapped[span]
+        width = self.dtype.itemsize
+        return np.frombuffer(self.file.read_at((span.stop - span.start) * width, span.start * width), self.dtype)
 
 
 def write_token_files(documents: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 0) -> list[Shard]:
@@ -87,7 +97,8 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer: str | None =
             )
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    dealt = rows.repartitionByRange(shuffle_partitions(spark), "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash")
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    dealt = rows.repartitionByRange(max(shuffle_partitions(spark), -(-size // SHARD_BYTES)), "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash")
     manifest = map_arrow(dealt, shard, MANIFEST).collect()  # a row a shard
     manifest.sort(key=lambda r: (r.first_doc is not None, r.first_doc or 0, r.first_hash))
     shards, base, doc_base = [], 0, 0
@@ -103,14 +114,16 @@ def read_token_files(spark: SparkSession, folder: str, shards: list[Shard]) -> D
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                ids = _mapped(f"{folder}/{r['shard']}.ids", f"<u{r['width']}")
-                starts, docs = _mapped(f"{folder}/{r['shard']}.starts", "<i8"), _mapped(f"{folder}/{r['shard']}.docs", "<i8")
-                for i in range(0, r["n_docs"], 4096):
-                    own = starts[i : i + 4096]
-                    ends = np.append(starts[i + 1 : i + 4097], r["n_tokens"])[: len(own)]
+                ids = Flat(f"{folder}/{r['shard']}.ids", f"<u{r['width']}")
+                starts, docs = Flat(f"{folder}/{r['shard']}.starts", "<i8"), Flat(f"{folder}/{r['shard']}.docs", "<i8")
+                for i in range(0, r["n_docs"], DOCS_AT_ONCE):
+                    stop = min(i + DOCS_AT_ONCE, r["n_docs"])
+                    own = starts[i : min(stop + 1, r["n_docs"])]
+                    ends = np.append(own, r["n_tokens"])[1 : stop - i + 1]
+                    own = own[: stop - i]
                     crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(own.tolist(), ends.tolist())]
-                    null = np.arange(i, i + len(own)) < r["n_null"]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.asarray(docs[i : i + 4096]), mask=null), pa.array(own + r["base"]), pa.array(ends - own), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    null = np.arange(i, stop) < r["n_null"]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.asarray(docs[i:stop]), mask=null), pa.array(own + r["base"]), pa.array(ends - own), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     table = spark.createDataFrame(shards, "shard string, base long, doc_base long, n_docs long, n_null long, n_tokens long, width int")
     return map_arrow(table.repartition(max(1, min(len(shards), shuffle_partitions(spark)))), read, DOCUMENTS)
