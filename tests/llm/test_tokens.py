@@ -1,7 +1,11 @@
+import os
 import random
 import zlib
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
+import pytest
 from corpora import documents, empty, odd_texts, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,8 +18,16 @@ from ochre.llm.tokens import encoder, vocabulary
 PIECES = ["the", "of", " ", "  ", "\n", "\t", "'s", "é", "日", "😀", "12", ".", "!?", "\u00a0", "\u3000", "\x1c", "<|endoftext|>"]
 
 
+@lru_cache
+def fresh():
+    """The library's own tokenizer, apart from the engine's."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary())
+
+
 def library_ids(text):
-    return encoder(vocabulary()).library.encode(text or "", add_special_tokens=False).ids
+    return fresh().encode(text or "", add_special_tokens=False).ids
 
 
 @settings(max_examples=300, deadline=None)
@@ -52,6 +64,36 @@ def test_forgetting_words_changes_nothing(monkeypatch):
         assert own.encode(text).tolist() == library_ids(text)
 
 
+def test_words_with_one_key_are_told_apart(monkeypatch):
+    from ochre.llm import tokens
+
+    few = lambda data, starts, lengths: lengths.astype(np.uint64) % np.uint64(3)
+    monkeypatch.setattr(tokens, "piece_hashes", few)
+    monkeypatch.setattr(tokens.WordwiseEncoder, "_first_bytes", staticmethod(lambda data, starts, lengths: np.zeros(len(starts), np.uint64)))
+    own = tokens.WordwiseEncoder(vocabulary())
+    for text in (" one", " two", " six one", "the end of <|endoftext|> it", "é  日本"):  # the first words stay known
+        assert own.encode(text).tolist() == library_ids(text)
+
+
+def long_text():
+    r = random.Random(9)
+    return (prose(r, 4000) + " \n é <|endoftext|> x  ") * 125
+
+
+def test_a_long_text(spark):
+    text = long_text()
+    assert len(text) > 3_000_000
+    ids = [*library_ids(text), 0]
+    docs = documents(spark, ["a b", text, None])
+    row = token_files.token_files(docs).where("doc_id = 1").first()
+    assert (row["start"], row["n_tokens"], row["ids_crc32"]) == (len(library_ids("a b")) + 1, len(ids), crc(ids))
+    pieces = packing.pack_documents(docs).where("doc_id = 1").orderBy("piece").collect()
+    assert sum(p["length"] for p in pieces) == len(ids) and all(p["length"] == 2048 for p in pieces[1:])
+    assert all(crc(ids[p["start"] : p["start"] + p["length"]]) == p["ids_crc32"] for p in pieces)
+    counts = token_rollups.count_tokens(docs, "byte_bpe_50k", vocabulary())
+    assert {r["doc_id"]: r["n_tokens"] for r in counts.collect()} == {0: len(library_ids("a b")), 1: len(ids) - 1, 2: 0}
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
@@ -72,6 +114,25 @@ def test_token_files_of_odd_tables(spark):
     assert [r["doc_id"] for r in rows] == [None, 0, 0, 1] and rows[-1]["start"] == sum(r["n_tokens"] for r in rows[:-1])
 
 
+def test_files_of_a_store_that_cannot_be_mapped(tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    (tmp_path / "x").write_bytes(np.arange(100, dtype="<u2").tobytes())
+    mapped = token_files.Flat(str(tmp_path / "x"), "<u2")
+    monkeypatch.setattr(token_files, "filesystem", lambda uri: (fs.SubTreeFileSystem("/", fs.LocalFileSystem()), uri))
+    ranged = token_files.Flat(str(tmp_path / "x"), "<u2")
+    assert mapped.mapped is not None and ranged.mapped is None
+    assert mapped[30:40].tolist() == ranged[30:40].tolist() == list(range(30, 40)) and ranged[5:5].tolist() == []
+
+
+def test_shards_by_size(spark, monkeypatch):
+    whole = sorted(map(tuple, token_files.token_files(documents(spark)).collect()))
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 1000)
+    monkeypatch.setattr(token_files, "DOCS_AT_ONCE", 2)
+    assert len(token_files.write_token_files(documents(spark), scratch(spark, "t"))) > 4
+    assert sorted(map(tuple, token_files.token_files(documents(spark)).collect())) == whole
+
+
 def test_packing(spark):
     rows = packing.pack_documents(documents(spark), capacity=64).collect()
     pieces: dict = {}
@@ -147,3 +208,60 @@ def test_rollups(spark):
     assert {r["tokenizer_version"] for r in store.totals().collect()} == {"multi"}
     assert store.commit("gone", token_rollups.deleted(second)) and store.totals().count() == 0
     assert store.commit("nothing", token_rollups.inserted(counts.limit(0))) and store.batches() == ["a/b", "gone", "nothing", "recount"]
+
+
+def test_rollups_compact_and_refuse_other_changes(spark):
+    docs = documents(spark, ["one", "two words", None, "so on and on"]).withColumn("tokenizer_version", F.lit("x")).withColumn("sign", F.lit(9))
+    counts = token_rollups.count_tokens(docs.unionByName(docs), "byte_bpe_50k", vocabulary())  # repeated rows count each
+    assert sum(r["n_docs"] for r in counts.groupBy().agg(F.count("*").alias("n_docs")).collect()) == 8
+    store = token_rollups.RollupStore(spark, scratch(spark, "rollups"))
+    store.compact()
+    for k in range(3):
+        assert store.commit(f"b{k}", token_rollups.inserted(counts))
+        wanted = sorted(map(str, store.totals().collect()))
+        store.compact()
+        assert sorted(map(str, store.totals().collect())) == wanted and store.batches() == [f"b{i}" for i in range(k + 1)]
+        assert not any(store.commit(f"b{i}", token_rollups.inserted(counts)) for i in range(k + 1))
+        assert sorted(map(str, store.totals().collect())) == wanted
+    assert len(store._names("base=")) == 2 and len(store._names("batch=")) == 1  # what the base before held is gone
+    for changes in (token_rollups.deleted(counts), token_rollups.inserted(counts.limit(3))):
+        with pytest.raises(ValueError, match="other changes"):
+            store.commit("b1", changes)
+    assert sorted(map(str, store.totals().collect())) == wanted and not store._names("_attempt")
+
+
+def best_possible(lengths, capacity):
+    """The least number of bins, by trying every way."""
+    best = len(lengths)
+
+    def place(k, free):
+        nonlocal best
+        if len(free) >= best:
+            return
+        if k == len(lengths):
+            best = len(free)
+            return
+        for i in sorted({f: i for i, f in enumerate(free) if f >= lengths[k]}.values()):
+            place(k + 1, [f - lengths[k] if j == i else f for j, f in enumerate(free)])
+        place(k + 1, [*free, capacity - lengths[k]])
+
+    place(0, [])
+    return best
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=9))
+def test_bins_are_bounded_from_below(lengths):
+    histogram = {n: lengths.count(n) for n in set(lengths)}
+    lengths.sort(reverse=True)
+    assert packing.least_bins(histogram, 12) <= best_possible(lengths, 12) <= packing.plan_bins(histogram, 12)[1]
+
+
+def test_sequences_of_a_real_table_are_as_few_as_can_be(spark):
+    folder = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(folder):
+        pytest.skip("no test tables here")
+    rows = packing.pack_documents(spark.read.parquet(folder)).select("length", "sequence_id").collect()
+    histogram = Counter(r["length"] for r in rows)
+    used, least = len({r["sequence_id"] for r in rows}), packing.least_bins(histogram, 2048)
+    assert least <= used <= least + 1 + least // 200, (used, least)
