@@ -7,15 +7,18 @@ ordered thresholds turn it into the probability of each grade or better:
 and tail probabilities.
 
 The fit uses at most ``max_rows`` labelled documents, those with the smallest hashes
-of their ids; their features come to the driver, so ``max_rows`` bounds its memory.
+of their ids, and of each at most ``max_features`` features, those with the smallest
+numbers; these come to the driver, so the two parameters bound its memory.
 Scoring is one pass without a shuffle; the weights (4 bytes a hash bucket) are sent
 to each executor once.
 
 Defined results: null or empty text has no word features and gets the score of its
-empty levels; several grades of a document count as the lowest; rows without a grade
-are not trained on; with fewer than two grades present every document gets the one
-grade there is (the best grade if there is none); tables may be empty; other columns
-pass through, and input columns named like an output are replaced.
+empty levels; several grades of a document count as the lowest; of rows that share a
+``doc_id`` one is trained on; rows without a grade are not trained on; equal texts get
+equal scores wherever they stand; a long text is scored whole; with fewer than two grades
+present every document gets the one grade there is (the best grade if there is none);
+tables may be empty; other columns pass through, and input columns named like an output
+are replaced.
 """
 
 from __future__ import annotations
@@ -71,8 +74,9 @@ class OrdinalModel:
     bits: int = BITS
 
     def scores(self, index: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0.0], np.cumsum(self.weights[index], dtype=np.float64)])
-        return sums[starts[1:]] - sums[starts[:-1]]
+        """Each document's sum by itself, in the order of its features."""
+        doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        return np.bincount(doc, self.weights[index].astype(np.float64), len(starts) - 1)
 
     def above(self, scores: np.ndarray) -> np.ndarray:
         """P(grade > j) for each j, a row a document."""
@@ -117,7 +121,7 @@ def fit_ordinal(index: np.ndarray, starts: np.ndarray, grades: np.ndarray, n_gra
     return OrdinalModel(weights.astype(np.float32), thresholds, bits)
 
 
-def fit(documents: DataFrame, grades: DataFrame, n_grades: int, max_rows: int = 20_000, bits: int = BITS, min_rows: int = 3) -> OrdinalModel:
+def fit(documents: DataFrame, grades: DataFrame, n_grades: int, max_rows: int = 20_000, bits: int = BITS, min_rows: int = 3, max_features: int = 1 << 15) -> OrdinalModel:
     """Fits on ``documents`` with ``grades`` (doc_id, grade from 0): at most ``max_rows`` of them, on features that at least ``min_rows`` of those have."""
     graded = grades.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     sample = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # bounded, so it may be broadcast
@@ -126,16 +130,17 @@ def fit(documents: DataFrame, grades: DataFrame, n_grades: int, max_rows: int =
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
             index, starts = features(*text_bytes(batch, "text"), bits)
-            own = [index[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+            own = [index[a : min(b, a + max_features)].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array(own, pa.binary())], names=["doc_id", "grade", "index"])
 
-    found = map_arrow(rows, extract, "doc_id long, grade int, index binary").toArrow().sort_by([("doc_id", "ascending"), ("index", "ascending")])
-    parts = [np.frombuffer(x, np.int32) for x in found["index"].to_pylist()][:max_rows]
+    one = map_arrow(rows, extract, "doc_id long, grade int, index binary").groupBy("doc_id").agg(F.min(F.struct("index", "grade")).alias("_r"))  # a row a document of the sample
+    found = one.select("doc_id", "_r.grade", "_r.index").toArrow().sort_by("doc_id")
+    parts = [np.frombuffer(x, np.int32) for x in found["index"].to_pylist()]
     starts = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
     index = np.concatenate(parts) if parts else np.zeros(0, np.int32)
     common = np.bincount(index, minlength=1 << bits)[index] >= min_rows
     starts, index = np.concatenate([[0], np.cumsum(common)])[starts], index[common]
-    return fit_ordinal(index, starts, found["grade"].to_numpy()[:max_rows].astype(np.int64), n_grades, bits)
+    return fit_ordinal(index, starts, found["grade"].to_numpy().astype(np.int64), n_grades, bits)
 
 
 def score(documents: DataFrame, model: OrdinalModel, tail_grade: int, least: float = 0.5, prefix: str = "") -> DataFrame:

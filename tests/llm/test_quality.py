@@ -1,7 +1,10 @@
+import math
 import random
+import re
 
 import numpy as np
-from corpora import documents, empty, prose
+import pytest
+from corpora import documents, empty, odd_texts, prose
 
 from ochre.llm import quality
 
@@ -50,6 +53,70 @@ def test_the_sample_is_bounded(spark):
     assert seen == [30]
 
 
+def test_repeated_ids_count_once(spark):
+    rows = labelled(60)
+    docs = documents(spark, [t for t, _ in rows])
+    grades = spark.createDataFrame([(k, g) for k, (_, g) in enumerate(rows)], "doc_id long, grade int")
+    once = quality.fit(docs, grades, n_grades=3)
+    many = docs
+    for _ in range(5):
+        many = many.unionByName(docs.where("doc_id = 7"))
+    assert (quality.fit(many, grades.unionByName(grades), n_grades=3).weights == once.weights).all()
+    fewer = quality.fit(many, grades, n_grades=3, max_features=4)
+    assert np.count_nonzero(fewer.weights) <= 4 * 60
+
+
+def test_equal_texts_get_equal_scores(spark):
+    rows = labelled(90)
+    texts = [t for t, _ in rows] * 3 + ["x " * 300_000, "", None]
+    docs = documents(spark, texts).repartition(5)
+    model = quality.fit(docs, spark.createDataFrame([(k, g) for k, (_, g) in enumerate(rows)], "doc_id long, grade int"), n_grades=3)
+    by: dict = {}
+    for r in quality.score(docs, model, tail_grade=2).collect():
+        by.setdefault(r["text"] or "", set()).add((r["score"], r["expected_grade"], r["tail"]))
+    assert all(len(x) == 1 for x in by.values()) and len(by) == len({t or "" for t in texts})
+
+
+def features_by_hand(text, bits):
+    """The hashed features of one text, by whole numbers and loops."""
+    m = (1 << 64) - 1
+
+    def mixed(h):
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & m
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & m
+        return h ^ h >> 31
+
+    def hashed(piece):
+        total, power = len(piece) * 0xD6E8FEB86659FD93, 1
+        for byte in piece:
+            total += power * (byte + 1)
+            power = power * 0x9E3779B97F4A7C15 & m
+        return mixed(total & m)
+
+    raw = re.sub(rb"[A-Z]", lambda x: x[0].lower(), text.encode())
+    pieces = re.findall(rb"[0-9a-z\x80-\xff]+|[\x21-\x2f\x3a-\x60\x7b-\x7f]+", raw)
+    keys = {hashed(p) & (1 << bits) - 1 for p in pieces}
+    n = len(pieces)
+    again = sum(a == b for a, b in zip(pieces, pieces[1:]))
+    marks = sum(not re.match(rb"[0-9a-z\x80-\xff]", p) for p in pieces)
+    share = lambda part: 10 * part // n if n else 11
+    levels = [share(again), share(marks), share(min(len(keys), n)), min(n, 64) // 8]
+    return keys | {mixed(level + 1000 * k) & (1 << bits) - 1 for k, level in enumerate(levels, 1)}
+
+
+def test_scores_by_hand(spark):
+    rows = labelled(80)
+    docs = documents(spark)
+    texts = [t or "" for t in odd_texts()]
+    model = quality.fit(documents(spark, [t for t, _ in rows]), spark.createDataFrame([(k, g) for k, (_, g) in enumerate(rows)], "doc_id long, grade int"), n_grades=3)
+    for r in quality.score(docs, model, tail_grade=1, least=0.7).collect():
+        keys = features_by_hand(texts[r["doc_id"]], model.bits)
+        score = math.fsum(float(model.weights[k]) for k in keys)
+        above = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+        assert r["score"] == pytest.approx(score, abs=1e-9) and r["expected_grade"] == pytest.approx(sum(above), abs=1e-9)
+        assert r["tail"] == pytest.approx(above[0], abs=1e-9) and r["keep"] == (r["tail"] >= 0.7)
+
+
 def test_gradients():
     r = np.random.default_rng(3)
     index, starts = r.integers(0, 16, 60).astype(np.int32), np.arange(0, 61, 3)
