@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,9 @@ BLOCK_BYTES = 1 << 20
 BATCH_BYTES = 8 << 20
 
 _own_dir: dict[str, str] = {}
+#: Paths written, by application, and where tables that were read back lie.
+_made: dict[str, list[str]] = {}
+_lies_at: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
@@ -51,14 +56,58 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/ochre/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/ochre/{what}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: its lineage ends there."""
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    _lies_at[back] = path
+    return back
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end what was written to the shared folder within, but for the tables given to the function it yields."""
+    made = _made.setdefault(spark.sparkContext.applicationId, [])
+    first, kept = len(made), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(_lies_at[df])
+        return df
+
+    try:
+        yield keep
+    finally:
+        own = made[first:]
+        made[first:] = [p for p in own if p in kept]
+        for path in own:
+            if path not in kept:
+                _delete(spark, path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table of ``written`` that nothing will read any more."""
+    path = _lies_at.pop(df)
+    made = _made.get(df.sparkSession.sparkContext.applicationId, [])
+    if path in made:
+        made.remove(path)
+    _delete(df.sparkSession, path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all that this application's operators have left in the shared folder; results that were not saved go with it."""
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

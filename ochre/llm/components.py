@@ -3,7 +3,7 @@
 Each round hangs every vertex's larger neighbours on its smallest one, then every
 vertex and its smaller neighbours likewise, until nothing changes; the number of
 rounds grows with the logarithm of the largest component.  Edges are written to the
-shared folder after each round, so lineage stays short.  Minima are combined before
+shared folder after each round, so lineage stays short; those of the round before go.  Minima are combined before
 the shuffle and the joins can be split where one vertex has very many edges.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, temporary, written
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -21,7 +21,12 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """``edges`` (u, v) to (vertex, component): the smallest vertex that can be reached.  Vertices without edges don't appear."""
+    """``edges`` (u, v) to (vertex, component), a written table: the smallest vertex that can be reached.  Vertices without edges don't appear."""
+    with temporary(edges.sparkSession) as keep:
+        return keep(written(_components(edges), "components"))
+
+
+def _components(edges: DataFrame) -> DataFrame:
     edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     mark = _mark(edges)
     while mark[0]:
@@ -31,7 +36,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small_least = large.where("u <> v").groupBy("u").agg(F.min("v").alias("m"))
         small = large.where("u <> v").join(small_least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        edges = written(small.where("u <> v").distinct(), "edges")
+        last, edges = edges, written(small.where("u <> v").distinct(), "edges")
+        discard(last)
         last, mark = mark, _mark(edges)
         if last == mark:
             break

@@ -15,8 +15,9 @@ Defined results: words are runs of letters and digits (and all non-ASCII) of the
 lower-cased by Spark's ``lower``; null or empty texts have none and match nothing; an item with fewer
 words than a seed has is one seed as a whole; an item without words matches nothing;
 repeated items match each; rows that agree in ``doc_id`` and text are one document;
-rows with a null ``doc_id`` are judged like others; tables may be empty; other
-columns are ignored.
+rows with a null ``doc_id`` are judged like others; a long text is taken whole, in memory
+of about thirty times its bytes; of equally good alignments the first counts; tables may
+be empty; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ from .hashing import mixed, piece_hashes, runs
 
 SEED_WORDS = 4
 BLOCK_ITEMS_BYTES = 16 << 20
-SENT_ROWS = 300_000
+#: Bytes of the table of documents to be dropped that may be sent to executors, at 24 a row.
+SENT_BYTES = 8 << 20
 PART_POSTINGS = 1 << 20
 #: Starts the names of columns that meet the input's in a join.
 OWN = "__decontaminate_"
@@ -57,7 +59,7 @@ def ngrams(words: np.ndarray, n: int = SEED_WORDS) -> np.ndarray:
     """The hash of the ``n`` words from each place on; meaningless where a text ends before."""
     with np.errstate(over="ignore"):
         out = np.zeros(len(words), np.uint64)
-        for k in range(n):
+        for k in range(min(n, len(words))):
             out[: len(words) - k] += words[k:] * _SEEDS[k]
     return mixed(out)
 
@@ -218,7 +220,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, least: float = 0.5)
 def decontaminate(documents: DataFrame, benchmark: DataFrame, least: float = 0.5) -> DataFrame:
     """``documents`` without those in which an item stands."""
     bad = written(contaminated(documents, benchmark, least).select(F.col("doc_id").alias(f"{OWN}d"), F.col("text_hash").alias(f"{OWN}t")).distinct(), "contaminated")
-    if bad.count() <= SENT_ROWS:
+    if 24 * bad.count() <= SENT_BYTES:
         bad = F.broadcast(bad)
     own = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     return documents.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(f"{OWN}d")) & (own == F.col(f"{OWN}t")), "left_anti")

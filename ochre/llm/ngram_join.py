@@ -19,13 +19,14 @@ Only pairs of different components are ever candidates in step 3, so a group of
 copies doesn't make all its pairs.
 
 What is sent to executors is bounded: the sketch (``2 ** SKETCH_BITS`` bytes, through
-files in the shared folder), and sets of ids or shingles of at most ``SENT_ROWS``
-rows; with more rows a shuffle join takes their place.
+files in the shared folder), and sets of ids or shingles of at most ``SENT_BYTES``;
+beyond that a shuffle join takes their place.
 
 Defined results: null or empty text, or one without words, has 0 shingles and is its
 own component; a text with fewer than five words is one shingle; a row with a null
 ``doc_id`` is linked with nothing and its component is null; rows that share a
-``doc_id`` are one node; an empty table gives no rows; other columns are ignored.
+``doc_id`` are one node; a long text is taken whole; an empty table gives no rows; other
+columns are ignored.  The result is a written table.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, filesystem, map_arrow, scratch, shuffle_partitions, text_bytes, written
+from .common import blocks, filesystem, map_arrow, scratch, shuffle_partitions, temporary, text_bytes, written
 from .components import connected_components
 from .hashing import LOWER, mixed, piece_hashes, spaced_words
 
@@ -48,8 +49,10 @@ WORDS = 5
 PART, WHOLE = 4, 5
 MINIMA = 4
 SKETCH_BITS, CHUNK_BITS = 25, 17
-SENT_ROWS = 1_000_000
-STAR_ROWS = 256
+#: Bytes of a set of ids or shingles that may be sent to executors, at 16 a row as Spark hashes it.
+SENT_BYTES = 16 << 20
+#: Members of a star that one task compares with its hub.
+STAR_ROWS = 64
 _SEEDS = mixed(np.arange(1, 64, dtype=np.uint64))
 
 
@@ -62,7 +65,7 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     word = piece_hashes(LOWER[data], starts, lengths)
     with np.errstate(over="ignore"):
         whole = np.zeros(len(word), np.uint64)
-        for k in range(WORDS):
+        for k in range(min(WORDS, len(word))):
             whole[: len(word) - k] += word[k:] * (_SEEDS[k] | np.uint64(1))
         n = np.bincount(text, minlength=texts)
         first = np.cumsum(n) - n
@@ -187,8 +190,8 @@ def _check_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if it has few rows; a written table, as it is counted."""
-    return F.broadcast(df) if df.count() <= SENT_ROWS else df
+    """``df``, of one or two numbers a row, marked for broadcast if it is small; a written table, as it is counted."""
+    return F.broadcast(df) if 8 * (1 + len(df.columns)) * df.count() <= SENT_BYTES else df
 
 
 def verified_links(documents: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -243,6 +246,11 @@ def _cross_pairs(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
 
 def similar_documents(documents: DataFrame) -> DataFrame:
     """A row a document: ``doc_id, n_shingles, component_id``."""
+    with temporary(documents.sparkSession) as keep:
+        return keep(written(_similar(documents), "similar"))
+
+
+def _similar(documents: DataFrame) -> DataFrame:
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     marks = written(map_arrow(rows, _marks, MARKS), "marks")
     known = marks.where("chunk is null")
@@ -251,8 +259,14 @@ def similar_documents(documents: DataFrame) -> DataFrame:
     real = rows.where("doc_id is not null")
 
     links = verified_links(real, _star_pairs(classes))
+    # a doc_id that comes with several sets ties their classes together
+    sets = F.struct("n", "s1", "s2")
+    split = known.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(sets).alias("_a"), F.max(sets).alias("_b")).where("_a <> _b").select("doc_id")
+    if split.take(1):
+        of = known.join(split, "doc_id").join(classes.select("n", "s1", "s2", "id"), ["n", "s1", "s2"]).select("doc_id", "id").distinct()
+        links = links.unionByName(of.join(of.groupBy("doc_id").agg(F.min("id").alias("v")), "doc_id").where("id <> v").select(F.col("id").alias("u"), "v"))
     nodes = classes.select("id").distinct()
-    first = written(connected_components(links), "components")
+    first = connected_components(links)
     labels = written(nodes.join(first, F.col("id") == F.col("vertex"), "left").select("id", F.coalesce("component", "id").alias("component")), "labels")
     # of documents with equal sets only one needs a prefix
     more = verified_links(real, _cross_pairs(_prefixes(real.join(_small(labels.select("id")), F.col("doc_id") == F.col("id"), "left_semi"), _sketch(marks)), labels))

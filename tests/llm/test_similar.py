@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -7,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ochre.llm import ngram_join
+from ochre.llm import decontaminate, ngram_join
 from ochre.llm.components import connected_components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -68,7 +69,7 @@ def test_without_hubs_the_prefixes_find_all(spark, monkeypatch):
 
 def test_with_shuffles_instead_of_broadcasts(spark, monkeypatch):
     texts = corpus()[:50]
-    monkeypatch.setattr(ngram_join, "SENT_ROWS", -1)
+    monkeypatch.setattr(ngram_join, "SENT_BYTES", -1)
     monkeypatch.setattr(ngram_join, "STAR_ROWS", 2)
     assert found(documents(spark, texts)) == brute(texts)
 
@@ -80,12 +81,35 @@ def test_odd_tables(spark):
     result = ngram_join.similar_documents(rows).collect()
     assert sorted((r["doc_id"], r["component_id"]) for r in result if r["doc_id"] is not None) == [(0, 0), (0, 0), (1, 0)]
     assert [r["component_id"] for r in result if r["doc_id"] is None] == [None]
-    from ochre.llm.common import written
-
-    kept = ngram_join.one_of_each(rows, written(ngram_join.similar_documents(rows), "t"))
+    kept = ngram_join.one_of_each(rows, ngram_join.similar_documents(rows))
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [0, None]
 
 
+def test_an_id_with_several_texts_is_one_node(spark):
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    rows = documents(spark, [a, b, "else"]).withColumn("doc_id", F.lit(5).cast("long")).where("text <> 'else'").unionByName(documents(spark, ["", "", "", b, "so on and on it goes"]).where("doc_id >= 3"))
+    result = sorted((r["doc_id"], r["component_id"]) for r in ngram_join.similar_documents(rows).collect())
+    assert result == [(3, 3), (4, 4), (5, 3), (5, 3)]
+    assert sorted(r["doc_id"] for r in ngram_join.one_of_each(rows, ngram_join.similar_documents(rows)).collect()) == [3, 4]
+
+
+def test_long_texts_and_scratch(spark):
+    r = random.Random(12)
+    long = prose(r, 250_000)
+    assert len(long) > 1_500_000
+    changed = " ".join("x" if k % 40 == 0 else w for k, w in enumerate(long.split(" ")))
+    texts = [long, changed, "short one", long + " and more"]
+    assert found(documents(spark, texts)) == brute(texts)
+    from ochre.llm.common import _made, clear_scratch
+
+    left = _made[spark.sparkContext.applicationId]
+    assert left and all(os.path.exists(p) for p in left) and not [p for p in left if "/edges-" in p or "/marks-" in p]
+    mine = ngram_join.similar_documents(documents(spark, texts))
+    assert mine.count() == 4
+    clear_scratch(spark)
+    assert not any(os.path.exists(p) for p in left)
+
+
 @settings(max_examples=6, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=14))
 def test_components(spark, edges):
@@ -102,6 +126,14 @@ def test_long_chain(spark):
     assert len(rows) == 61 and {r["component"] for r in rows} == {0}
 
 
+def test_blocks_of_few_words():
+    for text in ("a", "a b", "a b c", "a b c d", ""):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        assert len(ngram_join.shingle_sets(raw, np.array([0, len(raw)]))[0]) == bool(text)
+        words, _ = decontaminate.word_hashes(raw, np.array([0, len(raw)]))
+        assert len(decontaminate.ngrams(words)) == len(words) == len(text.split())
+
+
 def test_hashes_of_shingles_are_sets():
     texts = [t for t in odd_texts() if t]
     raw = [t.encode() for t in texts]

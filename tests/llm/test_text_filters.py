@@ -93,6 +93,26 @@ def test_urls(spark):
     assert url_reputation.judge_urls(pages.limit(0), table.select(F.col("doc_id").alias("page_id"), bad.alias("bad")), []).count() == 0
 
 
+def test_many_rules_are_joined(spark, monkeypatch):
+    r = random.Random(5)
+    rules = [Rule(f"{h}{p}", r.choice(["allow", "block"])) for h in ("com", "example.com", "a.example.com", "net", "co.uk") for p in ("/", "/en/", "/en/7", "/de", "/" + "x" * 50)] + [Rule("com/en/", "block"), Rule("com/en/", "allow")]
+    urls = [None, "", "nope", "http://com/en/7", "a://A.Example.com/en/77?x", "http://b.example.com/de", "http://example.com" + "/" + "x" * 5000, "http://.com/en/", "http://q.co.uk/", "http://q.co.uk/"] * 2
+    urls += [f"https://{r.choice(['a.example.com', 'example.com', 'x.net', 'y.co.uk', 'z.org', 'wexample.com'])}/{r.choice(['en/', 'de', 'en/7', 'x' * 51, ''])}{r.randint(1, 9)}" for _ in range(300)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("_rule", F.lit(1)).withColumn("host", F.lit("q"))
+    outcomes = spark.createDataFrame([(k, k % 3 == 0) for k in range(200)], "page_id long, bad boolean")
+    few = sorted(map(str, url_reputation.judge_urls(pages, outcomes, rules).collect()))
+    monkeypatch.setattr(url_reputation, "INLINE_RULES", 0)
+    many = url_reputation.judge_urls(pages, outcomes, rules).collect()
+    assert sorted(map(str, many)) == few and len(many) == len(urls) and len({r["rule"] for r in many}) > 10
+    lots = rules + [Rule(f"h{k}.org/p{k}", "block") for k in range(3000)]
+    assert sorted(map(str, url_reputation.judge_urls(pages, outcomes, lots).collect())) == few
+
+
+def test_public_suffixes(spark):
+    of = lambda host, own: spark.range(1).select(url_reputation.registered_domain(F.lit(host), own).alias("d")).first()["d"]
+    assert [of(h, ("co.uk", "a.b.kobe.jp", "b.kobe.jp")) for h in ("x.y.co.uk", "co.uk", "y.com", "q.w.b.kobe.jp", "q.a.b.kobe.jp", "com")] == ["y.co.uk", "co.uk", "y.com", "w.b.kobe.jp", "q.a.b.kobe.jp", "com"]
+
+
 def brute_base(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     places = [(k, label) for phrase, label in license_scan.BASE.items() for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
@@ -245,6 +265,20 @@ def test_contamination_in_capitals(spark):
     assert [r["doc_id"] for r in decontaminate.decontaminate(documents(spark, texts), bench).collect()] == [4]
 
 
+def test_contamination_of_long_texts(spark, monkeypatch):
+    r = random.Random(10)
+    item = prose(r, 40)
+    long = prose(r, 90_000) + " " + every(item.split(" "), 7, 3) + " " + prose(r, 90_000)
+    assert len(long) > 1_000_000
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = documents(spark, [long, prose(r, 50), item])
+    rows = decontaminate.contaminated(docs, bench).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in rows} == {(0, 1), (2, 1)} and all(x["start_word"] >= 90_000 for x in rows if x["doc_id"] == 0)
+    sent = [x["doc_id"] for x in decontaminate.decontaminate(docs, bench).collect()]
+    monkeypatch.setattr(decontaminate, "SENT_BYTES", -1)  # a shuffle in place of the broadcast
+    assert [x["doc_id"] for x in decontaminate.decontaminate(docs, bench).collect()] == sent == [1]
+
+
 def test_contamination_of_odd_tables(spark):
     bench = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
     assert decontaminate.contaminated(empty(spark), bench).count() == 0
