@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_media(media.encode_media(_table(spark, sf_dir, "documents"), "text"))
+    return media.media_digests(_table(spark, sf_dir, "documents"), "text")
 
 
 def op2_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -6,6 +7,7 @@ import pytest
 from corpora import documents, empty, odd_texts
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ochre.llm import flac, media
 
@@ -14,23 +16,82 @@ def padded(raw):
     return raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
 
 
+def feature_by_hand(payload):
+    x = [b - 128 for b in payload]
+    pairs = list(zip(x, x[1:]))
+    return f"n={len(x)};peak={max(map(abs, x))};sum={sum(x)};energy={sum(v * v for v in x)};crossings={sum((a < 0) != (b < 0) for a, b in pairs)};steps={sum(abs(a - b) for a, b in pairs)}"
+
+
 def test_round_trip(spark):
-    rows = {r["doc_id"]: r for r in media.read_media(media.encode_media(documents(spark))).collect()}
+    docs = documents(spark)
+    docs = docs.unionByName(docs.where("doc_id = 7")).withColumn("media", F.lit(1)).withColumn("payload", F.lit(2)).withColumn("n_bytes", F.lit(3))
+    found = media.media_digests(docs).collect()
+    rows = {r["doc_id"]: r for r in found}
+    assert len(found) == len(odd_texts()) + 1
     for k, text in enumerate(odd_texts()):
         raw = (text or "").encode()
         payload = padded(raw)
         r = rows[k]
-        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["feature"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), feature_by_hand(payload))
+        stream = flac.encode(np.frombuffer(payload, np.uint8), np.array([0, len(payload)]))[0]
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stream), hashlib.sha256(stream).hexdigest())
     assert rows[0]["media_sha256"] == rows[1]["media_sha256"] and rows[7]["feature"] == rows[8]["feature"]
-    assert media.read_media(media.encode_media(empty(spark))).count() == 0
+    assert media.media_digests(empty(spark)).count() == 0
 
 
 def test_pcm_blocks(spark, tmp_path):
     text = "abc de" * 3000
-    rows = media.write_pcm_blocks(media.encode_media(documents(spark, [text])), str(tmp_path / "pcm")).orderBy("first_sample").collect()
+    stored = media.store_media(documents(spark, [text, "short", None]), str(tmp_path / "media"))
+    pcm = media.write_pcm_blocks(stored.unionByName(stored.select(F.lit(9).cast("long").alias("doc_id"), "n_bytes", F.lit(None).cast("binary").alias("media")).limit(1)), str(tmp_path / "pcm"))
+    rows = media.block_rows(pcm).where("doc_id = 0").orderBy("block").collect()
     assert [r["first_sample"] for r in rows] == [r["byte_offset"] for r in rows] == list(range(0, len(padded(text.encode())), flac.BLOCK))
     samples = np.frombuffer(b"".join(bytes(r["pcm"]) for r in rows), np.int8)
     assert (samples.view(np.uint8) ^ 0x80).tobytes() == padded(text.encode())
+    held = {r["doc_id"]: r for r in media.block_of(pcm, 9000).collect()}
+    assert set(held) == {0} and held[0]["first_sample"] == 8192 and bytes(held[0]["pcm"]) == samples[8192:12288].tobytes()
+    assert {r["doc_id"] for r in media.block_of(pcm, 5).collect()} == {0, 1, 2}
+
+
+def test_a_text_of_twenty_megabytes(spark):
+    text = ("some words that repeat, é and 日本 " * 1000 + "x" * 9000) * 450
+    payload = padded(text.encode())
+    assert len(payload) > 20_000_000
+    row = media.media_digests(documents(spark, [text]), shares=1).first()
+    assert (row["payload_bytes"], row["payload_sha256"]) == (len(payload), hashlib.sha256(payload).hexdigest())
+
+
+def test_working_memory_does_not_grow_with_the_text():
+    def peak(n):
+        data = np.random.default_rng(1).integers(90, 120, n, dtype=np.uint8)
+        tracemalloc.start()
+        stream = flac.encode(data, np.array([0, n]))[0]
+        flac.decode_blocks([stream])
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    small, large = peak(2_000_000), peak(8_000_000)
+    assert large - small < 12 * 6_000_000, (small, large)
+
+
+def test_high_orders_and_partitions():
+    t = np.arange(4096)
+    smooth = [np.round(60 * np.sin(t / 300 + k) + 40 * np.sin(t / 900)) for k in range(3)] + [np.round((t / 2048 - 1) ** 3 * 100)]
+    mixed = np.where(t < 2048, np.random.default_rng(2).integers(-100, 100, 4096), t % 3)
+    pieces = [(np.clip(x, -128, 127) + 128).astype(np.uint8) for x in [*smooth, mixed]] + [np.arange(n, dtype=np.uint8) for n in (1, 2, 3, 4, 5, 63, 64, 128, 192)]
+    kinds, parted = set(), 0
+    for p in pieces:
+        stream = flac.encode(p, np.array([0, len(p)]))[0]
+        info = flac.read_info(stream)
+        sub = info.frames_at + len(flac._frame_header(0, len(p)))
+        kind = stream[sub] >> 1
+        kinds.add(kind)
+        parted += kind & 0x38 == 8 and stream[sub + 1 + (kind & 7)] >> 2 & 15 > 0
+        fast, slow = flac.decode([stream])[0], np.concatenate([b for _, b in flac.frames(stream)])
+        assert (fast == slow).all() and ((fast[:, 0] + 128).astype(np.uint8) == p).all()
+    together = flac.encode(np.concatenate(pieces), np.cumsum([0, *map(len, pieces)]))
+    assert [((x[:, 0] + 128).astype(np.uint8) == p).all() for x, p in zip(flac.decode(together), pieces)] == [True] * len(pieces)
+    assert parted and kinds & {10, 11, 12} and len(kinds) > 3, (kinds, parted)
 
 
 @settings(max_examples=40, deadline=None)
