@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 BASES, COMPLEMENTS = "ACGTRYKMBVDH", "TGCAYRMKVBHD"
 
 
-def normalized(text: Column) -> Column:
-    """Upper case, U as T, and only letters A-Z."""
-    return F.regexp_replace(F.translate(F.upper(F.coalesce(text, F.lit(""))), "U", "T"), "[^A-Z]", "")
+def normalized(text: Column, letters: str = "", instead: str = "") -> Column:
+    """Upper case, U as T, and only letters A-Z; further ``letters`` may be read as others in the same pass."""
+    upper = F.upper(F.coalesce(text, F.lit("")))
+    one = F.translate(upper, "U" + letters, "T" + instead) if letters else F.replace(upper, F.lit("U"), F.lit("T"))
+    return F.regexp_replace(one, "[^A-Z]", "")
 
 
 def normalization_stats(text: Column) -> Column:
@@ -48,6 +50,11 @@ def reverse_complement(seq: Column) -> Column:
     return F.reverse(complement(seq))
 
 
+def reversed_codon(codon: str) -> str:
+    """``reverse_complement`` of a few letters in Python."""
+    return codon[::-1].translate(str.maketrans(BASES, COMPLEMENTS))
+
+
 def count_ambiguous(seq: Column) -> Column:
     """Letters other than A, C, G and T."""
     return F.length(F.translate(seq, "ACGT", ""))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import codes
-from ..functions.sequence import as_bytes, as_text, forward_start, reverse_complement, wrap1
+from ..functions.sequence import as_text, forward_start, reverse_complement, reversed_codon, wrap1
 from ..schema import HITS
 
 #: Bases of a reading strand that are taken apart at once.
@@ -16,27 +16,34 @@ CHUNK = 1 << 20
 BLOCK = 1024
 
 
-def reading_strands(records: DataFrame) -> DataFrame:
-    """Both strands of each record in reading direction: ``strand`` and ``reading`` (bytes) besides the record's columns."""
-    text = as_text(F.col("seq"))
-    both = F.array(F.struct(F.lit("+").alias("strand"), F.col("seq").alias("reading")), F.struct(F.lit("-").alias("strand"), as_bytes(reverse_complement(text)).alias("reading")))
-    return records.withColumn("_s", F.explode(both)).select("*", "_s.strand", "_s.reading").drop("_s")
-
-
-def codon_windows(records: DataFrame, among: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
-    """``seq_idx, seq_id, length, strand, rpos, codon``: all codons of all six frames, or those ``among`` some.
+def codon_windows(records: DataFrame, among: list[str] | None = None, chunk: int = CHUNK, origin: bool = False, strands: tuple[str, ...] = ("+", "-")) -> DataFrame:
+    """``seq_idx, seq_id, length, strand, rpos, codon, wraps``: all codons of all six frames, or those ``among`` some.
 
-    Long strands are cut into chunks that overlap by two bases first, so no array has
-    more than ``chunk`` places.
+    Only the forward strand is read: a codon of the reverse strand is one whose reverse
+    complement stands there.  Long sequences are cut into chunks that overlap by two bases
+    first, so no array has more than ``chunk`` places; with ``origin``, the two codons
+    over the origin of a circular record are one more piece.
     """
-    strands = reading_strands(records.where("length >= 3").select("seq_idx", "seq_id", "seq", "length"))
-    pieces = strands.select("seq_idx", "seq_id", "length", "strand", "reading", F.explode(F.sequence(F.lit(0), F.col("length") - 3, F.lit(chunk))).alias("_base"))
-    pieces = pieces.select("seq_idx", "seq_id", "length", "strand", "_base", F.expr(f"substring(reading, _base + 1, {chunk + 2})").alias("_piece"))
-    spots = pieces.select("*", F.explode(F.sequence(F.lit(0), F.length("_piece") - 3)).alias("_at"))
-    codon = F.expr("substring(_piece, _at + 1, 3)")
+    rows = records.where("length >= 3").select("seq_idx", "seq_id", "length", "circular", "seq")
+    bases = F.sequence(F.lit(0), F.col("length") - 3, F.lit(chunk))
+    pieces = F.transform(bases, lambda b: F.struct(b.alias("base"), F.substring(F.col("seq"), b + 1, F.lit(chunk + 2)).alias("piece"), F.lit(False).alias("wraps")))
+    if origin:
+        around = F.struct((F.col("length") - 2).alias("base"), F.expr("concat(substring(seq, length - 1, 2), substring(seq, 1, 2))").alias("piece"), F.lit(True).alias("wraps"))
+        pieces = F.concat(pieces, F.when(F.col("circular"), F.array(around)).otherwise(F.array().cast("array<struct<base:int,piece:binary,wraps:boolean>>")))
+    pieces = rows.select("seq_idx", "seq_id", "length", F.explode(pieces).alias("_p")).select("seq_idx", "seq_id", "length", "_p.*")
+    spots = pieces.select("*", F.explode(F.sequence(F.lit(0), F.length("piece") - 3)).alias("_at"))
+    codon = F.expr("substring(piece, _at + 1, 3)")
+    turned = [reversed_codon(c) for c in among or ()]
+    own = {"+": among, "-": turned}
     if among is not None:
-        spots = spots.where(codon.isin(*[bytearray(c, "ascii") for c in among]))
-    return spots.select("seq_idx", "seq_id", "length", "strand", (F.col("_base") + F.col("_at")).alias("rpos"), as_text(codon).alias("codon"))
+        spots = spots.where(codon.isin(*[bytearray(c, "ascii") for c in sorted({c for s in strands for c in own[s]})]))
+    spots = spots.select("seq_idx", "seq_id", "length", "wraps", (F.col("base") + F.col("_at")).alias("_from"), as_text(codon).alias("_codon"))
+    here = lambda s: F.lit(True) if among is None else F.col("_codon").isin(*own[s])
+    sides = F.array_compact(F.array(*[F.when(here(s), F.lit(s)) for s in strands]))
+    spots = spots.select("*", F.explode(sides).alias("strand"))
+    minus = F.col("strand") == "-"
+    rpos = F.when(minus, F.pmod(F.col("length") - 3 - F.col("_from"), F.col("length"))).otherwise(F.col("_from"))
+    return spots.select("seq_idx", "seq_id", "length", "strand", rpos.alias("rpos"), F.when(minus, reverse_complement(F.col("_codon"))).otherwise(F.col("_codon")).alias("codon"), "wraps")
 
 
 def _named(codon: Column, stops: dict[str, str]) -> Column:
@@ -47,14 +54,6 @@ def _named(codon: Column, stops: dict[str, str]) -> Column:
     return name
 
 
-def junction_windows(records: DataFrame) -> DataFrame:
-    """The two codons of each strand that cross the origin of a circular record."""
-    around = F.expr("concat(substring(reading, length - 1, 2), substring(reading, 1, 2))")
-    strands = reading_strands(records.where("circular AND length >= 3").select("seq_idx", "seq_id", "seq", "length"))
-    spots = strands.select("seq_idx", "seq_id", "length", "strand", around.alias("_piece"), F.explode(F.array(F.lit(0), F.lit(1))).alias("_at"))
-    return spots.select("seq_idx", "seq_id", "length", "strand", (F.col("length") - 2 + F.col("_at")).alias("rpos"), as_text(F.expr("substring(_piece, _at + 1, 3)")).alias("codon"))
-
-
 def scan(records: DataFrame, table_id: int = codes.DEFAULT, stops: dict[str, str] | None = None) -> DataFrame:
     """All stop codons on both strands, origin-crossing ones of circular records with them.
 
@@ -64,9 +63,7 @@ def scan(records: DataFrame, table_id: int = codes.DEFAULT, stops: dict[str, str
     found = codes.resolved_stops(codes.stop_set(table_id) if stops is None else stops)
     if not found:
         return records.sparkSession.createDataFrame([], HITS)
-    linear = codon_windows(records, sorted(found)).withColumn("wraps", F.lit(False))
-    around = junction_windows(records).where(F.col("codon").isin(*found)).withColumn("wraps", F.lit(True))
-    both = linear.unionByName(around)
+    both = codon_windows(records, sorted(found), origin=True)
     first = forward_start(F.col("strand"), F.col("rpos"), F.col("length"))
     start = F.when(F.col("wraps"), wrap1(first, F.col("length"))).otherwise(first)
     end = F.when(F.col("wraps"), wrap1(first + 2, F.col("length"))).otherwise(first + 2)

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
+from pyspark.sql.window import Window
 
 from ..functions.sequence import as_bytes, normalized
 from ..schema import FEATURES
 
+#: More than the features of any one record.
+ON_A_RECORD = 1 << 24
 #: Letters that are no IUPAC codes, and the bases they are read as.
 FOLDED, BASES = "EFIJLOPQXZ", "ACGTACGTAC"
 
@@ -28,9 +31,7 @@ def document_records(spark: SparkSession, folder: str, fold: bool = True) -> Dat
 
     Every seventh document is declared circular.
     """
-    seq = normalized(F.col("text"))
-    if fold:
-        seq = F.translate(seq, FOLDED, BASES)
+    seq = normalized(F.col("text"), *((FOLDED, BASES) if fold else ()))
     rows = spread(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", seq.alias("s"))
     return rows.select(
         F.col("doc_id").alias("seq_idx"), F.col("doc_id").cast("string").alias("seq_id"), as_bytes(F.col("s")).alias("seq"), F.length("s").alias("length"),
@@ -38,18 +39,31 @@ def document_records(spark: SparkSession, folder: str, fold: bool = True) -> Dat
     )
 
 
-def document_features(spark: SparkSession, folder: str) -> DataFrame:
-    """Features on the documents, made from line items by arithmetic; one a distinct id."""
+def _items(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items on the documents of their parts, one a distinct id, with a place and numbers made by arithmetic."""
     lengths = table(spark, folder, "documents").select("doc_id", F.length(normalized(F.col("text"))).alias("L")).where("L > 0")
     items = table(spark, folder, "lineitem").join(lengths, F.col("l_partkey") == F.col("doc_id"))
     start = ((F.col("l_orderkey") * 37 + F.col("l_linenumber") * 101) % F.col("L") + 1).cast("int")
     items = items.select(
-        F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), "doc_id", "L", start.alias("start"), F.col("l_quantity").cast("int").alias("q"),
+        "doc_id", "L", "l_orderkey", "l_linenumber", "l_suppkey", start.alias("start"), F.col("l_quantity").cast("int").alias("q"),
         F.when(F.col("l_returnflag") == "R", "-").otherwise("+").alias("strand"), F.when(F.col("l_linestatus") == "O", "CDS").otherwise("gene").alias("type"),
         (F.col("l_linenumber") % 3).cast("int").alias("phase"), F.when(F.col("l_suppkey") % 5 == 0, 4).otherwise(11).alias("transl_table"),
-        (((F.col("l_orderkey") * 64 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")).alias("feat_idx"),
     )
-    one = items.groupBy("id", "feat_idx", "doc_id", "L").agg(*[F.min(c).alias(c) for c in ("start", "q", "strand", "type", "phase", "transl_table")])
+    key = ("l_orderkey", "l_linenumber", "l_suppkey")
+    one = items.groupBy("doc_id", "L", *key).agg(*[F.min(c).alias(c) for c in ("start", "q", "strand", "type", "phase", "transl_table")])
+    # numbered within the document, so that no key of any size can overflow
+    one = one.withColumn("feat_idx", F.col("doc_id") * ON_A_RECORD + F.row_number().over(Window.partitionBy("doc_id").orderBy(*key)))
+    return one.withColumn("id", F.concat_ws("_", "l_orderkey", "l_linenumber", "doc_id", "l_suppkey"))
+
+
+def _as_features(rows: DataFrame, columns: dict) -> DataFrame:
+    schema = _parse_datatype_string(FEATURES)
+    return rows.select(*[columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def document_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Features on the documents, made from line items by arithmetic; one a distinct id."""
+    one = _items(spark, folder)
     end = F.least(F.col("L"), F.col("start") + 29 + 3 * F.col("q")).cast("int")
     one = one.withColumn("end", end)
     segment = F.array(F.struct("start", "end", "phase"))
@@ -59,5 +73,21 @@ def document_features(spark: SparkSession, folder: str) -> DataFrame:
         "start": F.col("start"), "end": F.col("end"), "name": gene, "id": F.col("id"), "transl_table": F.col("transl_table"), "phase": F.col("phase"),
         "partial5": F.col("phase") > 0, "partial3": F.lit(False),
     }
-    schema = _parse_datatype_string(FEATURES)
-    return one.select(*[columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+    return _as_features(one, columns)
+
+
+def spliced_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Like ``document_features``, but with one to four segments, products, and places where the code is known to be read otherwise."""
+    rows = _items(spark, folder).withColumn("w", 9 + F.col("q") % 7 * 3).withColumn("gap", (6 + F.col("l_linenumber")).cast("int"))
+    place = lambda k: F.col("start") + (k * (F.col("w") + F.col("gap"))).cast("int")
+    segment = lambda k: F.struct(place(k).alias("start"), (place(k) + F.col("w") - 1).cast("int").alias("end"), F.lit(None).cast("int").alias("phase"))
+    all_ = F.transform(F.sequence(F.lit(0), (F.col("l_orderkey") % 3 + 1).cast("int")), segment)
+    rows = rows.withColumn("segments", F.filter(all_, lambda s: s["end"] <= F.col("L"))).where(F.size("segments") > 0)
+    rows = rows.withColumn("ordered_segments", F.when(F.col("strand") == "-", F.reverse("segments")).otherwise(F.col("segments")))
+    known = F.array(F.struct("start", (F.col("start") + F.col("w") - 1).alias("end"), F.when(F.col("l_linenumber") % 2 == 1, "Sec").alias("aa")))
+    columns = {c: F.col(c) for c in ("feat_idx", "type", "strand", "segments", "ordered_segments", "start", "id", "transl_table", "phase")}
+    columns |= {
+        "seq_id": F.col("doc_id").cast("string"), "end": F.array_max(F.col("segments.end")), "name": F.when(F.col("l_suppkey") % 3 > 0, F.concat(F.lit("g"), F.col("id"))), "locus_tag": F.when(F.col("l_suppkey") % 3 == 1, F.concat(F.lit("t"), F.col("id"))),
+        "product": F.concat(F.lit("product of a gene with a rather long name, "), F.col("l_suppkey").cast("string")), "transl_except": F.when(F.col("l_orderkey") % 4 == 0, known), "partial5": F.lit(False), "partial3": F.lit(False),
+    }
+    return _as_features(rows, columns)

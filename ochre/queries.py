@@ -178,7 +178,7 @@ def cds_faa(spark, d):
 
 
 def codon_usage_translate(spark, d):
-    windows = scan.codon_windows(document_records(spark, d)).where("rpos % 3 = 0 AND strand = '+'")
+    windows = scan.codon_windows(document_records(spark, d), strands=("+",)).where("rpos % 3 = 0")
     return windows.groupBy("codon").agg(F.count(F.lit(1)).alias("n")).withColumn("aa", codes.amino_acid(F.col("codon"), F.lit(codes.DEFAULT)))
 
 
@@ -224,7 +224,7 @@ def genetic_codes(spark, d):
 
 
 def frame_track(spark, d):
-    return select.frame_track(scan.numbered(_hits(spark, d)), limit=50)
+    return select.frame_track(scan.numbered(_hits(spark, d)))
 
 
 def scan_totals(spark, d):
@@ -269,11 +269,13 @@ numbered AS (
 named AS (SELECT 'stop_' || lpad(hit_no::VARCHAR, greatest(4, length(total::VARCHAR))::INTEGER, '0') AS id, * FROM numbered)"""
 _FEATURES = r""",
 items AS (
-  SELECT concat_ws('_', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, ((l_orderkey * 64 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS feat_idx, doc_id, L,
+  SELECT l_orderkey, l_linenumber, l_suppkey, doc_id, L,
          ((l_orderkey * 37 + l_linenumber * 101) % L + 1)::INTEGER AS s0, trunc(l_quantity)::INTEGER AS q, CASE WHEN l_returnflag = 'R' THEN '-' ELSE '+' END AS strand,
          CASE WHEN l_linestatus = 'O' THEN 'CDS' ELSE 'gene' END AS type, (l_linenumber % 3)::INTEGER AS phase, CASE WHEN l_suppkey % 5 = 0 THEN 4 ELSE 11 END AS transl_table
   FROM lineitem JOIN doc ON doc_id = l_partkey WHERE L > 0),
-one AS (SELECT id, feat_idx, doc_id, L, min(s0) AS "start", min(q) AS q, min(strand) AS strand, min(type) AS type, min(phase) AS phase, min(transl_table)::INTEGER AS transl_table FROM items GROUP BY ALL),
+one AS (
+  SELECT concat_ws('_', l_orderkey, l_linenumber, doc_id, l_suppkey) AS id, doc_id * 16777216 + row_number() OVER (PARTITION BY doc_id ORDER BY l_orderkey, l_linenumber, l_suppkey) AS feat_idx, *
+  FROM (SELECT l_orderkey, l_linenumber, l_suppkey, doc_id, L, min(s0) AS "start", min(q) AS q, min(strand) AS strand, min(type) AS type, min(phase) AS phase, min(transl_table)::INTEGER AS transl_table FROM items GROUP BY ALL)),
 feats AS MATERIALIZED (
   SELECT feat_idx, doc_id, doc_id::VARCHAR AS seq_id, L, type, strand, "start", least(L, "start" + 29 + 3 * q)::INTEGER AS "end", 'g' || doc_id || '_' || "start" AS name, transl_table, phase, id FROM one)"""
 _ANNOTATED = r""",
@@ -436,7 +438,7 @@ FROM feats f LEFT JOIN (SELECT seq_id, fid, arg_min(strand || frame, hit_no) AS
 ON e.seq_id = f.seq_id AND e.fid = f.id WHERE f.type = 'CDS'""", _SCAN, _FEATURES, _ANNOTATED),
     "circular_angles": _sql("""SELECT seq_id, strand, rpos, "start", codon, round(("start" - 1) / L * 360, 6) AS angle FROM hits WHERE doc_id % 7 = 0""", _SCAN),
     "genetic_codes": _codes_sql(),
-    "frame_track": _sql("""SELECT seq_id, strand || frame AS lane, "start", codon, id FROM named QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY "start", hit_no) <= 50""", _SCAN),
+    "frame_track": _sql("""SELECT seq_id, strand || frame AS lane, "start", codon, id FROM named QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY "start", hit_no) <= {MAX_TICKS}""".replace("{MAX_TICKS}", str(select.MAX_TICKS)), _SCAN),
     "scan_totals": _sql("SELECT count(*) AS sequence_count, sum(L)::BIGINT AS total_length, sum(greatest(L - 2, 0) * 6)::BIGINT AS total_bases_scanned, sum(length(translate(s, 'ACGT', '')))::BIGINT AS ambiguous_base_count FROM doc"),
     "declared_code": _sql("SELECT CASE WHEN len(d) = 1 THEN d[1] END AS table_id, len(d)::INTEGER AS n_declared, CASE WHEN len(d) > 1 THEN 'Features declare several genetic codes: ' || array_to_string(d, ', ') END AS warning FROM (SELECT list(DISTINCT transl_table ORDER BY transl_table) AS d FROM feats)", _FEATURES),
     "flagged_genes": _sql("SELECT feat_idx, gene, internal_stops, terminator_codon FROM genes WHERE internal_stops > 0 ORDER BY internal_stops DESC, feat_idx LIMIT 20", _SCAN, _FEATURES, _ANNOTATED, _GENES),
