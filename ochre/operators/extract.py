@@ -10,16 +10,29 @@ from ..functions.sequence import as_bytes, as_text, non_empty, reverse_complemen
 from .select import exportable
 
 
-def coding_sequences(features: DataFrame, records: DataFrame) -> DataFrame:
-    """``features`` with ``coding_seq``: their segments in reading order, each turned around on the minus strand."""
-
-    def piece(s: Column) -> Column:
-        start, end = F.greatest(F.lit(1), s["start"]), F.least(F.col("length"), s["end"])
-        part = as_text(F.substring(F.col("seq"), start, end - start + 1))
-        return F.when(end >= start, F.when(F.col("strand") == "-", reverse_complement(part)).otherwise(part)).otherwise("")
-
-    joined = features.join(records.select("seq_id", "seq", "length"), "seq_id")
-    return joined.withColumn("coding_seq", F.array_join(F.transform("ordered_segments", piece), "")).select(*features.columns, "coding_seq")
+#: Bases of a sequence that are joined to a feature at once.
+CHUNK = 1 << 14
+
+
+def coding_sequences(features: DataFrame, records: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``features`` with ``coding_seq``: their segments in reading order, each turned around on the minus strand; empty where they lie on no record.
+
+    Segments meet the chunks of the sequence that they lie on, so no feature ever carries
+    a whole record.
+    """
+    last = F.floor((F.col("length") - 1) / chunk)
+    chunks = records.where("length > 0").select("seq_id", "seq", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_no"))
+    chunks = chunks.select("seq_id", "_no", F.expr(f"substring(seq, CAST(_no * {chunk} + 1 AS INT), {chunk})").alias("_piece"))
+    spans = features.select("feat_idx", "seq_id", "strand", F.posexplode("ordered_segments").alias("_k", "_s"))
+    spans = spans.select("feat_idx", "seq_id", "strand", "_k", F.greatest(F.lit(1), F.col("_s.start")).alias("_from"), F.col("_s.end").alias("_to")).where("_to >= _from")
+    spans = spans.select("*", F.explode(F.sequence(F.floor((F.col("_from") - 1) / chunk), F.floor((F.col("_to") - 1) / chunk))).alias("_no"))
+    begin = F.greatest(F.col("_from") - 1 - F.col("_no") * chunk, F.lit(0))
+    part = F.expr("substring(_piece, CAST(_a + 1 AS INT), CAST(_b - _a AS INT))")
+    met = spans.join(chunks, ["seq_id", "_no"]).withColumn("_a", begin).withColumn("_b", F.least(F.col("_to") - F.col("_no") * chunk, F.lit(chunk)))
+    minus = F.col("strand") == "-"
+    met = met.select("feat_idx", "_k", F.when(minus, -F.col("_no")).otherwise(F.col("_no")).alias("_o"), F.when(minus, reverse_complement(as_text(part))).otherwise(as_text(part)).alias("_part"))
+    whole = met.groupBy("feat_idx").agg(F.array_join(F.sort_array(F.collect_list(F.struct("_k", "_o", "_part")))["_part"], "").alias("coding_seq"))  # as long as the feature
+    return features.join(whole, "feat_idx", "left").select(*features.columns, F.coalesce("coding_seq", F.lit("")).alias("coding_seq"))
 
 
 def translated(seq: Column, table_id: Column, phase: Column) -> Column:

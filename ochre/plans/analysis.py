@@ -70,14 +70,14 @@ def organism_code(spark, text: str | None) -> int | None:
     return spark.range(1).select(codes.organism_table(F.lit(text)).alias("t")).first()["t"]
 
 
-def analyse(files: DataFrame, table_id: int | None = None, organism: str | None = None, mode: str | None = None, min_orf_nt: int = 90, require_start: bool = True, include_alt_starts: bool = False) -> Analysis:
-    """Scans ``files`` (file_no, name, text).
+def analyse(files: DataFrame, large_fasta: DataFrame | None = None, table_id: int | None = None, organism: str | None = None, mode: str | None = None, min_orf_nt: int = 90, require_start: bool = True, include_alt_starts: bool = False) -> Analysis:
+    """Scans ``files`` (file_no, name, text) and the records of ``large_fasta``, as ``read_fasta`` gives them.
 
     ``mode`` is ``coding`` by default where there are CDS features, else ``all``; in
     coding mode without any CDS, open reading frames are predicted and take their place.
     """
     spark = files.sparkSession
-    loaded: Loaded = load(files)
+    loaded: Loaded = load(files, large_fasta)
     records, features = loaded.records.cache(), loaded.features.cache()
     declared_row = aggregate.declared_table(features).first()
     declared, header = declared_row["table_id"], organism_code(spark, header_text(files).first()[0])

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import source_queries
 from .functions import codes
 from .functions.sequence import as_text, count_ambiguous, normalization_stats, normalized, signed_frame
 from .operators import aggregate, annotate, extract, orf, scan, select
@@ -245,7 +246,7 @@ _NAMES = (
     table_filter_sort, feature_dedup, seq_precedence_merge, pairing_semi_anti, cds_fna, cds_faa, codon_usage_translate, organism_table, bed_rows, gff3_rows, csv_rows,
     gene_lanes, circular_angles, genetic_codes, frame_track, scan_totals, declared_code, flagged_genes,
 )
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _NAMES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _NAMES} | source_queries.QUERIES
 
 # ---- SQL
 
@@ -443,3 +444,4 @@ ON e.seq_id = f.seq_id AND e.fid = f.id WHERE f.type = 'CDS'""", _SCAN, _FEATURE
     "declared_code": _sql("SELECT CASE WHEN len(d) = 1 THEN d[1] END AS table_id, len(d)::INTEGER AS n_declared, CASE WHEN len(d) > 1 THEN 'Features declare several genetic codes: ' || array_to_string(d, ', ') END AS warning FROM (SELECT list(DISTINCT transl_table ORDER BY transl_table) AS d FROM feats)", _FEATURES),
     "flagged_genes": _sql("SELECT feat_idx, gene, internal_stops, terminator_codon FROM genes WHERE internal_stops > 0 ORDER BY internal_stops DESC, feat_idx LIMIT 20", _SCAN, _FEATURES, _ANNOTATED, _GENES),
 }
+ORACLE_SQL |= source_queries.oracle_sql(_sql, _SCAN, _FEATURES)

@@ -110,4 +110,5 @@ def test_sequences_and_proteins(spark):
     own = records(spark, ("a", "ATGAAATAACCC", True))
     table = features(spark, feature(1, "a", "CDS", "+", (10, 12), (1, 3), ordered=[(10, 12), (1, 3)]), feature(2, "a", "CDS", "-", (1, 6)), feature(3, "a", "CDS", "+", (1, 9), name="x", product="thing"))
     assert dict(tuples(extract.coding_sequences(table, own), "feat_idx", "coding_seq")) == {1: "CCCATG", 2: "TTTCAT", 3: "ATGAAATAA"}
+    assert dict(tuples(extract.coding_sequences(table, own, chunk=4), "feat_idx", "coding_seq")) == {1: "CCCATG", 2: "TTTCAT", 3: "ATGAAATAA"}  # over many chunks
     assert dict(tuples(extract.proteins(table, own), "feat_idx", "protein")) == {1: "PM", 2: "FH", 3: "MK"}

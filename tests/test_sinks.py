@@ -3,6 +3,8 @@ import json
 import xml.dom.minidom
 import zipfile
 
+import pytest
+
 from helpers import feature, features, records, value
 from pyspark.sql import functions as F
 
@@ -53,7 +55,7 @@ def test_fasta(spark):
     assert fasta.faa_rows(table, own).first()["line"].endswith("table=11\nM*P")
 
 
-def test_documents(spark):
+def test_documents(spark, monkeypatch):
     own, table, hits = analysed(spark)
     one = aggregate.summary(hits, own, STOPS).first().asDict()
     frames, genes = aggregate.frame_breakdown(hits, STOPS), aggregate.gene_summary(hits, table)
@@ -64,10 +66,14 @@ def test_documents(spark):
     for name in book.namelist():
         xml.dom.minidom.parseString(book.read(name))
     assert b"Per-gene" in book.read("xl/workbook.xml")
-    text = documents.to_text(one, frames, STOPS, select.flagged_genes(genes))
-    assert "\r\n" in text and "TAA (ochre):" in text
+    text = documents.to_text(one, frames, STOPS, select.flagged_genes(genes), n_flagged=genes.where("internal_stops > 0").count() + 3)
+    assert "\r\n" in text and "TAA (ochre)" in text and "[Reading frames]" in text and "... and  3 more" in text
     page = documents.to_html(one, hits, frames, STOPS, genes, annotated=True, max_rows=1)
     assert "<svg" in page and "The first 1 of" in page and "q&quot;x, y" in page
+    monkeypatch.setattr(documents, "MOST_ROWS", 1)
+    for make in (lambda: documents.to_json(one, hits), lambda: documents.to_xlsx(one, hits, frames, STOPS)):
+        with pytest.raises(ValueError, match="too many"):
+            make()
     assert documents.column_name(27) == "AB" and documents.file_name("my file.fa", "csv") == "my_file.csv"
 
 
