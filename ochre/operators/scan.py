@@ -24,18 +24,22 @@ def codon_windows(records: DataFrame, among: list[str] | None = None, chunk: int
     first, so no array has more than ``chunk`` places; with ``origin``, the two codons
     over the origin of a circular record are one more piece.
     """
-    rows = records.where("length >= 3").select("seq_idx", "seq_id", "length", "circular", "seq")
-    bases = F.sequence(F.lit(0), F.col("length") - 3, F.lit(chunk))
+    # No filter stands before the codons' own, nor an explode that one would be made for: pushed
+    # down, it would work sequences out once more.
+    rows = records.select("seq_idx", "seq_id", "length", "circular", "seq")
+    bases = F.when(F.col("length") >= 3, F.sequence(F.lit(0), F.col("length") - 3, F.lit(chunk)))
     pieces = F.transform(bases, lambda b: F.struct(b.alias("base"), F.substring(F.col("seq"), b + 1, F.lit(chunk + 2)).alias("piece"), F.lit(False).alias("wraps")))
     if origin:
         around = F.struct((F.col("length") - 2).alias("base"), F.expr("concat(substring(seq, length - 1, 2), substring(seq, 1, 2))").alias("piece"), F.lit(True).alias("wraps"))
-        pieces = F.concat(pieces, F.when(F.col("circular"), F.array(around)).otherwise(F.array().cast("array<struct<base:int,piece:binary,wraps:boolean>>")))
-    pieces = rows.select("seq_idx", "seq_id", "length", F.explode(pieces).alias("_p")).select("seq_idx", "seq_id", "length", "_p.*")
-    spots = pieces.select("*", F.explode(F.sequence(F.lit(0), F.length("piece") - 3)).alias("_at"))
+        pieces = F.concat(pieces, F.when(F.col("circular") & (F.col("length") >= 3), F.array(around)).otherwise(F.array().cast("array<struct<base:int,piece:binary,wraps:boolean>>")))
+    pieces = rows.select("seq_idx", "seq_id", "length", F.explode_outer(pieces).alias("_p")).select("seq_idx", "seq_id", "length", "_p.*")
+    spots = pieces.select("*", F.explode_outer(F.sequence(F.lit(0), F.length("piece") - 3)).alias("_at"))
     codon = F.expr("substring(piece, _at + 1, 3)")
     turned = [reversed_codon(c) for c in among or ()]
     own = {"+": among, "-": turned}
-    if among is not None:
+    if among is None:
+        spots = spots.where("_at IS NOT NULL")
+    else:
         spots = spots.where(codon.isin(*[bytearray(c, "ascii") for c in sorted({c for s in strands for c in own[s]})]))
     spots = spots.select("seq_idx", "seq_id", "length", "wraps", (F.col("base") + F.col("_at")).alias("_from"), as_text(codon).alias("_codon"))
     here = lambda s: F.lit(True) if among is None else F.col("_codon").isin(*own[s])
