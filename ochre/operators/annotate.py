@@ -9,6 +9,8 @@ joined as a whole.
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,7 +92,12 @@ def overlapping(hits: DataFrame, features: DataFrame, bin_size: int = BIN) -> Da
 
 
 def annotate(hits: DataFrame, features: DataFrame, table_id: int = codes.DEFAULT) -> DataFrame:
-    """``hits`` with their context; every hit stays."""
+    """``hits`` with their context; every hit stays.
+
+    The hits are kept (in memory, else on disk) as they are read three times; a mark of
+    this call's own sees to it that no other call takes them for its own.
+    """
+    hits = hits.withColumn("_call", F.lit(uuid4().hex)).persist().drop("_call")
     known = _prepared(features, table_id)
     claims = assign_terminators(hits, features, table_id)
     best = F.min(F.struct("span", (-F.col("feat_idx")).alias("_later"), "type", "names")).alias("_t")

@@ -29,6 +29,11 @@ def _annotated(spark: SparkSession, d: str) -> DataFrame:
     return annotate.annotate(_hits(spark, d), document_features(spark, d))
 
 
+def _numbered(spark: SparkSession, d: str) -> DataFrame:
+    """Numbered before they are annotated, so that numbering doesn't annotate twice."""
+    return annotate.annotate(scan.numbered(_hits(spark, d)), document_features(spark, d))
+
+
 def normalize_stats(spark, d):
     text = F.coalesce("text", F.lit(""))
     return table(spark, d, "documents").select("doc_id", F.length(normalized(text)).alias("length"), normalization_stats(text).alias("s"), count_ambiguous(normalized(text)).alias("not_acgt")).select("doc_id", "length", "s.*", "not_acgt")
@@ -142,7 +147,7 @@ def coding_mode_hits(spark, d):
 
 def table_filter_sort(spark, d):
     """The table view: TAA on the plus strand in genes with a 7 in their name, by start, as many rows as the view shows."""
-    hits = select.filter_hits(scan.numbered(_hits(spark, d)).join(_annotated(spark, d).select("seq_id", "strand", "rpos", "context", "gene_name", "locus_tag", "product", "feature_id"), ["seq_id", "strand", "rpos"]), codon="TAA", strand="+", gene="G7")
+    hits = select.filter_hits(_numbered(spark, d), codon="TAA", strand="+", gene="G7")
     return select.sort_hits(hits, "start").select("hit_no", "id", "seq_id", "start", "end", "codon", "context", "gene_name")
 
 
@@ -202,11 +207,11 @@ def bed_rows(spark, d):
 
 
 def gff3_rows(spark, d):
-    return tracks.gff3_rows(scan.numbered(_annotated(spark, d)))
+    return tracks.gff3_rows(_numbered(spark, d))
 
 
 def csv_rows(spark, d):
-    lines = delimited.hit_lines(scan.numbered(_annotated(spark, d)), "csv", annotated=True)
+    lines = delimited.hit_lines(_numbered(spark, d), "csv", annotated=True)
     return lines
 
 
