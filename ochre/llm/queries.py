@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, line_windows, media, ngram_join, packing, quality, token_files, token_rollups, url_reputation
+from . import bpe, decontaminate, license_scan, line_windows, media, ngram_join, packing, quality, token_files, token_rollups, url_reputation
 from .common import scratch, written
 from .tokens import vocabulary
 from .url_reputation import Rule
@@ -87,6 +87,14 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "expected_grade", F.col("tail").alias("p_good"), "keep")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
+    decoded = bpe.decode_ids(encoded, path)
+    decimal = F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_flac_media": op1_flac_media,
     "op2_token_rollups": op2_token_rollups,
@@ -98,6 +106,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_license_scan": op9_license_scan,
     "op10_ordinal_quality": op10_ordinal_quality,
+    "op11_byte_bpe": op11_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
