@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, license_scan, line_windows, media, ngram_join, packing, quality, token_files, token_rollups, url_reputation
+from . import bpe, decontaminate, hard_negatives, license_scan, line_windows, media, ngram_join, packing, quality, token_files, token_rollups, url_reputation, whitening
 from .common import scratch, written
 from .tokens import vocabulary
 from .url_reputation import Rule
@@ -95,6 +95,24 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = _table(spark, sf_dir, "embeddings")
+    model = whitening.fit(embeddings, "embedding", scale=1024.0, offset=100_000)
+    rows = whitening.whiten(embeddings, model, "embedding", components=8)
+    explained = model.explained[:8]
+    error = whitening.identity_error(rows, len(explained))
+    long = rows.select("vec_id", "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"), F.posexplode("whitened").alias("k", "whitened"))
+    shares = F.array(*map(F.lit, explained)) if explained else F.array().cast("array<double>")
+    return long.select("vec_id", (F.col("k") + 1).alias("component"), "n", "deviation", "whitened", F.get(shares, F.col("k")).alias("explained"), F.lit(error).cast("double").alias("identity_error"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh label is read as the next one, as a wrong label would be."""
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    embeddings = _table(spark, sf_dir, "embeddings").select("vec_id", noisy.alias("label"), "embedding")
+    return hard_negatives.mine(embeddings, F.col("vec_id") % 50 == 0, "vec_id", "label", "embedding", scale=256.0, positives=5, negatives=3, low=50, high=95)
+
+
 QUERIES = {
     "op1_flac_media": op1_flac_media,
     "op2_token_rollups": op2_token_rollups,
@@ -107,6 +125,8 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_ordinal_quality": op10_ordinal_quality,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_whitening": op12_whitening,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -114,4 +134,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_line_windows": line_windows.DEDUP_SQL,
     "op7_url_reputation": url_reputation.JUDGE_SQL,
     "op9_license_scan": license_scan.SCAN_SQL,
+    "op13_hard_negatives": hard_negatives.MINE_SQL,
 }
