@@ -370,9 +370,9 @@ def mine(df: DataFrame, anchors: Column, id_: str, label: str, vector: str, scal
 MINE_SQL = """
 WITH v AS (
   SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-         list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x
   FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scores AS (
   SELECT a.id AS anchor, a.label AS own, b.id AS id, b.label AS label, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
   FROM v a, v b WHERE a.id % 50 = 0 AND a.id <> b.id
