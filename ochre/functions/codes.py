@@ -165,13 +165,33 @@ CILIATE = r"tetrahymena|paramecium|oxytricha|stylonychia|\bciliate"
 NUCLEAR = r"homo sapiens|\bhuman\b|mus musculus|\bmouse\b|rattus|\brat\b|saccharomyces|cerevisiae|\byeast\b|arabidopsis|drosophila|caenorhabditis|elegans|danio|zebrafish|xenopus|gallus|\bsapiens\b"
 
 
-def organism_table(text: Column) -> Column:
-    """The code that an organism's name or a header implies; null if none."""
+#: In the order of the columns that ``keyword_marks`` makes.
+KEYWORDS = {"mitochondrial": MITOCHONDRIAL, "invertebrate": INVERTEBRATE, "mycoplasma": MYCOPLASMA, "ciliate": CILIATE, "bacterial": BACTERIAL, "nuclear": NUCLEAR}
+
+
+def keyword_marks(text: Column) -> dict[str, Column]:
+    """Whether each group of keywords occurs."""
     low = F.lower(text)
+    return {name: low.rlike(pattern) for name, pattern in KEYWORDS.items()}
+
+
+def code_by_marks(found: dict[str, Column]) -> Column:
+    """The code that keywords imply, by the rules in turn; null if none."""
     return (
-        F.when(low.rlike(MITOCHONDRIAL), F.when(low.rlike(INVERTEBRATE), 5).otherwise(2))
-        .when(low.rlike(MYCOPLASMA), 4)
-        .when(low.rlike(CILIATE) & ~low.rlike(BACTERIAL), 6)
-        .when(low.rlike(BACTERIAL), 11)
-        .when(low.rlike(NUCLEAR), 1)
+        F.when(found["mitochondrial"], F.when(found["invertebrate"], 5).otherwise(2))
+        .when(found["mycoplasma"], 4)
+        .when(found["ciliate"] & ~found["bacterial"], 6)
+        .when(found["bacterial"], 11)
+        .when(found["nuclear"], 1)
     )
+
+
+def organism_table(text: Column) -> Column:
+    """The code that an organism's name or a header implies; null if none."""
+    return code_by_marks(keyword_marks(text))
+
+
+def organism_of_lines(lines: DataFrame) -> DataFrame:
+    """One row: which groups of keywords occur in any of the lines (column ``line``), and the code that they imply together."""
+    marks = [F.coalesce(F.max(mark), F.lit(False)).alias(name) for name, mark in keyword_marks(F.col("line")).items()]
+    return lines.agg(*marks).withColumn("table_id", code_by_marks({name: F.col(name) for name in KEYWORDS}))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import codes
 from ..operators import aggregate, annotate, orf, scan, select
 from ..sources.dispatch import Loaded, load
-from ..sources.files import header_text
+from ..sources.files import header_lines
 
 
 @dataclass
@@ -70,17 +70,17 @@ def organism_code(spark, text: str | None) -> int | None:
     return spark.range(1).select(codes.organism_table(F.lit(text)).alias("t")).first()["t"]
 
 
-def analyse(files: DataFrame, large_fasta: DataFrame | None = None, table_id: int | None = None, organism: str | None = None, mode: str | None = None, min_orf_nt: int = 90, require_start: bool = True, include_alt_starts: bool = False) -> Analysis:
-    """Scans ``files`` (file_no, name, text) and the records of ``large_fasta``, as ``read_fasta`` gives them.
+def analyse(files: DataFrame, large_fasta: DataFrame | None = None, large_genbank: DataFrame | None = None, large_gff: DataFrame | None = None, table_id: int | None = None, organism: str | None = None, mode: str | None = None, min_orf_nt: int = 90, require_start: bool = True, include_alt_starts: bool = False) -> Analysis:
+    """Scans ``files`` (file_no, name, text) and large files as ``read_fasta``, ``read_genbank`` and ``gff3.read_lines`` give them.
 
     ``mode`` is ``coding`` by default where there are CDS features, else ``all``; in
     coding mode without any CDS, open reading frames are predicted and take their place.
     """
     spark = files.sparkSession
-    loaded: Loaded = load(files, large_fasta)
+    loaded: Loaded = load(files, large_fasta, large_genbank, large_gff)
     records, features = loaded.records.cache(), loaded.features.cache()
     declared_row = aggregate.declared_table(features).first()
-    declared, header = declared_row["table_id"], organism_code(spark, header_text(files).first()[0])
+    declared, header = declared_row["table_id"], codes.organism_of_lines(header_lines(files)).first()["table_id"]
     chosen, source = resolve_table(table_id, organism_code(spark, organism), declared, header)
     warnings = loaded.warnings + ([declared_row["warning"]] if declared_row["warning"] else [])
     note = aggregate.ambiguity_warning(records).first()["note"]

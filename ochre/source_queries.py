@@ -10,15 +10,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .functions.sequence import as_text, normalization_note, normalization_stats
+from .functions import codes
+from .functions.sequence import as_text, normalization_note, normalization_stats, wrapped_lines
 from .operators import aggregate, annotate, scan, select
+from .plans.staged import staged
 from .plans.tables import document_records, spliced_features, table
 from .sinks import delimited, fasta
 from .sources import fasta as fasta_source
 from .sources import genbank, gff3
 from .sources.dispatch import load
 from .sources.files import detect, header_text
+from .sources.files import header_lines as header_line_rows
 
+#: What flat files are said to be of, in turn.
+ORGANISMS = ("A phage", "Mitochondrion of a beetle", "Nothing known", "Tetrahymena", "Mus musculus mitochondrion", "Mycoplasma", "Saccharomyces")
 #: Left out of texts, as they would start records.
 HEADER_MARK = ">"
 
@@ -77,12 +82,22 @@ def flat_files(spark, d) -> DataFrame:
     doc = F.col("seq_id")
     which = F.col("seq_idx") % 3
     version = F.when(which == 0, F.concat(F.lit("ACCESSION   D"), doc, F.lit("\nVERSION     D"), doc, F.lit(".1\n"))).when(which == 1, F.concat(F.lit("ACCESSION   D"), doc, F.lit("\n"))).otherwise("")
-    head = F.concat(F.lit("LOCUS       L"), doc, F.lit(" bp DNA "), F.when(F.col("circular"), "circular").otherwise("linear"), F.lit("\nDEFINITION  A phage.\n"), version, F.lit("FEATURES             Location/Qualifiers\n"))
+    head = F.concat(F.lit("LOCUS       L"), doc, F.lit(" bp DNA "), F.when(F.col("circular"), "circular").otherwise("linear"), F.lit("\nDEFINITION  "), F.get(F.array(*map(F.lit, ORGANISMS)), F.col("seq_idx") % len(ORGANISMS)), F.lit(", "), doc, F.lit(".\n"), version, F.lit("FEATURES             Location/Qualifiers\n"))
     records = document_records(spark, d).join(bodies, "seq_id", "left")
     text = F.concat(head, F.coalesce("body", F.lit("")), F.lit("ORIGIN\n        1 "), F.lower(as_text(F.col("seq"))), F.lit("\n//\n"))
     return records.select(F.col("seq_idx").cast("int").alias("file_no"), doc.alias("name"), text.alias("text"))
 
 
+#: Records of one flat file where many stand in it.
+RECORDS_A_FILE = 200
+
+
+def long_flat_files(spark, d) -> DataFrame:
+    """The same flat files, many after each other in one."""
+    own = flat_files(spark, d).select(F.floor(F.col("file_no") / RECORDS_A_FILE).cast("int").alias("long_no"), "file_no", "text")
+    return own.groupBy("long_no").agg(F.array_join(F.sort_array(F.collect_list(F.struct("file_no", "text")))["text"], "").alias("text")).select(F.col("long_no").alias("file_no"), F.col("long_no").cast("string").alias("name"), "text")
+
+
 # ---- queries
 
 
@@ -122,8 +137,7 @@ def genbank_records(spark, d):
     return rows.select("file_no", "seq_id", "length", "circular", F.md5("seq").alias("md5"), F.size("features").alias("n_features"), F.size("warnings").alias("n_warnings"))
 
 
-def genbank_features(spark, d):
-    rows = genbank.genbank_features(genbank.parse_genbank(flat_files(spark, d)))
+def _genbank_columns(rows):
     known = F.array_join(F.transform("transl_except", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"), x["aa"])), ",")
     return rows.select(
         "file_no", "seq_id", "type", "strand", _spans(F.col("segments")).alias("segments"), _spans(F.col("ordered_segments")).alias("ordered"), "start", "end", "name", "locus_tag", "product", "protein_id", "transl_table", "phase",
@@ -131,9 +145,44 @@ def genbank_features(spark, d):
     )
 
 
+def genbank_features(spark, d):
+    return _genbank_columns(genbank.genbank_features(genbank.parse_genbank(flat_files(spark, d))))
+
+
+def genbank_many_records(spark, d):
+    """Features of flat files with many records, with their place among those of the file."""
+    rows = genbank.genbank_features(genbank.parse_genbank(long_flat_files(spark, d)))
+    return rows.select("file_no", (F.col("feat_idx") - F.col("file_no").cast("long") * (1 << 32)).alias("place"), "seq_id", "type", "strand", _spans(F.col("segments")).alias("segments"), "id")
+
+
+def genbank_by_splits(spark, d):
+    """Records of flat files written out and read by splits."""
+    rows = genbank.read_genbank(spark, staged(flat_files(spark, d), "flat"))
+    return rows.select("seq_id", "length", "circular", F.md5("seq").alias("md5"), F.size("features").alias("n_features"), F.size("warnings").alias("n_warnings"))
+
+
+def gff3_by_lines(spark, d):
+    """Features of annotation written out and read by lines."""
+    rows = gff3.features_of(gff3.feature_lines(gff3.read_lines(spark, staged(gff_files(spark, d), "gff"))))
+    return rows.select("seq_id", "type", "strand", _spans(F.col("segments")).alias("segments"), _spans(F.col("ordered_segments")).alias("ordered"), "start", "end", "name", "locus_tag", "product", "protein_id", "transl_table", "phase", "id", "parent", "partial5")
+
+
+def fasta_by_splits(spark, d):
+    """Records of sequences written out in lines of 60 and read by splits."""
+    records = document_records(spark, d).where("length > 0")
+    text = F.concat(F.lit(">doc"), "seq_id", F.lit(" of length "), F.col("length").cast("string"), F.lit("\n"), wrapped_lines(as_text(F.col("seq"))))
+    rows = fasta_source.read_fasta(spark, staged(records.select(text.alias("text")), "fasta"))
+    return rows.select("seq_id", "description", "length", F.md5("seq").alias("md5"))
+
+
+def organism_headers(spark, d):
+    """What the headers of all flat files say of the organism, and the genetic code that follows."""
+    return codes.organism_of_lines(header_line_rows(flat_files(spark, d)))
+
+
 def header_lines(spark, d):
-    """What the flat files say of the organism, a text of all files."""
-    return header_text(flat_files(spark, d))
+    """What each flat file says of the organism."""
+    return header_text(flat_files(spark, d)).select("file_no", "header_text", codes.organism_table(F.col("header_text")).alias("table_id"))
 
 
 def load_pairs(spark, d):
@@ -217,11 +266,11 @@ def record_filter(spark, d):
     """How many stops a search for a record's name shows, passes and starts from."""
     hits = _numbered(spark, d).withColumns({c: F.lit(None).cast("string") for c in ("context", "gene_name", "locus_tag", "product", "feature_id")})
     found = select.filter_hits(hits, seq_id=" 12 ", strand="-")
-    return select.table_counts(select.sort_hits(found, "start", limit=100), found, hits)
+    return select.table_counts(select.sort_hits(found, "start", limit=select.SHOWN_ROWS), found, hits)
 
 
 _NAMES = (
-    fasta_records, raw_records, detected_kinds, gff3_features, gff3_warnings, genbank_records, genbank_features, header_lines, load_pairs, normalization_notes, spliced_hits, spliced_cds, spliced_genes, recoded_by_amino_acid,
+    fasta_records, raw_records, detected_kinds, gff3_features, gff3_warnings, genbank_records, genbank_features, genbank_many_records, genbank_by_splits, gff3_by_lines, fasta_by_splits, header_lines, organism_headers, load_pairs, normalization_notes, spliced_hits, spliced_cds, spliced_genes, recoded_by_amino_acid,
     tsv_rows, markdown_rows, frame_rows, gene_rows, json_rows, ambiguity_note, codon_colours, record_filter,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
@@ -310,7 +359,15 @@ UNION ALL SELECT DISTINCT doc_id::INTEGER, 'One or more features had an undefine
         "genbank_features": sql(f"""SELECT doc_id::INTEGER AS file_no, {record} AS seq_id, type, strand, segments, ordered, "start", "end", name, locus_tag, 'a "quoted" ' || product AS product, CASE WHEN feat_idx % 2 = 0 THEN 'P' || id END AS protein_id, transl_table,
   CASE WHEN type = 'CDS' THEN phase END AS phase, CASE WHEN known_end IS NOT NULL THEN concat_ws(':', "start", known_end, known_aa) END AS known, CASE WHEN feat_idx % 2 = 0 THEN 'P' || id ELSE locus_tag END AS id,
   feat_idx % 5 = 0 AND strand = '+' AS partial5, feat_idx % 5 = 0 AND strand = '-' AS partial3 FROM sp""", features, _SPLICED),
-        "header_lines": "SELECT string_agg('DEFINITION  A phage.', chr(10)) AS header_text FROM documents",
+        "genbank_many_records": sql(f"""SELECT (doc_id // {RECORDS_A_FILE})::INTEGER AS file_no, row_number() OVER (PARTITION BY doc_id // {RECORDS_A_FILE} ORDER BY doc_id, feat_idx) - 1 AS place, {record} AS seq_id, type, strand, segments,
+  CASE WHEN feat_idx % 2 = 0 THEN 'P' || id ELSE locus_tag END AS id FROM sp""", features, _SPLICED),
+        "genbank_by_splits": sql(f"SELECT {record} AS seq_id, L AS length, circular, md5(s) AS md5, coalesce(n, 0)::INTEGER AS n_features, 0 AS n_warnings FROM doc LEFT JOIN (SELECT doc_id, count(*) AS n FROM sp GROUP BY doc_id) USING (doc_id)", features, _SPLICED),
+        "gff3_by_lines": sql(f"SELECT * EXCLUDE (file_no) FROM ({_gff_sql()})", features, _SPLICED),
+        "fasta_by_splits": sql("SELECT 'doc' || doc_id AS seq_id, 'doc' || doc_id || ' of length ' || L AS description, L AS length, md5(s) AS md5 FROM doc WHERE L > 0", features),
+        "header_lines": f"""SELECT doc_id::INTEGER AS file_no, 'DEFINITION  ' || ({list(ORGANISMS)})[doc_id % 7 + 1] || ', ' || doc_id || '.' AS header_text, ([11, 5, NULL, 6, 2, 4, 1])[doc_id % 7 + 1]::INTEGER AS table_id FROM documents""",
+        "organism_headers": """SELECT *, CASE WHEN mitochondrial THEN CASE WHEN invertebrate THEN 5 ELSE 2 END WHEN mycoplasma THEN 4 WHEN ciliate AND NOT bacterial THEN 6 WHEN bacterial THEN 11 WHEN nuclear THEN 1 END AS table_id
+FROM (SELECT coalesce(bool_or(doc_id % 7 IN (1, 4)), false) AS mitochondrial, coalesce(bool_or(doc_id % 7 = 1), false) AS invertebrate, coalesce(bool_or(doc_id % 7 = 5), false) AS mycoplasma,
+  coalesce(bool_or(doc_id % 7 = 3), false) AS ciliate, coalesce(bool_or(doc_id % 7 = 0), false) AS bacterial, coalesce(bool_or(doc_id % 7 IN (4, 6)), false) AS nuclear FROM documents)""",
         "load_pairs": sql("""SELECT 'chr' || doc_id AS seq_id, type, n, L AS length, 'fasta' AS source_kind FROM doc JOIN (
   SELECT doc_id, type, count(*) AS n FROM (SELECT DISTINCT doc_id, 'gene' AS type, strand, "start" || '-' || "end" AS sig FROM sp UNION ALL SELECT DISTINCT doc_id, 'mRNA', strand, "start" || '-' || "end" FROM sp
     UNION ALL SELECT DISTINCT doc_id, 'CDS', strand, segments FROM sp UNION ALL SELECT DISTINCT doc_id, 'tRNA', '+', '3-9' FROM sp) GROUP BY ALL) USING (doc_id) WHERE doc_id % 2 = 0""", features, _SPLICED),
@@ -336,5 +393,5 @@ UNION ALL SELECT feat_idx + 1, array_to_string([coalesce(gene, ''), coalesce(loc
         "json_rows": sql("""SELECT hit_no, '{"id":"' || id || '","seq_id":"' || seq_id || '","start":' || named."start" || ',"end":' || named."end" || ',"strand":"' || strand || '","frame":' || frame || ',"codon":"' || codon || '","name":"' || name || '","wraps":' || wraps || '}' AS line FROM named""", docs_scan),
         "ambiguity_note": sql("SELECT n AS ambiguous_bases, CASE WHEN n > 0 THEN n || ' ambiguous base(s); codons that hold one count only if every reading is a stop' END AS note FROM (SELECT sum(length(translate(s, 'ACGT', '')))::BIGINT AS n FROM doc)", fold="s"),
         "codon_colours": sql("SELECT codon, (CASE codon WHEN 'TAA' THEN 0 WHEN 'TAG' THEN 1 WHEN 'TGA' THEN 2 ELSE 5 END)::INTEGER AS colour, count(*) AS n FROM hits GROUP BY ALL", docs_scan, fold="s"),
-        "record_filter": sql("SELECT least(100, count(*) FILTER (contains(seq_id, '12') AND strand = '-')) AS shown, count(*) FILTER (contains(seq_id, '12') AND strand = '-') AS filtered, count(*) AS total FROM hits", docs_scan),
+        "record_filter": sql("SELECT least(5000, count(*) FILTER (contains(seq_id, '12') AND strand = '-')) AS shown, count(*) FILTER (contains(seq_id, '12') AND strand = '-') AS filtered, count(*) AS total FROM hits", docs_scan),
     }
