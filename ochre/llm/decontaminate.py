@@ -1,19 +1,27 @@
-"""Benchmark decontamination: n-gram seeds, then local alignment.
-
-1. One pass over the texts finds every place where an n-gram of a benchmark item
-   stands.  All of an item's n-grams are seeds, however often they occur: the ones that
-   an edited copy keeps may be the commonest of the item.
-2. Each stretch around seeds of an item is aligned with the item word by word
+"""Benchmark decontamination: rare n-gram seeds, then local alignment.
+
+1. One pass over the texts counts the n-grams of the benchmark items.  Seeds are two
+   words long for items of up to 11 words, three up to 23 and four beyond (an item of up
+   to three words is one seed as a whole), as short items have few places that an edit leaves alone.
+2. An item's seeds are its rarest n-grams: by the number of places in the corpus, times
+   that of items which share them.  All that are rare (``RARE_PLACES``, or a share
+   ``RARE_SHARE`` of the corpus' words) are taken, and at least 2 in 3 of the item's
+   words plus one, so common n-grams and phrases that many items share are left out.
+   With seeds of two words, words changed or left out can't break all of these in a
+   copy that scores a half or more: each costs three of the item's 2n points and breaks two.
+3. A second pass finds the seeds, joins the places with the items, and
+   aligns each stretch around seeds of an item with the item word by word
    (Smith-Waterman), unless it has too few of the item's words to score enough.  The
    score is the best local alignment's share of the item's own score, so copies with
    words changed, put in or left out still score high.
 
 The benchmark is the stated query set: it is taken in blocks of at most
-``BLOCK_ITEMS_BYTES`` of text, each block small enough to send to the executors.
+``BLOCK_ITEMS_BYTES`` of text, each block small enough to send to the executors; each block
+takes the two passes.  Places are joined with items ``PART_POSTINGS`` at a time.
 
 Defined results: words are runs of letters and digits (and all non-ASCII) of the text
 lower-cased by Spark's ``lower``; null or empty texts have none and match nothing; an item with fewer
-words than a seed has is one seed as a whole; an item without words matches nothing;
+than four words matches only where it stands as a whole; an item without words matches nothing;
 repeated items match each; rows that agree in ``doc_id`` and text are one document;
 rows with a null ``doc_id`` are judged like others; a long text is taken whole, in memory
 of about thirty times its bytes; of equally good alignments the first counts; tables may
@@ -32,10 +40,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, map_arrow, text_bytes, written
-from .hashing import mixed, piece_hashes, runs
+from .hashing import mixed, piece_hashes, ragged, runs
 
-SEED_WORDS = 4
-BLOCK_ITEMS_BYTES = 16 << 20
+BLOCK_ITEMS_BYTES = 4 << 20
+#: Items of fewer words than each of these have seeds of so many words; others have ``MOST_WORDS``.
+SEED_LENGTHS, MOST_WORDS = {12: 2, 24: 3}, 4
+#: Places (times items) up to which an n-gram is rare: so many, or so many for each word of the corpus.
+RARE_PLACES, RARE_SHARE = 1000, 1e-5
 #: Bytes of the table of documents to be dropped that may be sent to executors, at 24 a row.
 SENT_BYTES = 8 << 20
 PART_POSTINGS = 1 << 20
@@ -55,13 +66,21 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return hashes, np.searchsorted(text[words], np.arange(len(bounds)))
 
 
-def ngrams(words: np.ndarray, n: int = SEED_WORDS) -> np.ndarray:
+def seed_words(n: np.ndarray) -> np.ndarray:
+    """The length of the seeds of items of ``n`` words."""
+    out = np.full(len(n), MOST_WORDS)
+    for below, words in sorted(SEED_LENGTHS.items(), reverse=True):
+        out[n < below] = words
+    return np.where(n < 4, n, out)
+
+
+def ngrams(words: np.ndarray, n: int) -> np.ndarray:
     """The hash of the ``n`` words from each place on; meaningless where a text ends before."""
     with np.errstate(over="ignore"):
         out = np.zeros(len(words), np.uint64)
         for k in range(min(n, len(words))):
             out[: len(words) - k] += words[k:] * _SEEDS[k]
-    return mixed(out)
+    return mixed(out) ^ np.uint64(n)
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -92,10 +111,17 @@ class Items(NamedTuple):
     ids: list
     words: np.ndarray
     ends: np.ndarray
+    sizes: list[int]  # lengths of n-grams
     grams: np.ndarray  # ascending
-    gram: np.ndarray  # each posting's n-gram, by number
+    gram: np.ndarray  # each posting's n-gram, by number; ascending
     item: np.ndarray
     place: np.ndarray
+    own_words: np.ndarray  # keys of items with their words, ascending
+
+
+def _with_item(words: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """A key of a word and the item it may be of."""
+    return mixed(words ^ mixed(item.astype(np.uint64) + np.uint64(1)))
 
 
 def index_items(ids: list, texts: list[str]) -> Items:
@@ -105,30 +131,91 @@ def index_items(ids: list, texts: list[str]) -> Items:
     n = np.diff(ends)
     item = np.repeat(np.arange(len(ids)), n)
     place = np.arange(len(words)) - np.repeat(ends[:-1], n)
-    grams = ngrams(words)
-    for short in range(1, SEED_WORDS):
-        own = (n[item] == short) & (place == 0)
-        grams[own] = ngrams(words, short)[own] ^ np.uint64(short)
-    use = (place + SEED_WORDS <= n[item]) | (place == 0)
+    size = seed_words(n)[item]
+    grams = np.zeros(len(words), np.uint64)
+    sizes = np.unique(size).tolist()
+    for w in sizes:
+        grams[size == w] = ngrams(words, w)[size == w]
+    use = place + size <= n[item]
     distinct, gram = np.unique(grams[use], return_inverse=True)
-    return Items(ids, words, ends, distinct, gram, item[use], place[use])
+    order = np.argsort(gram, kind="stable")
+    return Items(ids, words, ends, sizes, distinct, gram[order], item[use][order], place[use][order], np.unique(_with_item(words, item)))
+
+
+def rare_seeds(items: Items, counts: np.ndarray, total: int) -> Items:
+    """``items`` with the postings of rare n-grams alone; ``counts``: places of each n-gram among ``total`` words."""
+    shared = np.bincount(items.gram, minlength=len(items.grams))
+    volume = (counts * shared)[items.gram]
+    order = np.lexsort((items.place, volume, items.item))
+    rank = np.empty(len(order), np.int64)
+    sorted_ = items.item[order]
+    rank[order] = np.arange(len(order)) - np.searchsorted(sorted_, sorted_)
+    enough = 2 * np.diff(items.ends)[items.item] // 3 + 1
+    keep = (counts[items.gram] > 0) & ((rank < enough) | (volume <= max(RARE_PLACES, RARE_SHARE * total)))
+    left, gram = np.unique(items.gram[keep], return_inverse=True)
+    return items._replace(grams=items.grams[left], gram=gram, item=items.item[keep], place=items.place[keep])
 
 
 def _gram_places(items: Items, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place among all words, number of the n-gram) wherever an n-gram of the block stands."""
+    """(place among all words, number of the n-gram) wherever an n-gram of the block stands, in the order of places."""
     left = np.repeat(ends[1:], np.diff(ends)) - np.arange(len(words))
-    places, numbers = [], []
-    for n in np.unique(np.minimum(np.diff(items.ends), SEED_WORDS)).tolist():
-        if not n:
+    places, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n in items.sizes:
+        if not len(items.grams) or not len(words):
             continue
         grams = ngrams(words, n)
-        if n < SEED_WORDS:
-            grams ^= np.uint64(n)
         at = np.minimum(np.searchsorted(items.grams, grams), len(items.grams) - 1)
         hit = np.flatnonzero((items.grams[at] == grams) & (left >= n))
         places.append(hit)
         numbers.append(at[hit])
-    return np.concatenate(places), np.concatenate(numbers)
+    place, number = np.concatenate(places), np.concatenate(numbers)
+    order = np.argsort(place, kind="stable")
+    return place[order], number[order]
+
+
+def _counts(documents: DataFrame, items: Items) -> tuple[np.ndarray, int]:
+    """How often each n-gram of a block stands in the texts, and the number of their words."""
+    sent = documents.sparkSession.sparkContext.broadcast(items)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        total = np.zeros(len(own.grams) + 1, np.int64)  # the last is that of words
+        for batch in blocks(batches, "text"):
+            words, ends = word_hashes(*text_bytes(batch, "text"))
+            total += np.bincount(np.append(_gram_places(own, words, ends)[1], len(own.grams)), minlength=len(total))
+            total[-1] += len(words) - 1
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["gram", "n"])
+
+    counts = np.zeros(len(items.grams) + 1, np.int64)
+    for r in map_arrow(documents.select("text"), count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # a row an n-gram of the block
+        counts[r["gram"]] = r["n"]
+    return counts[:-1], int(counts[-1])
+
+
+def _stretches(own: Items, words: np.ndarray, ends: np.ndarray, spot: np.ndarray, item: np.ndarray, place: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, item, first and last word of the stretches around seeds that have enough of the item's words to score ``least``."""
+    text = np.searchsorted(ends, spot, "right") - 1
+    start = spot - place  # where the item would start
+    n = np.diff(own.ends)[item]
+    order = np.lexsort((start, item, text))
+    text, item, start, n = text[order], item[order], start[order], n[order]
+    margin = n // 2 + 2
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (start[1:] - margin[1:] > start[:-1] + (n + margin)[:-1])
+    heads = np.flatnonzero(new)
+    tails = np.append(heads[1:], len(text)) - 1
+    text, item, n = text[heads], item[heads], n[heads]
+    a, b = np.maximum(start[heads] - margin[heads], ends[text]), np.minimum(start[tails] + (n + margin[heads]), ends[text + 1])
+    good = np.zeros(len(heads), bool)
+    width = b - a
+    step = np.cumsum(width) // PART_POSTINGS
+    for k in np.unique(step).tolist():  # words are looked up a bounded number at a time
+        lot = np.flatnonzero(step == k)
+        keys = _with_item(words[ragged(a[lot], width[lot])], np.repeat(item[lot], width[lot]))
+        at = np.minimum(np.searchsorted(own.own_words, keys), len(own.own_words) - 1)
+        good[lot] = np.add.reduceat((own.own_words[at] == keys).astype(np.int64), np.cumsum(width[lot]) - width[lot]) >= least * n[lot]
+    return text[good], item[good], a[good], b[good]
 
 
 def _score(documents: DataFrame, items: Items, least: float) -> DataFrame:
@@ -136,34 +223,21 @@ def _score(documents: DataFrame, items: Items, least: float) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        by_gram = np.argsort(own.gram, kind="stable")
-        gram, item, place = own.gram[by_gram], own.item[by_gram], own.place[by_gram]
         for batch in blocks(batches, "text"):
             words, ends = word_hashes(*text_bytes(batch, "text"))
             places, numbers = _gram_places(own, words, ends)
-            by_place = np.argsort(places, kind="stable")
-            places, numbers = places[by_place], numbers[by_place]
-            a, b = np.searchsorted(gram, numbers, "left"), np.searchsorted(gram, numbers, "right")
-            rows = []
-            for part in _parts(np.searchsorted(ends, places, "right") - 1, b - a):
-                many = (b - a)[part]
-                posting = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(a[part], many)
-                spot = np.repeat(places[part], many)
-                text = np.searchsorted(ends, spot, "right") - 1
-                start = spot - place[posting]  # where the item would start
-                order = np.lexsort((start, item[posting], text))
-                last, stretches = None, []
-                for t, i, s in [*zip(text[order].tolist(), item[posting][order].tolist(), start[order].tolist()), (None, None, 0)]:
-                    if (t, i) != last:
-                        if last is not None:
-                            rows += _best(own, words, ends, *last, stretches, least)
-                        last, stretches = (t, i), []
-                    n = int(own.ends[i + 1] - own.ends[i]) if i is not None else 0
-                    if stretches and s - n // 2 - 2 <= stretches[-1][1]:
-                        stretches[-1][1] = s + n + n // 2 + 2
-                    else:
-                        stretches.append([s - n // 2 - 2, s + n + n // 2 + 2])
-            if rows:
+            first, last = np.searchsorted(own.gram, numbers, "left"), np.searchsorted(own.gram, numbers, "right")
+            best: dict[tuple[int, int], tuple] = {}
+            for spot, posting in _parts(places, first, last):
+                for text, item, a, b in zip(*map(np.ndarray.tolist, _stretches(own, words, ends, spot, own.item[posting], own.place[posting], least))):
+                    target = own.words[own.ends[item] : own.ends[item + 1]]
+                    found, begin, end = align(target, words[a:b])
+                    share = found / (MATCH * len(target))
+                    row = (share, begin + a - int(ends[text]), end + a - int(ends[text]))
+                    if share >= least and (-share, *row[1:]) < best.get((text, item), (0,)):
+                        best[text, item] = (-share, *row[1:])
+            if best:
+                rows = [(t, own.ids[i], -x[0], x[1], x[2]) for (t, i), x in sorted(best.items())]
                 columns = list(zip(*rows))
                 at = pa.array(columns[0])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("text_hash").take(at), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.int32())], names=[x.split()[0] for x in FOUND.split(", ")])
@@ -171,31 +245,13 @@ def _score(documents: DataFrame, items: Items, least: float) -> DataFrame:
     return map_arrow(documents, score, FOUND)
 
 
-def _parts(text: np.ndarray, n: np.ndarray) -> Iterator[slice]:
-    """Cuts places, which lie in order, between texts so that a part has at most ``PART_POSTINGS`` postings; a text with more stands alone."""
-    heads = np.flatnonzero(np.diff(text, prepend=-1))
-    stops = np.append(heads[1:], len(text))
-    total = np.concatenate([[0], np.cumsum(n)])
-    k = 0
-    while k < len(heads):
-        last = max(k, int(np.searchsorted(total[stops], total[heads[k]] + PART_POSTINGS, "right")) - 1)
-        yield slice(int(heads[k]), int(stops[last]))
-        k = last + 1
-
-
-def _best(own: Items, words: np.ndarray, ends: np.ndarray, text: int, item: int, stretches: list, least: float) -> list[tuple]:
-    """The best alignment of an item within the stretches of a text, as a row; none if it scores too low."""
-    target = own.words[own.ends[item] : own.ends[item + 1]]
-    best = (0, 0, 0)
-    for a, b in stretches:
-        a, b = max(a, int(ends[text])), min(b, int(ends[text + 1]))
-        if np.count_nonzero(np.isin(words[a:b], target)) < least * len(target):  # no alignment can match more
-            continue
-        found, begin, end = align(target, words[a:b])
-        if found > best[0]:
-            best = (found, begin + a - int(ends[text]), end + a - int(ends[text]))
-    share = best[0] / (MATCH * len(target))
-    return [(text, own.ids[item], share, best[1], best[2])] if share >= least else []
+def _parts(places: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places joined with postings ``first`` to ``last`` of each, at most ``PART_POSTINGS`` pairs at a time: place and posting of each pair."""
+    ends = np.cumsum(last - first)
+    for begin in range(0, int(ends[-1]) if len(ends) else 0, PART_POSTINGS):
+        pair = np.arange(begin, min(begin + PART_POSTINGS, int(ends[-1])))
+        at = np.searchsorted(ends, pair, "right")
+        yield places[at], first[at] + pair - (ends[at] - (last - first)[at])
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, least: float = 0.5) -> DataFrame:
@@ -211,7 +267,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, least: float = 0.5)
         own = index_items([r["item_id"] for r in rows], [r["text"] for r in rows])
         if not len(own.grams):
             continue
-        found.append(_score(texts, own, least))
+        own = rare_seeds(own, *_counts(texts, own))
+        if len(own.grams):
+            found.append(_score(texts, own, least))
     if not found:
         return spark.createDataFrame([], FOUND)
     return reduce(DataFrame.unionByName, found).distinct()

@@ -7,8 +7,8 @@ ordered thresholds turn it into the probability of each grade or better:
 and tail probabilities.
 
 The fit uses at most ``max_rows`` labelled documents, those with the smallest hashes
-of their ids, and of each at most ``max_features`` features, those with the smallest
-numbers; these come to the driver, so the two parameters bound its memory.
+of their ids, and of these as many as have at most ``max_bytes`` of features (4 bytes
+each), every one whole; they come to the driver, so the two parameters bound its memory.
 Scoring is one pass without a shuffle; the weights (4 bytes a hash bucket) are sent
 to each executor once.
 
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import blocks, map_arrow, text_bytes
+from .common import blocks, map_arrow, temporary, text_bytes, written
 from .hashing import LOWER, mixed, piece_hashes, runs
 
 #: log2 of the hash buckets.
@@ -121,8 +121,12 @@ def fit_ordinal(index: np.ndarray, starts: np.ndarray, grades: np.ndarray, n_gra
     return OrdinalModel(weights.astype(np.float32), thresholds, bits)
 
 
-def fit(documents: DataFrame, grades: DataFrame, n_grades: int, max_rows: int = 20_000, bits: int = BITS, min_rows: int = 3, max_features: int = 1 << 15) -> OrdinalModel:
-    """Fits on ``documents`` with ``grades`` (doc_id, grade from 0): at most ``max_rows`` of them, on features that at least ``min_rows`` of those have."""
+def fit(documents: DataFrame, grades: DataFrame, n_grades: int, max_rows: int = 20_000, bits: int = BITS, min_rows: int = 3, max_bytes: int = 192 << 20) -> OrdinalModel:
+    """Fits on ``documents`` with ``grades`` (doc_id, grade from 0), on features that at least ``min_rows`` of those have.
+
+    They are taken in the order of a hash of their ids, each with all its features: at most
+    ``max_rows``, and as many as fit in ``max_bytes`` of features.
+    """
     graded = grades.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     sample = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # bounded, so it may be broadcast
     rows = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "grade")
@@ -130,11 +134,18 @@ def fit(documents: DataFrame, grades: DataFrame, n_grades: int, max_rows: int =
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
             index, starts = features(*text_bytes(batch, "text"), bits)
-            own = [index[a : min(b, a + max_features)].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+            own = [index[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array(own, pa.binary())], names=["doc_id", "grade", "index"])
 
     one = map_arrow(rows, extract, "doc_id long, grade int, index binary").groupBy("doc_id").agg(F.min(F.struct("index", "grade")).alias("_r"))  # a row a document of the sample
-    found = one.select("doc_id", "_r.grade", "_r.index").toArrow().sort_by("doc_id")
+    with temporary(documents.sparkSession):
+        kept = written(one.select("doc_id", "_r.grade", "_r.index"), "graded")
+        sizes = kept.select("doc_id", F.xxhash64("doc_id").alias("h"), F.octet_length("index").cast("long").alias("n")).toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])
+        fits = int(np.searchsorted(np.cumsum(sizes["n"].to_numpy()), max_bytes, "right"))
+        if fits < len(sizes):
+            some = documents.sparkSession.createDataFrame([(x,) for x in sizes["doc_id"].to_pylist()[:fits]], "doc_id long")
+            kept = kept.join(F.broadcast(some), "doc_id", "left_semi")  # at most max_rows ids
+        found = kept.toArrow().sort_by("doc_id")
     parts = [np.frombuffer(x, np.int32) for x in found["index"].to_pylist()]
     starts = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
     index = np.concatenate(parts) if parts else np.zeros(0, np.int32)

@@ -62,8 +62,27 @@ def test_repeated_ids_count_once(spark):
     for _ in range(5):
         many = many.unionByName(docs.where("doc_id = 7"))
     assert (quality.fit(many, grades.unionByName(grades), n_grades=3).weights == once.weights).all()
-    fewer = quality.fit(many, grades, n_grades=3, max_features=4)
-    assert np.count_nonzero(fewer.weights) <= 4 * 60
+
+
+def test_long_texts_are_fitted_whole(spark, monkeypatch):
+    """No feature of a text of 60,000 distinct words is left out; documents beyond the bound on bytes are left out whole."""
+    texts = [" ".join(f"w{k}" for k in range(n, n + 60_000)) for n in (0, 1, 2, 3)] + ["short text"] * 6
+    docs = documents(spark, texts)
+    grades = spark.createDataFrame([(k, k % 2) for k in range(len(texts))], "doc_id long, grade int")
+    seen = []
+    monkeypatch.setattr(quality, "fit_ordinal", lambda index, starts, own, n, bits: seen.append((index, starts, own)))
+    quality.fit(docs, grades, n_grades=2)
+    lengths = np.diff(seen[0][1])
+    whole = [len(np.diff(quality.features(*raw(t), quality.BITS)[1])) and quality.features(*raw(t), quality.BITS)[1][1] for t in texts]
+    assert len(lengths) == 10 and lengths.max() > 50_000 and all(n - w <= 0 and w - n < 100 for n, w in zip(lengths[:4], whole[:4]))
+    quality.fit(docs, grades, n_grades=2, min_rows=1, max_bytes=500_000)
+    assert 4 * len(seen[1][0]) <= 500_000 and 0 < len(seen[1][2]) < 10
+    assert all(n in whole for n in np.diff(seen[1][1]).tolist())
+
+
+def raw(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    return data, np.array([0, len(data)])
 
 
 def test_equal_texts_get_equal_scores(spark):

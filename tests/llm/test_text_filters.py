@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pytest
 from corpora import documents, empty, odd_texts, prose
 from pyspark.sql import functions as F
 
@@ -221,7 +222,7 @@ def test_contamination(spark):
         words = word_list(text)
         for i, item in enumerate(items):
             own = word_list(item)
-            if own and runs_of(words, min(4, len(own))) & runs_of(own, min(4, len(own))) and brute_alignment(own, words) >= len(own):
+            if own and (len(own) >= 4 or runs_of(words, len(own)) & runs_of(own, len(own))) and brute_alignment(own, words) >= len(own):
                 expected.add((k, i))
     assert {(r["doc_id"], r["item_id"]) for r in rows} == expected
     n = len(odd_texts()) + 15
@@ -244,15 +245,76 @@ def test_contamination_by_edited_copies(spark, monkeypatch):
     copies += [(7, " ".join([*items[7].split(" ")[:24], *prose(r, 16).split(" ")])) for _ in range(5)] + [(7, items[7])]
     texts = [f"{prose(r, 25)} {copy} {prose(r, 25)}" for _, copy in copies]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    wanted = {(d, i) for d, text in enumerate(texts) for i, item in enumerate(items) if runs_of(word_list(item), 4) & runs_of(word_list(text), 4) and brute_alignment(word_list(item), word_list(text)) >= len(word_list(item))}
+    wanted = {(d, i) for d, text in enumerate(texts) for i, item in enumerate(items) if brute_alignment(word_list(item), word_list(text)) >= len(word_list(item))}
     assert {(d, i) for d, (i, _) in enumerate(copies)} <= wanted
     rows = decontaminate.contaminated(documents(spark, texts), bench).collect()
     assert {(r["doc_id"], r["item_id"]) for r in rows} == wanted
     assert decontaminate.decontaminate(documents(spark, texts), bench).count() == 0
-    monkeypatch.setattr(decontaminate, "PART_POSTINGS", 30)  # many parts give the same
-    text = np.array([0, 0, 2, 2, 2, 5])
-    assert [(p.start, p.stop) for p in decontaminate._parts(text, np.array([9, 9, 20, 20, 20, 1]))] == [(0, 2), (2, 5), (5, 6)]
-    assert [(p.start, p.stop) for p in decontaminate._parts(text, np.array([1, 1, 1, 1, 1, 1]))] == [(0, 6)] and not list(decontaminate._parts(text[:0], text[:0]))
+    monkeypatch.setattr(decontaminate, "PART_POSTINGS", 7)  # a few pairs at a time give the same
+    found = []
+    own = decontaminate.index_items(list(range(8)), items)
+    for text in texts:
+        words, ends = decontaminate.word_hashes(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        places, numbers = decontaminate._gram_places(own, words, ends)
+        first, last = np.searchsorted(own.gram, numbers, "left"), np.searchsorted(own.gram, numbers, "right")
+        pairs = [(s, q) for spot, posting in decontaminate._parts(places, first, last) for s, q in zip(spot.tolist(), posting.tolist())]
+        assert pairs == [(s, q) for s, a, b in zip(places.tolist(), first.tolist(), last.tolist()) for q in range(a, b)]
+        found.append(len(pairs))
+    assert max(found) > 14
+
+
+def edited(r, words, share):
+    """A copy with a share of words changed, left out, or followed by another."""
+    out = []
+    for w in words:
+        kind = r.choice(["change", "drop", "add"]) if r.random() < share else ""
+        out += {"": [w], "change": [f"n{r.randrange(10**6)}"], "drop": [], "add": [w, f"n{r.randrange(10**6)}"]}[kind]
+    return out
+
+
+def recall(spark, r, sizes, share, copies):
+    """Of all pairs that score a half or more by alignment alone, the share found."""
+    items = [word_list(prose(r, n)) for n in sizes]
+    texts = [prose(r, 15) + " " + " ".join(edited(r, item, share)) + " " + prose(r, 15) for item in items for _ in range(copies)] + [prose(r, 60) for _ in range(30)]
+    bench = spark.createDataFrame([(k, " ".join(item)) for k, item in enumerate(items)], "item_id long, text string")
+    wanted = {(d, i) for d, text in enumerate(texts) for i, item in enumerate(items) if brute_alignment(item, word_list(text)) >= len(item)}
+    rows = decontaminate.contaminated(documents(spark, texts), bench).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in rows} <= wanted and len(wanted) > len(items) * copies / 2
+    return len({(x["doc_id"], x["item_id"]) for x in rows}) / len(wanted)
+
+
+@pytest.mark.parametrize("sizes", [(5, 5, 6, 6, 7, 8), (9, 10, 11, 12, 13, 14), (16, 20, 23, 24, 27, 30)], ids=["short", "middle", "long"])
+@pytest.mark.parametrize("share", [0.2, 0.3])
+def test_recall_against_all_alignments(spark, sizes, share):
+    found = recall(spark, random.Random(11), sizes, share, 8)
+    print(f"recall, items of {min(sizes)} to {max(sizes)} words, {share:.0%} edits: {found:.3f}")
+    assert found >= 0.9
+
+
+def test_one_word_in_four_changed(spark):
+    """No four words in a row are left."""
+    r = random.Random(3)
+    item = prose(r, 14).split(" ")
+    docs = documents(spark, [" ".join(f"x{k}" if k % 4 == 3 else w for k, w in enumerate(item))])
+    rows = decontaminate.contaminated(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert len(rows) == 1 and rows[0]["score"] > 0.6
+
+
+def test_seeds_are_rare():
+    """Common n-grams, and those that many items share, are no seeds, but enough others are."""
+    phrase = "in the middle of the night"
+    r = random.Random(5)
+    items = [f"{prose(r, 20)} {phrase}" for _ in range(50)]
+    own = decontaminate.index_items(list(range(50)), items)
+    shared = np.bincount(own.gram, minlength=len(own.grams))
+    counts = np.where(shared > 10, 5000, 1)
+    kept = decontaminate.rare_seeds(own, counts, 10**6)
+    assert set(np.bincount(kept.gram).tolist()) <= set(range(1, 11)) and len(kept.grams) < len(own.grams)
+    n = np.diff(own.ends)
+    assert (np.bincount(kept.item, minlength=50) >= np.minimum(2 * n // 3 + 1, np.bincount(own.item, minlength=50))).all()
+    assert (np.diff(kept.gram) >= 0).all() and kept.gram.max() == len(kept.grams) - 1
+    none = decontaminate.rare_seeds(own, np.zeros(len(own.grams), np.int64), 0)
+    assert not len(none.grams) and not len(none.gram)
 
 
 def test_contamination_in_capitals(spark):
