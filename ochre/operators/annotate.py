@@ -1,10 +1,12 @@
 """Where a stop lies: terminator, inside a gene, or between genes.
 
 Matching is on the same strand only.  Terminators come from the features: each CDS
-or ORF claims the one stop at its true end.  Other stops meet features by a binned
-interval join: segments and stops are dealt to bins of ``BIN`` bases and joined on
-record, strand and bin, with the overlap as a further condition, so no record is
-joined as a whole.
+or ORF claims the one stop at its true end.  Other stops meet features by an interval
+join over bins of several levels: a segment stands at the level whose bins are as wide as
+itself, so in two bins at most however long it is, and a stop looks up one bin a level, of
+the levels that occur.  The join is on record, strand and bin, with the overlap as a
+further condition, so no record is joined as a whole.  Claims come in by the same join,
+as rows of the bin of their stop, so stops are shuffled once for all of it.
 """
 
 from __future__ import annotations
@@ -16,7 +18,8 @@ from ..functions import codes
 from ..functions.sequence import feature_key, non_empty
 from ..schema import CODING, NONCODING
 
-BIN = 4096
+#: The width of the narrowest bins, and by how many powers of two those of the next level are wider.
+BIN, STEP, LEVELS = 4096, 6, 4
 #: What tells a stop from all others.
 KEY = ["seq_id", "strand", "rpos"]
 ADDED = ("context", "gene_name", "locus_tag", "product", "feature_id", "in_frame", "recoding_candidate", "recoded_aa", "terminator_feature_ids")
@@ -59,7 +62,7 @@ def _stops_here(codon: Column) -> Column:
 
 
 def assign_terminators(hits: DataFrame, features: DataFrame, table_id: int = codes.DEFAULT) -> DataFrame:
-    """``seq_id, strand, rpos, feat_idx, type, span, names, included``: the stop that each CDS or ORF ends with.
+    """``seq_id, strand, rpos, codon, feat_idx, type, span, names, included, start``: the stop that each CDS or ORF ends with.
 
     First the feature's own last codon, if it is an in-frame stop under the feature's
     code; else the codon right after the feature.
@@ -75,35 +78,70 @@ def assign_terminators(hits: DataFrame, features: DataFrame, table_id: int = cod
     met = coding.join(placed.withColumnRenamed("seq_id", "_seq").withColumnRenamed("strand", "_strand"), (F.col("seq_id") == F.col("_seq")) & (F.col("strand") == F.col("_strand")) & (F.col("_end") == F.col("at")))
     offset = coding_offset(F.col("strand"), F.col("ordered_segments"), F.col("start"), F.col("end"))
     fits = _stops_here(F.col("codon")) & ((F.col("way") == 1) | in_reading_frame(offset, F.col("phase")))
-    first = F.min(F.struct("way", "wraps", "rpos", "codon")).alias("_hit")
+    first = F.min(F.struct("way", "wraps", "rpos", "codon", "start")).alias("_hit")
     chosen = met.where(fits).groupBy("seq_id", "strand", "feat_idx").agg(first, F.first("type").alias("type"), F.first("span").alias("span"), F.first("names").alias("names"))
-    return chosen.select("seq_id", "strand", F.col("_hit.rpos").alias("rpos"), F.col("_hit.codon").alias("codon"), "feat_idx", "type", "span", "names", (F.col("_hit.way") == 0).alias("included"))
+    return chosen.select("seq_id", "strand", F.col("_hit.rpos").alias("rpos"), F.col("_hit.codon").alias("codon"), "feat_idx", "type", "span", "names", (F.col("_hit.way") == 0).alias("included"), F.col("_hit.start").alias("start"))
 
 
-def overlapping(hits: DataFrame, features: DataFrame, bin_size: int = BIN) -> DataFrame:
-    """Pairs of stop and feature of one strand of which some segment overlaps: the hit's key, ``feat_idx`` and the greatest such segment."""
-    segments = features.select("feat_idx", "seq_id", "strand", F.explode("segments").alias("_s")).select("feat_idx", "seq_id", "strand", F.col("_s.start").alias("_from"), F.col("_s.end").alias("_to"))
-    binned = segments.select("*", F.explode(F.sequence(F.floor(F.col("_from") / bin_size), F.floor(F.col("_to") / bin_size))).alias("_bin"))
-    places = F.explode(F.array_distinct(F.array(F.floor(F.col("start") / bin_size), F.floor(F.col("end") / bin_size)))).alias("_bin")
-    met = hits.select(*KEY, "start", "end", places).join(binned, ["seq_id", "strand", "_bin"]).where("_to >= start AND _from <= end")
-    return met.groupBy(*KEY, "start", "end", "feat_idx").agg(F.max(F.struct(F.col("_from").alias("start"), F.col("_to").alias("end"))).alias("segment"))
+def _level(width: Column) -> Column:
+    """The lowest level whose bins are at least ``width`` wide."""
+    out = F.lit(LEVELS - 1)
+    for k in reversed(range(LEVELS - 1)):
+        out = F.when(width <= BIN << STEP * k, k).otherwise(out)
+    return out
+
+
+def _bin(place: Column, level: Column | int) -> Column:
+    """A number for the bin of a level in which a place lies."""
+    sizes = [BIN << STEP * k for k in range(LEVELS)]
+    size = F.lit(sizes[level]) if isinstance(level, int) else F.get(F.array(*map(F.lit, sizes)), level)
+    return F.floor(place / size) * LEVELS + level
+
+
+def segment_bins(features: DataFrame) -> DataFrame:
+    """A row a segment and bin in which a stop that overlaps it may start, at most two for each: the features' columns, ``_s`` and ``_bin``."""
+    segments = features.select("*", F.explode("segments").alias("_s"))
+    first, last = F.col("_s.start") - 2, F.col("_s.end")
+    leveled = segments.withColumn("_level", _level(last - first + 1).cast("int"))
+    bins = F.array_distinct(F.array(_bin(first, F.col("_level")), _bin(last, F.col("_level"))))
+    # beyond the widest bins, all between
+    size = BIN << STEP * (LEVELS - 1)
+    wide = F.transform(F.sequence(F.floor(first / size), F.floor(last / size)), lambda k: k * LEVELS + (LEVELS - 1))
+    return leveled.select("*", F.explode(F.when(last - first < size, bins).otherwise(wide)).alias("_bin")).drop("_level")
+
+
+def levels_of(features: DataFrame) -> int:
+    """How many levels hold the segments of ``features``."""
+    widest = features.agg(F.max(F.array_max(F.transform("segments", lambda s: s["end"] - s["start"] + 3))).alias("w")).first()["w"]
+    return next((k + 1 for k in range(LEVELS - 1) if (widest or 0) <= BIN << STEP * k), LEVELS)
 
 
 def annotate(hits: DataFrame, features: DataFrame, table_id: int = codes.DEFAULT) -> DataFrame:
     """``hits`` with their context; every hit stays."""
-    known = _prepared(features, table_id)
+    known = _prepared(features.where(F.col("type").isin(*CODING, *NONCODING)), table_id)
+    order = F.struct((~F.col("coding")).alias("_c"), "span", F.struct("_s.start", "_s.end").alias("segment"), "feat_idx", "type", F.col("strand").alias("_fs"), "ordered_segments", "phase", "stops", "transl_except", "names")
     claims = assign_terminators(hits, features, table_id)
-    best = F.min(F.struct("span", (-F.col("feat_idx")).alias("_later"), "type", "names")).alias("_t")
-    ids = F.sort_array(F.collect_list(F.when(F.col("names.feature_id").isNotNull(), F.struct("feat_idx", F.col("names.feature_id").alias("fid"))))).alias("_ids")
-    claims = claims.groupBy(*KEY).agg(best, ids)
-    claims = claims.select(*KEY, "_t", F.array_distinct("_ids.fid").alias("_ids"))
-
-    pairs = overlapping(hits.where("NOT wraps"), features.where(F.col("type").isin(*CODING, *NONCODING)))
-    detail = known.select("feat_idx", "type", "coding", "span", F.col("strand").alias("_fs"), "ordered_segments", "phase", "stops", "transl_except", "names")
-    order = F.struct((~F.col("coding")).alias("_c"), "span", "segment", "feat_idx", "type", F.col("_fs"), "ordered_segments", "phase", "stops", "transl_except", "names")
-    inside = pairs.join(detail, "feat_idx").groupBy(*KEY).agg(F.min(order).alias("_f"))
-
-    joined = hits.join(claims, KEY, "left").join(inside, KEY, "left")
+    ending = F.struct("span", (-F.col("feat_idx")).alias("_later"), "type", "names", "feat_idx")
+    none = lambda c: F.lit(None).cast(c)
+    rows = segment_bins(known).select("seq_id", "strand", "_bin", F.col("_s.start").alias("_from"), F.col("_s.end").alias("_to"), none("int").alias("_rpos"), "segments", order.alias("_f"))
+    rows = rows.unionByName(claims.select("seq_id", "strand", _bin(F.col("start"), 0).alias("_bin"), F.col("rpos").alias("_rpos"), ending.alias("_t")), allowMissingColumns=True)
+
+    levels = levels_of(features.where(F.col("type").isin(*CODING, *NONCODING)))
+    own = hits.withColumn("_hit", F.struct(*hits.columns)).select(*KEY, "wraps", "start", "end", "_hit")
+    if levels == 1:
+        own = own.withColumn("_bin", _bin(F.col("start"), 0))
+    else:
+        own = own.withColumn("_bin", F.explode(F.array(*[_bin(F.col("start"), k) for k in range(levels)])))
+    rows = rows.select(*[F.col(c).alias(f"_{c}") if c in ("seq_id", "strand", "_bin", "segments") else F.col(c) for c in rows.columns])
+    # of a feature's segments that overlap a stop, the greatest counts
+    greater = F.exists("_segments", lambda s: (s["end"] >= F.col("start")) & (s["start"] <= F.col("end")) & ((s["start"] > F.col("_from")) | (s["start"] == F.col("_from")) & (s["end"] > F.col("_to"))))
+    inside = ~F.col("wraps") & (F.col("_to") >= F.col("start")) & (F.col("_from") <= F.col("end")) & ((F.size("_segments") == 1) | ~greater)
+    same = (F.col("seq_id") == F.col("_seq_id")) & (F.col("strand") == F.col("_strand")) & (F.col("_bin") == F.col("__bin"))
+    met = own.join(rows, same & F.coalesce(F.col("_rpos") == F.col("rpos"), inside), "left")
+    by = ["seq_id", "strand", *(["_bin"] if levels == 1 else []), "rpos"]  # with one level, stops stay where the join has put them
+    ids = F.sort_array(F.collect_list(F.when(F.col("_t.names.feature_id").isNotNull(), F.struct("_t.feat_idx", F.col("_t.names.feature_id").alias("fid")))))
+    joined = met.groupBy(*by).agg(F.first("_hit").alias("_hit"), F.min("_f").alias("_f"), F.min("_t").alias("_t"), F.array_distinct(ids["fid"]).alias("_ids"))
+    joined = joined.select("_hit.*", "_f", "_t", "_ids")
     f, t = F.col("_f"), F.col("_t")
     offset = coding_offset(f["_fs"], f["ordered_segments"], F.col("start"), F.col("end"))
     joined = joined.withColumn("_frame", F.when(t.isNull() & ~f["_c"], in_reading_frame(offset, f["phase"])))

@@ -2,6 +2,7 @@ from helpers import feature, features, records, tuples
 from pyspark.sql import functions as F
 
 from ochre.operators import aggregate, annotate, extract, scan, select
+from ochre.schema import HITS
 
 
 def contexts(spark, seq, *rows, circular=False, table=11):
@@ -112,3 +113,44 @@ def test_sequences_and_proteins(spark):
     assert dict(tuples(extract.coding_sequences(table, own), "feat_idx", "coding_seq")) == {1: "CCCATG", 2: "TTTCAT", 3: "ATGAAATAA"}
     assert dict(tuples(extract.coding_sequences(table, own, chunk=4), "feat_idx", "coding_seq")) == {1: "CCCATG", 2: "TTTCAT", 3: "ATGAAATAA"}  # over many chunks
     assert dict(tuples(extract.proteins(table, own), "feat_idx", "protein")) == {1: "PM", 2: "FH", 3: "MK"}
+
+
+def test_wide_features_have_few_rows(spark):
+    """A segment has two rows of bins at most, whatever its length, and stops inside and at its edges find it."""
+    widths = [1, 3, 4094, 4095, 5000, 262_142, 262_143, 300_000, 16_777_214, 20_000_000]
+    rows = [feature(k, "a", "gene", "+", (start, start + w - 1)) for k, (w, start) in enumerate((w, s) for w in widths for s in (1, 4090, 1_000_003))]
+    bins = annotate.segment_bins(features(spark, *rows)).groupBy("feat_idx").count().collect()
+    assert len(bins) == len(rows) and max(r["count"] for r in bins) == 2
+    assert annotate.levels_of(features(spark, *rows)) == 4 and annotate.levels_of(features(spark, rows[0])) == 1 and annotate.levels_of(features(spark, rows[0]).limit(0)) == 1
+
+
+def test_wide_features_as_by_brute_force(spark):
+    import random
+
+    r = random.Random(7)
+    spots = sorted(r.sample(range(1, 600_000), 150)) + [4094, 4095, 4096, 8190, 262_143, 262_144]
+    hits = spark.createDataFrame([(0, "a", s, s + 2, "+", (s - 1) % 3 + 1, "TAA", "ochre", False, s - 1) for s in sorted(set(spots))], HITS)
+    table = []
+    for k in range(60):
+        a = r.randint(1, 500_000)
+        table.append((k, a, a + r.choice([2, 50, 4000, 9000, 70_000, 280_000])))
+    table += [(60, 4097, 8000), (61, 100, 4094), (62, 262_145, 262_200), (63, 1, 600_000)]
+    rows = [feature(k, "a", "gene", "+", (a, b)) for k, a, b in table]
+    for own in (rows, [x for x, (_, a, b) in zip(rows, table) if b - a < 4000]):  # four levels, and one
+        known = [t for t, x in zip(table, rows) if x in own]
+        expected = {}
+        for s in set(spots):
+            inside = [(b - a, a, k) for k, a, b in known if b >= s and a <= s + 2]
+            expected[s] = f"f{min(inside)[2]}" if inside else None
+        found = {x["start"]: x["feature_id"] for x in annotate.annotate(hits, features(spark, *own)).collect()}
+        assert found == expected
+
+
+def test_the_greatest_overlapping_segment_counts(spark):
+    """Between features of one length, that whose overlapping segment starts first; of a feature's own segments, the greatest."""
+    hits = spark.createDataFrame([(0, "a", 10, 12, "+", 1, "TAA", "ochre", False, 9)], HITS)
+    rows = [feature(1, "a", "gene", "+", (1, 11), (11, 40)), feature(2, "a", "gene", "+", (5, 44))]
+    got = annotate.annotate(hits, features(spark, *rows)).first()
+    assert got["feature_id"] == "f2"
+    got = annotate.annotate(hits, features(spark, rows[0], feature(3, "a", "gene", "+", (11, 50)))).first()
+    assert got["feature_id"] == "f1"
