@@ -165,6 +165,36 @@ def annotate(hits: DataFrame, features: DataFrame, table_id: int = codes.DEFAULT
     )
 
 
+#: Bases of a bin in which ends of features and stops near them meet.
+NEAR = 16
+
+
+def nearest_terminators(hits: DataFrame, features: DataFrame, table_id: int = codes.DEFAULT, strict: bool = False) -> DataFrame:
+    """``seq_id, strand, rpos, context, feature_id, feat_idx, distance``: stops that stand at the end of a CDS or ORF, give or take three bases.
+
+    This is the tolerant test for single stops, as against ``assign_terminators``: a stop
+    that is part of the feature must be in its frame, one right after it needn't.  The
+    nearest feature counts, of those the shortest, then the first by start and number.
+    ``strict`` allows no distance.  Stops over the origin take no part.
+    """
+    most = 0 if strict else 3
+    coding = _prepared(features, table_id).where("coding").withColumn("_end", three_prime(F.col("strand"), F.col("ordered_segments")))
+    # a stop that counts starts at most six bases from the feature's last one
+    bins = F.array_distinct(F.array(F.floor((F.col("_end") - 6) / NEAR), F.floor((F.col("_end") + 6) / NEAR)))
+    coding = coding.select("*", F.explode(bins).alias("_bin"))
+    own = hits.where("NOT wraps").select(*KEY, "start", "end", "codon", F.floor(F.col("start") / NEAR).alias("_bin"))
+    met = own.join(coding, ["seq_id", "strand", "_bin"])
+    plus = F.col("strand") == "+"
+    included = F.when(plus, F.abs(F.col("end") - F.col("_end"))).otherwise(F.abs(F.col("start") - F.col("_end")))
+    after = F.when(plus, F.abs(F.col("start") - F.col("_end") - 1)).otherwise(F.abs(F.col("end") - F.col("_end") + 1))
+    offset = coding_offset(F.col("strand"), F.col("ordered_segments"), F.col("start"), F.col("end"))
+    distance = F.least(F.when((included <= most) & in_reading_frame(offset, F.col("phase")), included), F.when(after <= most, after))
+    met = met.where(_stops_here(F.col("codon"))).withColumn("distance", distance).where("distance IS NOT NULL")
+    first = F.array_min(F.col("segments.start"))
+    best = met.groupBy(*KEY).agg(F.min(F.struct("distance", "span", first.alias("first"), "feat_idx", "type", "names")).alias("_t"))
+    return best.select(*KEY, F.when(F.col("_t.type") == "ORF", "orf-terminator").otherwise("cds-terminator").alias("context"), F.col("_t.names.feature_id").alias("feature_id"), "_t.feat_idx", "_t.distance")
+
+
 def without_context(hits: DataFrame) -> DataFrame:
     """The schema of ``annotate`` where there are no features."""
     kinds = {"in_frame": "boolean", "recoding_candidate": "boolean", "terminator_feature_ids": "array<string>"}

@@ -22,16 +22,22 @@ def hit_gene_name() -> Column:
     return F.coalesce(non_empty(F.col("gene_name")), non_empty(F.col("locus_tag")), truncated(non_empty(F.col("product")), 40), F.col("feature_id"), F.lit(""))
 
 
-def filter_hits(hits: DataFrame, codon: str = "all", strand: str = "all", context: str = "all", seq_id: str = "", gene: str = "") -> DataFrame:
+def hit_filter(codon: str = "all", strand: str = "all", context: str = "all", seq_id: str = "", gene: str = "") -> Column:
     """Equality on codon, strand and context; substrings, case aside, of record and gene."""
+    passes = F.lit(True)
     for column, value in (("codon", codon), ("strand", strand), ("context", context)):
         if value != "all":
-            hits = hits.where(F.col(column) == value)
+            passes &= F.col(column) == value
     if seq_id.strip():
-        hits = hits.where(F.lower("seq_id").contains(seq_id.strip().lower()))
+        passes &= F.lower("seq_id").contains(seq_id.strip().lower())
     if gene.strip():
-        hits = hits.where(F.lower(hit_gene_name()).contains(gene.strip().lower()))
-    return hits
+        passes &= F.lower(hit_gene_name()).contains(gene.strip().lower())
+    return passes
+
+
+def filter_hits(hits: DataFrame, **given: str) -> DataFrame:
+    """The hits that pass ``hit_filter``."""
+    return hits.where(hit_filter(**given))
 
 
 def sort_hits(hits: DataFrame, key: str = "start", descending: bool = False, limit: int | None = SHOWN_ROWS) -> DataFrame:
@@ -53,21 +59,42 @@ def exportable(features: DataFrame) -> DataFrame:
     return features.where(F.col("type").isin(*CODING))
 
 
-def table_counts(shown: DataFrame, filtered: DataFrame, hits: DataFrame) -> DataFrame:
-    """One row: rows shown, rows that pass the filter, and all rows."""
-    parts = [d.select(F.lit(k).alias("k")) for k, d in (("shown", shown), ("filtered", filtered), ("total", hits))]
-    union = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return union.agg(*[F.count(F.when(F.col("k") == k, 1)).alias(k) for k in ("shown", "filtered", "total")])
+def table_counts(hits: DataFrame, passes: Column, limit: int = SHOWN_ROWS) -> DataFrame:
+    """One row from one pass: rows shown, rows that pass the filter, and all rows."""
+    filtered = F.count(F.when(passes, 1))
+    return hits.agg(F.least(filtered, F.lit(limit).cast("long")).alias("shown"), filtered.alias("filtered"), F.count(F.lit(1)).alias("total"))
 
 
 # ---- what charts are drawn from
 
 
+def within_cap(rows: DataFrame, limit: int, key: str = "seq_id") -> DataFrame:
+    """The rows of records that have at most ``limit``; others are skipped whole, as ``skipped`` tells."""
+    few = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= limit).select(key)
+    return rows.join(few, key, "left_semi")
+
+
+def chart_notes(hits: DataFrame, features: DataFrame, ticks: int = MAX_TICKS, genes: int = MAX_GENES) -> DataFrame:
+    """A row a record with stops or genes: how many, whether its stops are drawn, how many genes are, and a note where something isn't."""
+    stops = hits.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n_stops"))
+    own = exportable(features).groupBy("seq_id").agg(F.count(F.lit(1)).alias("n_genes"))
+    rows = stops.join(own, "seq_id", "full").select("seq_id", F.coalesce("n_stops", F.lit(0)).alias("n_stops"), F.coalesce("n_genes", F.lit(0)).alias("n_genes"))
+    drawn, shown = F.col("n_stops") <= ticks, F.least(F.col("n_genes"), F.lit(genes).cast("long"))
+    no_ticks = F.when(~drawn, F.concat(F.col("n_stops").cast("string"), F.lit(f" stops are more than the {ticks} that are drawn one by one; see the density.")))
+    few_genes = F.when(F.col("n_genes") > genes, F.concat(F.lit(f"The first {genes} of "), F.col("n_genes").cast("string"), F.lit(" genes by start.")))
+    return rows.select("seq_id", "n_stops", "n_genes", drawn.alias("ticks_drawn"), shown.alias("genes_drawn"), F.concat_ws(" ", no_ticks, few_genes).alias("note"))
+
+
+def first_genes(lanes: DataFrame, limit: int = MAX_GENES) -> DataFrame:
+    """The first ``limit`` genes of each record by start."""
+    rank = F.row_number().over(Window.partitionBy("seq_id").orderBy("start", "feat_idx"))
+    return lanes.withColumn("_k", rank).where(F.col("_k") <= limit).drop("_k")
+
+
 def frame_track(hits: DataFrame, limit: int = MAX_TICKS) -> DataFrame:
-    """Ticks by signed frame: the first ``limit`` of each record by start.  (The reference draws no ticks at all for a record with more.)"""
-    rank = F.row_number().over(Window.partitionBy("seq_id").orderBy("start", "hit_no"))
-    rows = hits.select("seq_id", signed_frame(F.col("strand"), F.col("frame")).alias("lane"), "start", "codon", "id", "hit_no")
-    return rows.withColumn("_k", rank).where(F.col("_k") <= limit).drop("_k", "hit_no")
+    """Ticks by signed frame of the records that have at most ``limit`` stops."""
+    rows = hits.select("seq_id", signed_frame(F.col("strand"), F.col("frame")).alias("lane"), "start", "codon", "id")
+    return within_cap(rows, limit)
 
 
 def circular_angles(hits: DataFrame, records: DataFrame) -> DataFrame:

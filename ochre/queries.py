@@ -11,8 +11,9 @@ from . import source_queries
 from .functions import codes
 from .functions.sequence import as_text, count_ambiguous, normalization_stats, normalized, signed_frame
 from .operators import aggregate, annotate, extract, orf, scan, select
+from .plans import samples
 from .plans.tables import document_features, document_records, table
-from .sinks import delimited, fasta, tracks
+from .sinks import delimited, fasta, figures, tracks
 from .sources.dispatch import distinct_features, merged_records, paired
 from .sources.files import file_type
 
@@ -240,11 +241,44 @@ def flagged_genes(spark, d):
     return select.flagged_genes(gene_summary(spark, d)).select("feat_idx", "gene", "internal_stops", "terminator_codon")
 
 
+def nearest_terminators(spark, d):
+    """Stops at the ends of genes by the tolerant test, with and without tolerance."""
+    hits, features = _hits(spark, d), document_features(spark, d)
+    both = [annotate.nearest_terminators(hits, features, strict=s).withColumn("strict", F.lit(s)) for s in (False, True)]
+    return both[0].unionByName(both[1]).drop("context")
+
+
+def chart_notes(spark, d):
+    return select.chart_notes(_hits(spark, d), document_features(spark, d))
+
+
+def sample_records(spark, d):
+    """A sample sequence for each nation, as long as its customers are many, with a stop planted for every third of these."""
+    nations = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    planted = F.transform(F.sequence(F.lit(0), F.floor(F.col("n") / 3).cast("int")), lambda k: F.struct((k * 31).cast("int").alias("at"), F.get(F.array(*map(F.lit, STOPS)), (k % 3).cast("int")).alias("codon")))
+    key = F.col("c_nationkey")
+    specs = nations.select(key.cast("long").alias("seq_idx"), F.concat(F.lit("nation"), key.cast("string")).alias("seq_id"), (key * 12_345_677 + 7).alias("seed"), (F.col("n") * 11).alias("length"), (key % 2 == 0).alias("circular"), planted.alias("planted"))
+    rows = samples.sample_records(specs)
+    return rows.select("seq_id", "length", "circular", F.md5("seq").alias("md5"), F.substring(as_text(F.col("seq")), 1, 40).alias("head"))
+
+
+def circular_figure(spark, d):
+    return figures.circular_pieces(_hits(spark, d), document_features(spark, d), document_records(spark, d), STOPS)
+
+
+def track_figure(spark, d):
+    return figures.track_pieces(_hits(spark, d), document_records(spark, d), STOPS)
+
+
+def density_figure(spark, d):
+    return figures.density_pieces(density_bins(spark, d))
+
+
 _NAMES = (
     normalize_stats, file_sniff, six_frame_hits, hit_ids, wrap_hits, ambiguous_hits, codon_counts, frame_breakdown, strand_counts, summary, gc_density, density_bins,
     orfs_start_stop, orfs_stop_stop, orfs_alt_starts, feature_segments, terminators, classify_hits, context_counts, gene_summary, code_sanity, coterminal, coding_mode_hits,
     table_filter_sort, feature_dedup, seq_precedence_merge, pairing_semi_anti, cds_fna, cds_faa, codon_usage_translate, organism_table, bed_rows, gff3_rows, csv_rows,
-    gene_lanes, circular_angles, genetic_codes, frame_track, scan_totals, declared_code, flagged_genes,
+    nearest_terminators, chart_notes, sample_records, circular_figure, track_figure, density_figure, gene_lanes, circular_angles, genetic_codes, frame_track, scan_totals, declared_code, flagged_genes,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _NAMES} | source_queries.QUERIES
 
@@ -324,6 +358,16 @@ _KIND = r"""CASE WHEN {t} IS NULL OR NOT regexp_matches({t}, '\S') THEN 'empty'
   WHEN regexp_matches({t}, '(?i)##FASTA') THEN 'gff-with-fasta'
   WHEN regexp_matches(left({t}, 20000), '(?i)##gff-version') OR regexp_matches(left({t}, 20000), '(^|\n)[^\n#>][^\n]*\t[^\n]*\t[^\n]*\t[0-9]+\t[0-9]+\t') THEN 'gff-no-fasta'
   WHEN regexp_matches(left({t}, 20000), '(^|\n)\s*>') THEN 'fasta' ELSE 'unknown' END"""
+def _cents(x: str) -> str:
+    """A number with two decimals, as text, in SQL."""
+    return f"(CASE WHEN floor(({x}) * 100 + 0.5) < 0 THEN '-' ELSE '' END || (abs(floor(({x}) * 100 + 0.5))::BIGINT // 100) || '.' || lpad((abs(floor(({x}) * 100 + 0.5))::BIGINT % 100)::VARCHAR, 2, '0'))"
+
+
+def _at(radius: str, degrees: str, turn: str) -> str:
+    return _cents(f"260 + {radius} * {turn}(radians({degrees} - 90))")
+
+
+_SHADE = "CASE codon " + " ".join(f"WHEN '{c}' THEN {k}" for k, c in enumerate(STOPS, 1)) + " ELSE 6 END"
 _SPOTS = 'seq_id, "start", "end", strand, frame, codon, name, wraps, rpos'
 _BY_START = r""",
 starts AS (SELECT doc_id, strand, L, rpos, (rpos % 3 + 1)::INTEGER AS frame FROM codons WHERE NOT wraps AND codon IN ({starts})),
@@ -439,9 +483,40 @@ FROM feats f LEFT JOIN (SELECT seq_id, fid, arg_min(strand || frame, hit_no) AS
 ON e.seq_id = f.seq_id AND e.fid = f.id WHERE f.type = 'CDS'""", _SCAN, _FEATURES, _ANNOTATED),
     "circular_angles": _sql("""SELECT seq_id, strand, rpos, "start", codon, round(("start" - 1) / L * 360, 6) AS angle FROM hits WHERE doc_id % 7 = 0""", _SCAN),
     "genetic_codes": _codes_sql(),
-    "frame_track": _sql("""SELECT seq_id, strand || frame AS lane, "start", codon, id FROM named QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY "start", hit_no) <= {MAX_TICKS}""".replace("{MAX_TICKS}", str(select.MAX_TICKS)), _SCAN),
+    "frame_track": _sql("""SELECT seq_id, strand || frame AS lane, "start", codon, id FROM named QUALIFY count(*) OVER (PARTITION BY seq_id) <= {MAX_TICKS}""".replace("{MAX_TICKS}", str(select.MAX_TICKS)), _SCAN),
+    "nearest_terminators": _sql("""SELECT seq_id, strand, rpos, fid AS feature_id, feat_idx, d::INTEGER AS distance, strict FROM (
+  SELECT *, least(CASE WHEN incl <= tol AND in_f THEN incl END, CASE WHEN aft <= tol THEN aft END) AS d FROM (
+    SELECT h.seq_id, h.strand, h.rpos, f.id AS fid, f.feat_idx, f."end" - f."start" AS span, f."start" AS first, t.tol, t.tol = 0 AS strict,
+      CASE WHEN h.strand = '+' THEN abs(h."end" - f."end") ELSE abs(h."start" - f."start") END AS incl, CASE WHEN h.strand = '+' THEN abs(h."start" - f."end" - 1) ELSE abs(h."end" - f."start" + 1) END AS aft,
+      CASE WHEN f.strand = '+' THEN h."start" BETWEEN f."start" AND f."end" AND (h."start" - f."start" - f.phase) % 3 = 0 ELSE h."end" BETWEEN f."start" AND f."end" AND (f."end" - h."end" - f.phase) % 3 = 0 END AS in_f
+    FROM hits h JOIN feats f ON h.doc_id = f.doc_id AND h.strand = f.strand, (VALUES (0), (3)) t(tol)
+    WHERE NOT h.wraps AND f.type = 'CDS' AND (f.transl_table = 11 OR h.codon IN ('TAA', 'TAG', 'TAR')) AND abs(h."start" - CASE WHEN h.strand = '+' THEN f."end" ELSE f."start" END) <= 7))
+WHERE d IS NOT NULL QUALIFY row_number() OVER (PARTITION BY strict, seq_id, strand, rpos ORDER BY d, span, first, feat_idx) = 1""", _SCAN, _FEATURES),
+    "chart_notes": _sql(f"""SELECT seq_id, coalesce(s, 0) AS n_stops, coalesce(g, 0) AS n_genes, coalesce(s, 0) <= {select.MAX_TICKS} AS ticks_drawn, least(coalesce(g, 0), {select.MAX_GENES}) AS genes_drawn,
+  concat_ws(' ', CASE WHEN s > {select.MAX_TICKS} THEN s || ' stops are more than the {select.MAX_TICKS} that are drawn one by one; see the density.' END, CASE WHEN g > {select.MAX_GENES} THEN 'The first {select.MAX_GENES} of ' || g || ' genes by start.' END) AS note
+FROM (SELECT seq_id, count(*) AS s FROM hits GROUP BY seq_id) FULL JOIN (SELECT seq_id, count(*) AS g FROM feats WHERE type = 'CDS' GROUP BY seq_id) USING (seq_id)""", _SCAN, _FEATURES),
+    "sample_records": """WITH own AS (SELECT c_nationkey AS k, count(*)::INTEGER AS n FROM customer GROUP BY c_nationkey),
+a AS (SELECT k, n, p, ((k * 12345677 + 7) % 4294967296 + ((p + 1)::HUGEINT * 1831565813) % 4294967296) % 4294967296 AS s FROM (SELECT *, unnest(range(0, n * 11)) AS p FROM own)),
+b AS (SELECT k, n, p, (xor(s::BIGINT, s::BIGINT >> 15)::HUGEINT * (s::BIGINT | 1)) % 4294967296 AS t FROM a),
+c AS (SELECT k, n, p, xor(((t + (xor(t::BIGINT, t::BIGINT >> 7)::HUGEINT * (t::BIGINT | 61)) % 4294967296) % 4294967296)::BIGINT, t::BIGINT) AS t FROM b),
+d AS (SELECT k, n, p, CASE WHEN p % 31 < 3 AND p // 31 <= n // 3 AND p // 31 * 31 + 3 <= n * 11 THEN substr((['TAA', 'TAG', 'TGA'])[p // 31 % 3 + 1], (p % 31 + 1)::BIGINT, 1) ELSE substr('ACGT', (xor(t, t >> 14) >> 30) + 1, 1) END AS base FROM c),
+e AS (SELECT k, n, string_agg(base, '' ORDER BY p) AS seq FROM d GROUP BY k, n)
+SELECT 'nation' || k AS seq_id, n * 11 AS length, k % 2 = 0 AS circular, md5(seq) AS md5, left(seq, 40) AS head FROM e""".replace("['TAA', 'TAG', 'TGA']", str(STOPS)),
+    "circular_figure": _sql(f"""SELECT seq_id, layer::INTEGER AS layer, ord, piece FROM (
+SELECT doc_id::VARCHAR AS seq_id, 0 AS layer, 0::BIGINT AS ord, '<circle cx="260" cy="260" r="220" fill="none" stroke="var(--border-strong)"/>' AS piece FROM doc WHERE circular AND L > 0
+UNION ALL SELECT seq_id, 1, feat_idx, '<path d="M ' || {_at('r', 'a0', 'cos')} || ' ' || {_at('r', 'a0', 'sin')} || ' A ' || r || ' ' || r || ' 0 ' || CASE WHEN a1 - a0 > 180 AND a1 - a0 < 360 THEN 1 ELSE 0 END || ' 1 ' || {_at('r', 'a1', 'cos')} || ' ' || {_at('r', 'a1', 'sin')} ||
+  '" fill="none" stroke="' || CASE WHEN strand = '-' THEN 'var(--codon-4)' ELSE 'var(--accent)' END || '" stroke-width="9"/>'
+FROM (SELECT *, CASE WHEN strand = '-' THEN 197 ELSE 206 END AS r, CASE WHEN e0 <= a0 THEN a0 + greatest(0.4, ("end" + L - 1) / L * 360 - a0) ELSE e0 END AS a1 FROM (SELECT *, ("start" - 1) / L * 360 AS a0, ("end" - 1) / L * 360 AS e0 FROM feats WHERE doc_id % 7 = 0))
+UNION ALL SELECT seq_id, 2, rpos::BIGINT * 2 + (strand = '-')::INTEGER, '<line x1="' || {_at('r0', 'a', 'cos')} || '" y1="' || {_at('r0', 'a', 'sin')} || '" x2="' || {_at('r1', 'a', 'cos')} || '" y2="' || {_at('r1', 'a', 'sin')} || '" stroke="var(--codon-' || {_SHADE} || ')"/>'
+FROM (SELECT *, ("start" - 1) / L * 360 AS a, CASE WHEN strand = '-' THEN 216 ELSE 220 END AS r0, CASE WHEN strand = '-' THEN 220 ELSE 228 END AS r1 FROM hits WHERE doc_id % 7 = 0 QUALIFY count(*) OVER (PARTITION BY doc_id) <= {select.MAX_TICKS}))""", _SCAN, _FEATURES),
+    "track_figure": _sql(f"""SELECT seq_id, 1 AS layer, rpos::BIGINT * 2 + (strand = '-')::INTEGER AS ord, '<line x1="' || x || '" y1="' || y || '" x2="' || x || '" y2="' || (y + 24) || '" stroke="var(--codon-' || {_SHADE} || ')"/>' AS piece
+FROM (SELECT *, {_cents('54 + ("start" - 1) / L * 826')} AS x, 42 + (CASE WHEN strand = '-' THEN 3 ELSE 0 END + frame - 1) * 31 AS y FROM hits QUALIFY count(*) OVER (PARTITION BY doc_id) <= {select.MAX_TICKS})""", _SCAN),
+    "density_figure": "{density}",
     "scan_totals": _sql("SELECT count(*) AS sequence_count, sum(L)::BIGINT AS total_length, sum(greatest(L - 2, 0) * 6)::BIGINT AS total_bases_scanned, sum(length(translate(s, 'ACGT', '')))::BIGINT AS ambiguous_base_count FROM doc"),
     "declared_code": _sql("SELECT CASE WHEN len(d) = 1 THEN d[1] END AS table_id, len(d)::INTEGER AS n_declared, CASE WHEN len(d) > 1 THEN 'Features declare several genetic codes: ' || array_to_string(d, ', ') END AS warning FROM (SELECT list(DISTINCT transl_table ORDER BY transl_table) AS d FROM feats)", _FEATURES),
     "flagged_genes": _sql("SELECT feat_idx, gene, internal_stops, terminator_codon FROM genes WHERE internal_stops > 0 ORDER BY internal_stops DESC, feat_idx LIMIT 20", _SCAN, _FEATURES, _ANNOTATED, _GENES),
 }
+ORACLE_SQL["density_figure"] = f"""SELECT seq_id, 1 AS layer, bin::BIGINT AS ord, '<rect x="' || {_cents('54 + bin * w')} || '" y="' || {_cents('102 - plus / t * 60')} || '" width="' || {_cents('w')} || '" height="' || {_cents('plus / t * 60')} || '" fill="var(--accent)"/><rect x="' || {_cents('54 + bin * w')} || '" y="102" width="' || {_cents('w')} ||
+  '" height="' || {_cents('minus / t * 60')} || '" fill="var(--codon-4)"/>' AS piece
+FROM (SELECT *, greatest(max(plus) OVER own, max(minus) OVER own) AS t, 826.0::DOUBLE / (max(bin) OVER own + 1) AS w FROM ({ORACLE_SQL["density_bins"]}) WINDOW own AS (PARTITION BY seq_id)) WHERE t > 0"""
 ORACLE_SQL |= source_queries.oracle_sql(_sql, _SCAN, _FEATURES)

@@ -265,8 +265,7 @@ def codon_colours(spark, d):
 def record_filter(spark, d):
     """How many stops a search for a record's name shows, passes and starts from."""
     hits = _numbered(spark, d).withColumns({c: F.lit(None).cast("string") for c in ("context", "gene_name", "locus_tag", "product", "feature_id")})
-    found = select.filter_hits(hits, seq_id=" 12 ", strand="-")
-    return select.table_counts(select.sort_hits(found, "start", limit=select.SHOWN_ROWS), found, hits)
+    return select.table_counts(hits, select.hit_filter(seq_id=" 12 ", strand="-"))
 
 
 _NAMES = (
