@@ -1,4 +1,10 @@
-"""Open reading frames between stops of one reading frame."""
+"""Open reading frames between stops of one reading frame.
+
+A frame is worked on in chunks, so a chromosome's frame is no single task.  Each chunk
+finds the regions between its own stops; what is open at its end (the last stop, and the
+first start after it) is handed on by a pass over chunks, a row each, and completes the
+region at the head of the next chunk that has a stop.
+"""
 
 from __future__ import annotations
 
@@ -8,10 +14,29 @@ from pyspark.sql.window import Window
 
 from ..functions import codes
 from ..schema import FEATURES
-from .scan import codon_windows
+from .scan import CHUNK, codon_windows, first_numbers
+
 
+def _regions(marks: DataFrame, chunk: int) -> DataFrame:
+    """``seq_idx, seq_id, strand, frame, stop_at, start_at, stop_before``: a region a row, from right after a stop to the next one (null: none), with its first start."""
+    frame = ["seq_idx", "seq_id", "strand", "frame"]
+    keys = [*frame, "_chunk"]
+    own = Window.partitionBy(*keys).orderBy("rpos").rowsBetween(Window.unboundedPreceding, -1)
+    inner = marks.withColumn("_chunk", F.floor(F.col("rpos") / chunk)).withColumn("_region", F.coalesce(F.count(F.when(F.col("is_stop"), 1)).over(own), F.lit(0))).withColumn("stop_before", F.max(F.when(F.col("is_stop"), F.col("rpos"))).over(own))
+    local = inner.groupBy(*keys, "_region").agg(F.max(F.when(F.col("is_stop"), F.col("rpos"))).alias("stop_at"), F.min("start_at").alias("start_at"), F.max("stop_before").alias("stop_before"))
+    # what each chunk leaves open: its last stop, and the first start after that
+    left = local.groupBy(*keys).agg(F.max("stop_at").alias("_last"), F.min(F.when(F.col("stop_at").isNull(), F.col("start_at"))).alias("_open"))
+    along = Window.partitionBy(*frame).orderBy("_chunk")
+    left = left.withColumn("_group", F.count("_last").over(along.rowsBetween(Window.unboundedPreceding, 0)))  # chunks since one with a stop
+    group = Window.partitionBy(*frame, "_group").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0)
+    left = left.withColumn("_first", F.min("_open").over(group)).withColumn("_stop", F.max("_last").over(group))
+    carried = left.select(*frame, "_chunk", F.lag("_first").over(along).alias("_first"), F.lag("_stop").over(along).alias("_stop"))
+    head = F.col("_region") == 0
+    whole = local.join(carried, keys, "left")
+    return whole.select(*frame, "stop_at", F.when(head, F.coalesce("_first", "start_at")).otherwise(F.col("start_at")).alias("start_at"), F.when(head, F.col("_stop")).otherwise(F.col("stop_before")).alias("stop_before"))
 
-def predict_orfs(records: DataFrame, hits: DataFrame, table_id: int = codes.DEFAULT, min_len_nt: int = 90, start_codons: list[str] | None = None, require_start: bool = True, include_alt_starts: bool = False) -> DataFrame:
+
+def predict_orfs(records: DataFrame, hits: DataFrame, table_id: int = codes.DEFAULT, min_len_nt: int = 90, start_codons: list[str] | None = None, require_start: bool = True, include_alt_starts: bool = False, chunk: int = CHUNK) -> DataFrame:
     """ORFs as features.  Each runs to a stop, from the first start codon after the stop before it, or right after that stop.
 
     Stops over the origin of a circular record take no part, and a region without a
@@ -19,29 +44,27 @@ def predict_orfs(records: DataFrame, hits: DataFrame, table_id: int = codes.DEFA
     """
     min_len_nt = min_len_nt or 90
     stops = hits.where("NOT wraps").select("seq_idx", "seq_id", "strand", "frame", "rpos", F.lit(None).cast("int").alias("start_at"), F.lit(True).alias("is_stop"))
-    own = Window.partitionBy("seq_id", "strand", "frame").orderBy("rpos")
+    marks = stops
     if require_start:
         starts = list(start_codons) if start_codons else list(codes.genetic_code(table_id).all_starts if include_alt_starts else ("ATG",))
         opening = codon_windows(records, starts).select("seq_idx", "seq_id", "strand", (F.col("rpos") % 3 + 1).cast("int").alias("frame"), "rpos", F.col("rpos").alias("start_at"), F.lit(False).alias("is_stop"))
-        # the last stop before a place opens its region; the first start in it opens the ORF
         marks = stops.unionByName(opening)
-        region = marks.withColumn("_region", F.coalesce(F.count(F.when(F.col("is_stop"), 1)).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        found = region.groupBy("seq_idx", "seq_id", "strand", "frame", "_region").agg(F.max(F.when(F.col("is_stop"), F.col("rpos"))).alias("stop_at"), F.min("start_at").alias("start_at"))
-        found = found.where("stop_at IS NOT NULL AND start_at IS NOT NULL").drop("_region")
+    regions = _regions(marks, chunk)
+    if require_start:
+        found = regions.where("stop_at IS NOT NULL AND start_at IS NOT NULL")
     else:
-        found = stops.withColumn("start_at", F.coalesce(F.lag("rpos").over(own) + 3, F.col("frame") - 1)).withColumnRenamed("rpos", "stop_at").drop("is_stop")
+        found = regions.where("stop_at IS NOT NULL").withColumn("start_at", F.coalesce(F.col("stop_before") + 3, F.col("frame") - 1))
+    found = found.drop("stop_before")
     found = found.withColumn("length_nt", F.col("stop_at") + 3 - F.col("start_at")).where(F.col("length_nt") >= min_len_nt)
     found = found.join(records.select("seq_idx", "length"), "seq_idx")
     plus = F.col("strand") == "+"
     found = found.withColumn("start", F.when(plus, F.col("start_at") + 1).otherwise(F.col("length") - 2 - F.col("stop_at"))).withColumn("end", F.when(plus, F.col("stop_at") + 3).otherwise(F.col("length") - F.col("start_at")))
 
-    # numbers in scan order, from counts by record and block of records
-    minus = (~plus).cast("int")
-    found = found.withColumn("_minus", minus).withColumn("_block", F.floor(F.col("seq_idx") / 1024))
-    counts = found.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
-    blocks = counts.select("_block", F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    number = F.row_number().over(Window.partitionBy("_block").orderBy("seq_idx", "_minus", "frame", "stop_at"))
-    found = found.withColumn("_row", number).join(blocks, "_block").withColumn("_no", F.col("_row") + F.col("_base"))
+    # numbers in scan order, from counts
+    group = ["seq_idx", "_minus", "frame", "_chunk"]
+    found = found.withColumn("_minus", (~plus).cast("int")).withColumn("_chunk", F.floor(F.col("stop_at") / chunk))
+    base = first_numbers(found.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")), group)
+    found = found.withColumn("_row", F.row_number().over(Window.partitionBy(*group).orderBy("stop_at"))).join(base, group).withColumn("_no", F.col("_row") + F.col("_base"))
     segment = F.array(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.lit(None).cast("int").alias("phase")))
     none = F.lit(None).cast("string")
     columns = {

@@ -87,21 +87,31 @@ def scan_totals(records: DataFrame) -> DataFrame:
     )
 
 
-def numbered(hits: DataFrame, prefix: str = "stop_") -> DataFrame:
+def first_numbers(counts: DataFrame, group: list[str]) -> DataFrame:
+    """How many rows stand before each group, and in all, from ``seq_idx``, what else the ``group`` is ordered by, and ``_n`` rows each.
+
+    Sums are made in two steps, within blocks of records and over blocks.
+    """
+    leading = group[: group.index("seq_idx")]
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_block", F.floor(F.col("seq_idx") / BLOCK))
+    blocks = counts.groupBy(*leading, "_block").agg(F.sum("_n").alias("_b"))
+    blocks = blocks.select(*leading, "_block", F.coalesce(F.sum("_b").over(before(Window.orderBy(*leading, "_block"))), F.lit(0)).alias("_start"), F.sum("_b").over(Window.partitionBy()).alias("_total"))
+    inside = before(Window.partitionBy(*leading, "_block").orderBy(*group[len(leading) :]))
+    placed = counts.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(blocks, [*leading, "_block"])
+    return placed.select(*group, (F.col("_in") + F.col("_start")).alias("_base"), "_total")
+
+
+def numbered(hits: DataFrame, prefix: str = "stop_", chunk: int = CHUNK) -> DataFrame:
     """``hits`` with ``hit_no`` and ``id`` in scan order: crossing hits last, then record, strand, frame and place.
 
-    Counts are summed up in three steps (within a record, within a block of records,
-    over blocks), so no window ever holds all hits.
+    Counts are summed up in four steps (within a chunk of a frame, a frame, a block of
+    records, over blocks), so no window ever holds all hits, nor all of a chromosome's frame.
     """
-    minus = (F.col("strand") == "-").cast("int")
-    group = ["wraps", "seq_idx", "strand", "frame"]
-    counts = hits.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).withColumn("_minus", minus).withColumn("_block", F.floor(F.col("seq_idx") / BLOCK))
-    blocks = counts.groupBy("wraps", "_block").agg(F.sum("_n").alias("_b"))
-    before = Window.orderBy("wraps", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("wraps", "_block", F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_start"), F.sum("_b").over(Window.partitionBy()).alias("_total"))
-    inside = Window.partitionBy("wraps", "_block").orderBy("seq_idx", "_minus", "frame").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(blocks, ["wraps", "_block"]).select(*group, (F.col("_in") + F.col("_start")).alias("_base"), "_total")
-    ranked = hits.withColumn("_row", F.row_number().over(Window.partitionBy(*group).orderBy("rpos")))
+    group = ["wraps", "seq_idx", "_minus", "frame", "_chunk"]
+    own = hits.withColumn("_minus", (F.col("strand") == "-").cast("int")).withColumn("_chunk", F.floor(F.col("rpos") / chunk))
+    base = first_numbers(own.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")), group)
+    ranked = own.withColumn("_row", F.row_number().over(Window.partitionBy(*group).orderBy("rpos")))
     joined = ranked.join(base, group).withColumn("hit_no", F.col("_base") + F.col("_row"))
     digits = F.greatest(F.lit(4), F.length(F.col("_total").cast("string")))
     name = F.concat(F.lit(prefix), F.lpad(F.col("hit_no").cast("string"), digits, F.lit("0")))

@@ -519,4 +519,4 @@ FROM (SELECT *, {_cents('54 + ("start" - 1) / L * 826')} AS x, 42 + (CASE WHEN s
 ORACLE_SQL["density_figure"] = f"""SELECT seq_id, 1 AS layer, bin::BIGINT AS ord, '<rect x="' || {_cents('54 + bin * w')} || '" y="' || {_cents('102 - plus / t * 60')} || '" width="' || {_cents('w')} || '" height="' || {_cents('plus / t * 60')} || '" fill="var(--accent)"/><rect x="' || {_cents('54 + bin * w')} || '" y="102" width="' || {_cents('w')} ||
   '" height="' || {_cents('minus / t * 60')} || '" fill="var(--codon-4)"/>' AS piece
 FROM (SELECT *, greatest(max(plus) OVER own, max(minus) OVER own) AS t, 826.0::DOUBLE / (max(bin) OVER own + 1) AS w FROM ({ORACLE_SQL["density_bins"]}) WINDOW own AS (PARTITION BY seq_id)) WHERE t > 0"""
-ORACLE_SQL |= source_queries.oracle_sql(_sql, _SCAN, _FEATURES)
+ORACLE_SQL |= source_queries.oracle_sql(_sql, _SCAN, _FEATURES, _ANNOTATED, _GENES)

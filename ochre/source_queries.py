@@ -14,8 +14,8 @@ from .functions import codes
 from .functions.sequence import as_text, normalization_note, normalization_stats, wrapped_lines
 from .operators import aggregate, annotate, scan, select
 from .plans.staged import staged
-from .plans.tables import document_records, spliced_features, table
-from .sinks import delimited, fasta
+from .plans.tables import document_features, document_records, spliced_features, table
+from .sinks import delimited, documents, fasta
 from .sources import fasta as fasta_source
 from .sources import genbank, gff3
 from .sources.dispatch import load
@@ -248,7 +248,15 @@ def gene_rows(spark, d):
 
 def json_rows(spark, d):
     """A JSON object a stop."""
-    return _numbered(spark, d).select("hit_no", F.to_json(F.struct("id", "seq_id", "start", "end", "strand", "frame", "codon", "name", "wraps")).alias("line"))
+    lines = documents.json_lines(_numbered(spark, d), "hit_no", "hits", ("id", "seq_id", "start", "end", "strand", "frame", "codon", "name", "wraps"))
+    return lines.select(F.col("ord").alias("hit_no"), F.col("json").alias("line"))
+
+
+def json_parts(spark, d):
+    """Stops, genes and frames as the parts of a JSON document."""
+    hits = _numbered(spark, d)
+    genes = aggregate.gene_summary(annotate.annotate(hits, document_features(spark, d)), document_features(spark, d))
+    return documents.json_parts(None, hits.select("hit_no", "id", "seq_id", "rpos"), genes.select("feat_idx", "gene", "locus_tag", "length", "internal_stops", "strand"), aggregate.frame_breakdown(hits, list(codes.stop_set(codes.DEFAULT))))
 
 
 def ambiguity_note(spark, d):
@@ -270,7 +278,7 @@ def record_filter(spark, d):
 
 _NAMES = (
     fasta_records, raw_records, detected_kinds, gff3_features, gff3_warnings, genbank_records, genbank_features, genbank_many_records, genbank_by_splits, gff3_by_lines, fasta_by_splits, header_lines, organism_headers, load_pairs, normalization_notes, spliced_hits, spliced_cds, spliced_genes, recoded_by_amino_acid,
-    tsv_rows, markdown_rows, frame_rows, gene_rows, json_rows, ambiguity_note, codon_colours, record_filter,
+    tsv_rows, markdown_rows, frame_rows, gene_rows, json_rows, json_parts, ambiguity_note, codon_colours, record_filter,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
 
@@ -337,7 +345,7 @@ def _gff_sql() -> str:
     return f"SELECT *, coalesce(phase > 0, false) AS partial5 FROM ({' UNION ALL '.join(parts)}) g({names})"
 
 
-def oracle_sql(sql, docs_scan: str, features: str) -> dict[str, str]:
+def oracle_sql(sql, docs_scan: str, features: str, annotated: str, genes: str) -> dict[str, str]:
     """The SQL of these queries, from the parts that all queries share."""
     record = "CASE doc_id % 3 WHEN 0 THEN 'D' || doc_id || '.1' WHEN 1 THEN 'D' || doc_id ELSE 'L' || doc_id END"
     spots = ["seq_id", 'named."start"', 'named."end"', "strand", "frame", "codon", "name"]
@@ -389,6 +397,9 @@ FROM (SELECT ord, [frame, a::VARCHAR, g::VARCHAR, o::VARCHAR, total::VARCHAR] AS
 UNION ALL SELECT 0, 'md', '| --- | --- | --- | --- | --- |'""", docs_scan, f", table_rows AS ({frames})"),
         "gene_rows": sql("""SELECT 0::BIGINT AS ord, array_to_string(['gene', 'locus_tag', 'product', 'length_bp', 'internal_stops', 'terminator_codon', 'strand', 'pseudogene_flag', 'feature_id'], chr(9)) AS line
 UNION ALL SELECT feat_idx + 1, array_to_string([coalesce(gene, ''), coalesce(locus_tag, ''), product, length::VARCHAR, internal_stops::VARCHAR, '', strand, CASE WHEN internal_stops > 0 THEN 'yes' ELSE '' END, feat_idx::VARCHAR], chr(9)) FROM genes""", docs_scan, features, _SPLICED, _SPLICED_ANN, _GENES_OF),
+        "json_parts": sql("""SELECT 'hits' AS part, hit_no AS ord, '{"hit_no":' || hit_no || ',"id":"' || id || '","seq_id":"' || seq_id || '","rpos":' || rpos || '}' AS json FROM named
+UNION ALL SELECT 'gene_summary', feat_idx, '{"feat_idx":' || feat_idx || ',"gene":"' || gene || '","length":' || length || ',"internal_stops":' || internal_stops || ',"strand":"' || strand || '"}' FROM genes
+UNION ALL SELECT 'frame_breakdown', ord, '{"frame":"' || frame || '","TAA":' || a || ',"TAG":' || g || ',"TGA":' || o || ',"total":' || total || '}' FROM (""" + frames + ")", docs_scan, features, annotated, genes),
         "json_rows": sql("""SELECT hit_no, '{"id":"' || id || '","seq_id":"' || seq_id || '","start":' || named."start" || ',"end":' || named."end" || ',"strand":"' || strand || '","frame":' || frame || ',"codon":"' || codon || '","name":"' || name || '","wraps":' || wraps || '}' AS line FROM named""", docs_scan),
         "ambiguity_note": sql("SELECT n AS ambiguous_bases, CASE WHEN n > 0 THEN n || ' ambiguous base(s); codons that hold one count only if every reading is a stop' END AS note FROM (SELECT sum(length(translate(s, 'ACGT', '')))::BIGINT AS n FROM doc)", fold="s"),
         "codon_colours": sql("SELECT codon, (CASE codon WHEN 'TAA' THEN 0 WHEN 'TAG' THEN 1 WHEN 'TGA' THEN 2 ELSE 5 END)::INTEGER AS colour, count(*) AS n FROM hits GROUP BY ALL", docs_scan, fold="s"),

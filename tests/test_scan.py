@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ochre.functions import sequence
 from ochre.operators import orf, scan
+from ochre.plans import samples
 
 COMPLEMENT = dict(zip("ACGTRYKMBVDHNSW", "TGCAYRMKVBHDNSW"))
 STOPS = {"TAA": "ochre", "TAG": "amber", "TGA": "opal", "TAR": "stop", "TRA": "stop"}
@@ -104,5 +105,53 @@ def test_orfs(spark):
     for require in (True, False):
         found = orf.predict_orfs(own, hits, min_len_nt=30, require_start=require)
         assert sorted(tuples(found, "strand", "start", "end")) == brute_orfs(s, require, 30)
+        whole = sorted(tuples(found, "feat_idx", "id", "strand", "start", "end"))
+        for chunk in (7, 60, 400):  # frames in many chunks give the same, numbers too
+            parts = orf.predict_orfs(own, hits, min_len_nt=30, require_start=require, chunk=chunk)
+            assert sorted(tuples(parts, "feat_idx", "id", "strand", "start", "end")) == whole
         ids = [i for (i,) in tuples(found, "id")]
         assert len(set(ids)) == len(ids) and all(i.startswith("ORF_a|b_") for i in ids)
+
+
+def test_numbers_by_chunks(spark):
+    r = random.Random(6)
+    own = records(spark, *[(f"r{k}", "".join(r.choice("ACGT") for _ in range(n)), k % 2 == 0) for k, n in enumerate((300, 5, 900))])
+    hits = scan.scan(own)
+    whole = sorted(tuples(scan.numbered(hits), "hit_no", "id", "seq_id", "strand", "frame", "rpos"))
+    assert [x[0] for x in whole] == list(range(1, len(whole) + 1))
+    for chunk in (10, 100):
+        assert sorted(tuples(scan.numbered(hits, chunk=chunk), "hit_no", "id", "seq_id", "strand", "frame", "rpos")) == whole
+
+
+def test_largest_task_of_a_long_frame(spark):
+    """A frame of many stops is dealt to many groups, none with more than its chunk holds."""
+    rows = spark.range(200_000).select(F.lit(0).cast("long").alias("seq_idx"), F.lit("a").alias("seq_id"), F.lit("+").alias("strand"), F.lit(1).alias("frame"), (F.col("id") * 3).cast("int").alias("rpos"), F.lit(None).cast("int").alias("start_at"), F.lit(True).alias("is_stop"))
+    regions = orf._regions(rows, 30_000)
+    assert regions.where("stop_at IS NOT NULL").count() == 200_000 and regions.where("stop_at = stop_before + 3").count() == 199_999
+    plan = regions._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("_chunk" in line for line in windows)
+
+
+def test_samples(spark):
+    """Against the generator written out in Python; any chunk size gives the same."""
+
+    def brute(seed, n):
+        out, mask = "", 0xFFFFFFFF
+        for k in range(n):
+            a = (seed + (k + 1) * 0x6D2B79F5) & mask
+            t = (a ^ a >> 15) * (a | 1) & mask
+            t = (t + ((t ^ t >> 7) * (t | 61) & mask) & mask) ^ t
+            out += "ACGT"[(t ^ t >> 14) >> 30]
+        return out
+
+    specs = spark.createDataFrame([(0, "a", 20260709, 500, True, [(3, "TAA"), (498, "TAG"), (-1, "TGA")]), (1, "b", -5, 70, None, None), (2, "c", None, 0, False, []), (3, "d", 1 << 40, None, False, [])], "seq_idx long, seq_id string, seed long, length int, circular boolean, planted array<struct<at:int,codon:string>>")
+    expected = {"a": brute(20260709, 500), "b": brute(-5, 70), "c": "", "d": ""}
+    expected["a"] = expected["a"][:3] + "TAA" + expected["a"][6:]
+    before = samples.CHUNK
+    try:
+        for samples.CHUNK in (before, 64):
+            rows = {r["seq_id"]: r for r in samples.sample_records(specs).collect()}
+            assert {k: bytes(r["seq"]).decode() for k, r in rows.items()} == expected and rows["a"]["circular"] and not rows["b"]["circular"]
+    finally:
+        samples.CHUNK = before
