@@ -266,6 +266,11 @@ def circular_figure(spark, d):
     return figures.circular_pieces(_hits(spark, d), document_features(spark, d), document_records(spark, d), STOPS)
 
 
+def gene_map_figure(spark, d):
+    records = document_records(spark, d)
+    return figures.gene_map_pieces(gene_lanes(spark, d), records, STOPS)
+
+
 def track_figure(spark, d):
     return figures.track_pieces(_hits(spark, d), document_records(spark, d), STOPS)
 
@@ -278,7 +283,7 @@ _NAMES = (
     normalize_stats, file_sniff, six_frame_hits, hit_ids, wrap_hits, ambiguous_hits, codon_counts, frame_breakdown, strand_counts, summary, gc_density, density_bins,
     orfs_start_stop, orfs_stop_stop, orfs_alt_starts, feature_segments, terminators, classify_hits, context_counts, gene_summary, code_sanity, coterminal, coding_mode_hits,
     table_filter_sort, feature_dedup, seq_precedence_merge, pairing_semi_anti, cds_fna, cds_faa, codon_usage_translate, organism_table, bed_rows, gff3_rows, csv_rows,
-    nearest_terminators, chart_notes, sample_records, circular_figure, track_figure, density_figure, gene_lanes, circular_angles, genetic_codes, frame_track, scan_totals, declared_code, flagged_genes,
+    nearest_terminators, chart_notes, sample_records, circular_figure, gene_map_figure, track_figure, density_figure, gene_lanes, circular_angles, genetic_codes, frame_track, scan_totals, declared_code, flagged_genes,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _NAMES} | source_queries.QUERIES
 
@@ -516,6 +521,12 @@ FROM (SELECT *, {_cents('54 + ("start" - 1) / L * 826')} AS x, 42 + (CASE WHEN s
     "declared_code": _sql("SELECT CASE WHEN len(d) = 1 THEN d[1] END AS table_id, len(d)::INTEGER AS n_declared, CASE WHEN len(d) > 1 THEN 'Features declare several genetic codes: ' || array_to_string(d, ', ') END AS warning FROM (SELECT list(DISTINCT transl_table ORDER BY transl_table) AS d FROM feats)", _FEATURES),
     "flagged_genes": _sql("SELECT feat_idx, gene, internal_stops, terminator_codon FROM genes WHERE internal_stops > 0 ORDER BY internal_stops DESC, feat_idx LIMIT 20", _SCAN, _FEATURES, _ANNOTATED, _GENES),
 }
+_TOP = "(42 + (list_position(['+1', '+2', '+3', '-1', '-2', '-3'], lane) - 1) * 31)"
+ORACLE_SQL["gene_map_figure"] = f"""SELECT seq_id, 1 AS layer, feat_idx AS ord, '<rect x="' || {_cents("CASE WHEN minus THEN x0 + tip ELSE x0 END")} || '" y="' || top || '" width="' || {_cents("x1 - x0 - tip")} || '" height="24" fill="var(--surface)"/><polygon points="' ||
+  {_cents("base")} || ',' || top || ' ' || {_cents("base")} || ',' || (top + 24) || ' ' || {_cents("peak")} || ',' || (top + 12) || '" fill="' || CASE WHEN codon IS NULL THEN 'var(--border)' ELSE 'var(--codon-' || {_SHADE} || ')' END || '"/>' AS piece
+FROM (SELECT *, CASE WHEN minus THEN x0 + tip ELSE x1 - tip END AS base, CASE WHEN minus THEN x0 ELSE x1 END AS peak FROM (SELECT *, least(6.0::DOUBLE, x1 - x0) AS tip FROM (
+  SELECT g.*, lane[1] = '-' AS minus, {_TOP} AS top, 54 + ("start" - 1) / L * 826 AS x0, 54 + ("end" + 1 - 1) / L * 826 AS x1 FROM ({ORACLE_SQL["gene_lanes"]}) g JOIN (
+    SELECT doc_id::VARCHAR AS seq_id, length(regexp_replace(translate(upper(replace(coalesce(text, ''), 'ß', 'SS')), 'U', 'T'), '[^A-Z]', '', 'g')) AS L FROM documents) USING (seq_id) QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY "start", feat_idx) <= {select.MAX_GENES})))"""
 ORACLE_SQL["density_figure"] = f"""SELECT seq_id, 1 AS layer, bin::BIGINT AS ord, '<rect x="' || {_cents('54 + bin * w')} || '" y="' || {_cents('102 - plus / t * 60')} || '" width="' || {_cents('w')} || '" height="' || {_cents('plus / t * 60')} || '" fill="var(--accent)"/><rect x="' || {_cents('54 + bin * w')} || '" y="102" width="' || {_cents('w')} ||
   '" height="' || {_cents('minus / t * 60')} || '" fill="var(--codon-4)"/>' AS piece
 FROM (SELECT *, greatest(max(plus) OVER own, max(minus) OVER own) AS t, 826.0::DOUBLE / (max(bin) OVER own + 1) AS w FROM ({ORACLE_SQL["density_bins"]}) WINDOW own AS (PARTITION BY seq_id)) WHERE t > 0"""

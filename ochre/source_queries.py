@@ -252,6 +252,12 @@ def json_rows(spark, d):
     return lines.select(F.col("ord").alias("hit_no"), F.col("json").alias("line"))
 
 
+def xlsx_rows(spark, d):
+    """Rows of the sheet of stops."""
+    hits = _numbered(spark, d)
+    return documents.sheet_rows(hits, delimited.hit_cells(), F.col("hit_no"))
+
+
 def json_parts(spark, d):
     """Stops, genes and frames as the parts of a JSON document."""
     hits = _numbered(spark, d)
@@ -278,7 +284,7 @@ def record_filter(spark, d):
 
 _NAMES = (
     fasta_records, raw_records, detected_kinds, gff3_features, gff3_warnings, genbank_records, genbank_features, genbank_many_records, genbank_by_splits, gff3_by_lines, fasta_by_splits, header_lines, organism_headers, load_pairs, normalization_notes, spliced_hits, spliced_cds, spliced_genes, recoded_by_amino_acid,
-    tsv_rows, markdown_rows, frame_rows, gene_rows, json_rows, json_parts, ambiguity_note, codon_colours, record_filter,
+    tsv_rows, markdown_rows, frame_rows, gene_rows, json_rows, json_parts, xlsx_rows, ambiguity_note, codon_colours, record_filter,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
 
@@ -397,6 +403,9 @@ FROM (SELECT ord, [frame, a::VARCHAR, g::VARCHAR, o::VARCHAR, total::VARCHAR] AS
 UNION ALL SELECT 0, 'md', '| --- | --- | --- | --- | --- |'""", docs_scan, f", table_rows AS ({frames})"),
         "gene_rows": sql("""SELECT 0::BIGINT AS ord, array_to_string(['gene', 'locus_tag', 'product', 'length_bp', 'internal_stops', 'terminator_codon', 'strand', 'pseudogene_flag', 'feature_id'], chr(9)) AS line
 UNION ALL SELECT feat_idx + 1, array_to_string([coalesce(gene, ''), coalesce(locus_tag, ''), product, length::VARCHAR, internal_stops::VARCHAR, '', strand, CASE WHEN internal_stops > 0 THEN 'yes' ELSE '' END, feat_idx::VARCHAR], chr(9)) FROM genes""", docs_scan, features, _SPLICED, _SPLICED_ANN, _GENES_OF),
+        "xlsx_rows": sql("SELECT hit_no + 1 AS row, '<row r=\"' || (hit_no + 1) || '\">' || " + " || ".join(
+            f"""'<c r="{chr(65 + k)}' || (hit_no + 1) || '" t="inlineStr"><is><t xml:space="preserve">' || {c} || '</t></is></c>'""" if c not in ('named."start"', 'named."end"', "frame") else f"""'<c r="{chr(65 + k)}' || (hit_no + 1) || '"><v>' || {c} || '</v></c>'""" for k, c in enumerate(["id", *spots])
+        ) + " || '</row>' AS xml FROM named", docs_scan),
         "json_parts": sql("""SELECT 'hits' AS part, hit_no AS ord, '{"hit_no":' || hit_no || ',"id":"' || id || '","seq_id":"' || seq_id || '","rpos":' || rpos || '}' AS json FROM named
 UNION ALL SELECT 'gene_summary', feat_idx, '{"feat_idx":' || feat_idx || ',"gene":"' || gene || '","length":' || length || ',"internal_stops":' || internal_stops || ',"strand":"' || strand || '"}' FROM genes
 UNION ALL SELECT 'frame_breakdown', ord, '{"frame":"' || frame || '","TAA":' || a || ',"TAG":' || g || ',"TGA":' || o || ',"total":' || total || '}' FROM (""" + frames + ")", docs_scan, features, annotated, genes),

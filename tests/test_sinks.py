@@ -9,7 +9,7 @@ from helpers import feature, features, records, value
 from pyspark.sql import functions as F
 
 from ochre.operators import aggregate, annotate, scan, select
-from ochre.sinks import delimited, documents, fasta, tracks
+from ochre.sinks import figures, delimited, documents, fasta, tracks
 
 STOPS = ["TAA", "TAG", "TGA"]
 
@@ -95,3 +95,57 @@ def test_axes(spark):
     own, table, _ = analysed(spark, circular=True)
     row = select.feature_angles(table, own).first()
     assert row["from_angle"] == 0 and abs(row["to_angle"] - 11 / 17 * 360) < 1e-9
+
+
+def test_charts_keep_to_their_caps(spark):
+    """Records beyond the cap on ticks are skipped whole; of genes the first are drawn."""
+    own, table, hits = analysed(spark)
+    n = hits.where("seq_id = 'a'").count() if "seq_id" in hits.columns else 0
+    for limit, kept in ((n, n), (n - 1, 0)):
+        assert select.frame_track(hits, limit).where("seq_id = 'a'").count() == kept
+    notes = {r["seq_id"]: r for r in select.chart_notes(hits, table, ticks=0, genes=0).collect()}
+    assert all(not r["ticks_drawn"] and r["genes_drawn"] == 0 and "more than the 0" in r["note"] for r in notes.values())
+    assert all(r["note"] == "" and r["ticks_drawn"] for r in select.chart_notes(hits, table).collect())
+    lanes = select.gene_lanes(hits, table, own)
+    total, starts = lanes.count(), sorted(r["start"] for r in lanes.collect())
+    for limit in range(total + 1):
+        assert sorted(r["start"] for r in select.first_genes(lanes, limit).collect()) == starts[:limit]
+
+
+def test_figures(spark, monkeypatch):
+    own, table, hits = analysed(spark, circular=True)
+    pieces = figures.circular_pieces(hits, table, own, STOPS)
+    page = figures.documents(pieces, figures.SIDE, figures.SIDE).first()["svg"]
+    xml.dom.minidom.parseString(page)
+    assert page.count("<line") == hits.count() and page.count("<circle") == 1 and page.count("<path") == table.where("type IN ('CDS', 'gene')").count()
+    for made in (figures.track_pieces(hits, own, STOPS), figures.gene_map_pieces(select.gene_lanes(hits, table, own), own, STOPS), figures.density_pieces(aggregate.density_bins(hits, own))):
+        xml.dom.minidom.parseString(figures.documents(made, figures.WIDTH, 300).first()["svg"])
+    monkeypatch.setattr(select, "MAX_TICKS", 0)
+    assert figures.circular_pieces(hits, table, own, STOPS).where("layer = 2").count() == 0
+    value_of = lambda x: spark.range(1).select(figures.hundredths(F.lit(x)).alias("v")).first()["v"]
+    assert [value_of(x) for x in (0.0, 1.005, -0.004, -1.5, 12.3456, -0.01)] == ["0.00", "1.00", "0.00", "-1.50", "12.35", "-0.01"]
+
+
+def test_json_in_parts(spark):
+    own, table, hits = analysed(spark)
+    one, frames, genes = aggregate.summary(hits, own, STOPS), aggregate.frame_breakdown(hits, STOPS), aggregate.gene_summary(hits, table)
+    parts = {}
+    for r in documents.json_parts(one, hits, genes, frames).orderBy("part", "ord").collect():
+        parts.setdefault(r["part"], []).append(json.loads(r["json"]))
+    whole = json.loads(documents.to_json(one.first().asDict(), hits, genes, frames, STOPS))
+    assert parts["hits"] == whole["hits"] and parts["gene_summary"] == whole["gene_summary"] and [r["frame"] for r in parts["frame_breakdown"]] == whole["frame_breakdown"]["frame_order"]
+    assert parts["summary"][0]["total_stops"] == whole["summary"]["total_stops"]
+
+
+def test_workbooks_stream(spark, tmp_path):
+    """Rows made by executors are those made from values, and go straight into a file."""
+    own, table, hits = analysed(spark)
+    cells = documents.hit_cells(annotated=True)
+    rows = [r["xml"] for r in documents.sheet_rows(hits, cells, F.col("hit_no")).orderBy("row").collect()]
+    values = documents._rows(hits, cells, "hit_no")
+    assert rows == [f'<row r="{k}">' + "".join(documents._cell(k, c, v, False) for c, v in enumerate(row)) + "</row>" for k, row in enumerate(values, 2)]
+    one, frames = aggregate.summary(hits, own, STOPS).first().asDict(), aggregate.frame_breakdown(hits, STOPS)
+    with open(tmp_path / "book.xlsx", "wb") as file:
+        assert documents.to_xlsx(one, hits, frames, STOPS, annotated=True, file=file) == b""
+    book = zipfile.ZipFile(tmp_path / "book.xlsx")
+    assert book.testzip() is None and book.read("xl/worksheets/sheet2.xml").decode().count("<row ") == len(rows) + 1
