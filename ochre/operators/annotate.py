@@ -116,11 +116,11 @@ def levels_of(features: DataFrame) -> int:
     return next((k + 1 for k in range(LEVELS - 1) if (widest or 0) <= BIN << STEP * k), LEVELS)
 
 
-def annotate(hits: DataFrame, features: DataFrame, table_id: int = codes.DEFAULT) -> DataFrame:
-    """``hits`` with their context; every hit stays."""
+def annotate(hits: DataFrame, features: DataFrame, table_id: int = codes.DEFAULT, plain: DataFrame | None = None) -> DataFrame:
+    """``hits`` with their context; every hit stays.  ``plain``: the same hits before they were numbered, if at hand, which saves numbering them twice."""
     known = _prepared(features.where(F.col("type").isin(*CODING, *NONCODING)), table_id)
     order = F.struct((~F.col("coding")).alias("_c"), "span", F.struct("_s.start", "_s.end").alias("segment"), "feat_idx", "type", F.col("strand").alias("_fs"), "ordered_segments", "phase", "stops", "transl_except", "names")
-    claims = assign_terminators(hits, features, table_id)
+    claims = assign_terminators(hits if plain is None else plain, features, table_id)
     ending = F.struct("span", (-F.col("feat_idx")).alias("_later"), "type", "names", "feat_idx")
     none = lambda c: F.lit(None).cast(c)
     rows = segment_bins(known).select("seq_id", "strand", "_bin", F.col("_s.start").alias("_from"), F.col("_s.end").alias("_to"), none("int").alias("_rpos"), "segments", order.alias("_f"))

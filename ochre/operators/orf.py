@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions import codes
 from ..schema import FEATURES
-from .scan import CHUNK, codon_windows, first_numbers
+from .scan import CHUNK, codon_windows, first_numbers, scan_order
 
 
 def _regions(marks: DataFrame, chunk: int) -> DataFrame:
@@ -22,7 +22,9 @@ def _regions(marks: DataFrame, chunk: int) -> DataFrame:
     frame = ["seq_idx", "seq_id", "strand", "frame"]
     keys = [*frame, "_chunk"]
     own = Window.partitionBy(*keys).orderBy("rpos").rowsBetween(Window.unboundedPreceding, -1)
-    inner = marks.withColumn("_chunk", F.floor(F.col("rpos") / chunk)).withColumn("_region", F.coalesce(F.count(F.when(F.col("is_stop"), 1)).over(own), F.lit(0))).withColumn("stop_before", F.max(F.when(F.col("is_stop"), F.col("rpos"))).over(own))
+    # keys are never null, so that no join adds a filter of its own and both uses of the marks share one shuffle
+    marks = marks.select(*[F.coalesce(c, F.lit(v)).alias(c) for c, v in (("seq_idx", -1), ("seq_id", ""), ("strand", "+"), ("frame", 0))], "rpos", "start_at", "is_stop")
+    inner = marks.withColumn("_chunk", F.coalesce(F.floor(F.col("rpos") / chunk), F.lit(0))).withColumn("_region", F.coalesce(F.count(F.when(F.col("is_stop"), 1)).over(own), F.lit(0))).withColumn("stop_before", F.max(F.when(F.col("is_stop"), F.col("rpos"))).over(own))
     local = inner.groupBy(*keys, "_region").agg(F.max(F.when(F.col("is_stop"), F.col("rpos"))).alias("stop_at"), F.min("start_at").alias("start_at"), F.max("stop_before").alias("stop_before"))
     # what each chunk leaves open: its last stop, and the first start after that
     left = local.groupBy(*keys).agg(F.max("stop_at").alias("_last"), F.min(F.when(F.col("stop_at").isNull(), F.col("start_at"))).alias("_open"))
@@ -61,8 +63,9 @@ def predict_orfs(records: DataFrame, hits: DataFrame, table_id: int = codes.DEFA
     found = found.withColumn("start", F.when(plus, F.col("start_at") + 1).otherwise(F.col("length") - 2 - F.col("stop_at"))).withColumn("end", F.when(plus, F.col("stop_at") + 3).otherwise(F.col("length") - F.col("start_at")))
 
     # numbers in scan order, from counts
-    group = ["seq_idx", "_minus", "frame", "_chunk"]
-    found = found.withColumn("_minus", (~plus).cast("int")).withColumn("_chunk", F.floor(F.col("stop_at") / chunk))
+    keys = scan_order(F.col("stop_at"), chunk)
+    group = list(keys)
+    found = found.withColumns(keys)
     base = first_numbers(found.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")), group)
     found = found.withColumn("_row", F.row_number().over(Window.partitionBy(*group).orderBy("stop_at"))).join(base, group).withColumn("_no", F.col("_row") + F.col("_base"))
     segment = F.array(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.lit(None).cast("int").alias("phase")))

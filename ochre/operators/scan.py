@@ -87,14 +87,23 @@ def scan_totals(records: DataFrame) -> DataFrame:
     )
 
 
+def scan_order(place: Column, chunk: int) -> dict[str, Column]:
+    """What rows of a scan are grouped by, in its order: record, strand, frame, and chunk of the frame.
+
+    None of it is null, so no join adds a filter of its own and what is read twice is shuffled once.
+    """
+    known = lambda c, instead: F.coalesce(c, F.lit(instead))
+    return {"_seq": known(F.col("seq_idx"), -1), "_minus": known((F.col("strand") == "-").cast("int"), 0), "_frame": known(F.col("frame"), 0), "_chunk": known(F.floor(place / chunk), 0)}
+
+
 def first_numbers(counts: DataFrame, group: list[str]) -> DataFrame:
-    """How many rows stand before each group, and in all, from ``seq_idx``, what else the ``group`` is ordered by, and ``_n`` rows each.
+    """How many rows stand before each group, and in all, from ``_seq``, what else the ``group`` is ordered by, and ``_n`` rows each.
 
     Sums are made in two steps, within blocks of records and over blocks.
     """
-    leading = group[: group.index("seq_idx")]
+    leading = group[: group.index("_seq")]
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_block", F.floor(F.col("seq_idx") / BLOCK))
+    counts = counts.withColumn("_block", F.coalesce(F.floor(F.col("_seq") / BLOCK), F.lit(0)))
     blocks = counts.groupBy(*leading, "_block").agg(F.sum("_n").alias("_b"))
     blocks = blocks.select(*leading, "_block", F.coalesce(F.sum("_b").over(before(Window.orderBy(*leading, "_block"))), F.lit(0)).alias("_start"), F.sum("_b").over(Window.partitionBy()).alias("_total"))
     inside = before(Window.partitionBy(*leading, "_block").orderBy(*group[len(leading) :]))
@@ -108,8 +117,9 @@ def numbered(hits: DataFrame, prefix: str = "stop_", chunk: int = CHUNK) -> Data
     Counts are summed up in four steps (within a chunk of a frame, a frame, a block of
     records, over blocks), so no window ever holds all hits, nor all of a chromosome's frame.
     """
-    group = ["wraps", "seq_idx", "_minus", "frame", "_chunk"]
-    own = hits.withColumn("_minus", (F.col("strand") == "-").cast("int")).withColumn("_chunk", F.floor(F.col("rpos") / chunk))
+    keys = {"_wraps": F.coalesce("wraps", F.lit(False)), **scan_order(F.col("rpos"), chunk)}
+    group = list(keys)
+    own = hits.withColumns(keys)
     base = first_numbers(own.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")), group)
     ranked = own.withColumn("_row", F.row_number().over(Window.partitionBy(*group).orderBy("rpos")))
     joined = ranked.join(base, group).withColumn("hit_no", F.col("_base") + F.col("_row"))

@@ -85,11 +85,12 @@ def analyse(files: DataFrame, large_fasta: DataFrame | None = None, large_genban
     warnings = loaded.warnings + ([declared_row["warning"]] if declared_row["warning"] else [])
     note = aggregate.ambiguity_warning(records).first()["note"]
     warnings += [note] if note else []
-    hits = scan.numbered(scan.scan(records, chosen))
+    plain = scan.scan(records, chosen)
+    hits = scan.numbered(plain)
     has_cds = bool(features.where("type = 'CDS'").take(1))
     mode = mode or ("coding" if has_cds else "all")
     if mode == "coding" and not has_cds:
         orfs = orf.predict_orfs(records, hits, chosen, min_orf_nt, require_start=require_start, include_alt_starts=include_alt_starts)
         features = features.unionByName(orfs.withColumn("feat_idx", F.col("feat_idx") + (1 << 61)))
-    annotated = annotate.annotate(hits, features, chosen) if features.take(1) else annotate.without_context(hits)
+    annotated = annotate.annotate(hits, features, chosen, plain) if features.take(1) else annotate.without_context(hits)
     return Analysis(records, features, annotated, chosen, source, table_note(chosen, source, declared, header), mode, warnings, loaded.errors)

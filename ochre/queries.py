@@ -30,6 +30,11 @@ def _annotated(spark: SparkSession, d: str) -> DataFrame:
     return annotate.annotate(_hits(spark, d), document_features(spark, d))
 
 
+def _numbered_and_annotated(spark: SparkSession, d: str) -> DataFrame:
+    hits = _hits(spark, d)
+    return annotate.annotate(scan.numbered(hits), document_features(spark, d), plain=hits)
+
+
 def normalize_stats(spark, d):
     text = F.coalesce("text", F.lit(""))
     return table(spark, d, "documents").select("doc_id", F.length(normalized(text)).alias("length"), normalization_stats(text).alias("s"), count_ambiguous(normalized(text)).alias("not_acgt")).select("doc_id", "length", "s.*", "not_acgt")
@@ -203,11 +208,11 @@ def bed_rows(spark, d):
 
 
 def gff3_rows(spark, d):
-    return tracks.gff3_rows(scan.numbered(_annotated(spark, d)))
+    return tracks.gff3_rows(_numbered_and_annotated(spark, d))
 
 
 def csv_rows(spark, d):
-    lines = delimited.hit_lines(scan.numbered(_annotated(spark, d)), "csv", annotated=True)
+    lines = delimited.hit_lines(_numbered_and_annotated(spark, d), "csv", annotated=True)
     return lines
 
 
