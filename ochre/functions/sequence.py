@@ -29,9 +29,9 @@ def normalization_stats(text: Column) -> Column:
 
 def normalization_note(stats: Column) -> Column:
     """A sentence on what was changed; null if nothing was."""
-    parts = [("u_converted", "RNA input: ", " U base(s) read as T"), ("lowercase", "", " lowercase (soft-masked) base(s) scanned as uppercase"), ("gaps", "", " gap/pad character(s) removed"), ("unexpected", "", " unexpected non-nucleotide letter(s) ignored")]
-    notes = F.concat_ws("; ", *[F.when(stats[name] > 0, F.concat(F.lit(before), stats[name].cast("string"), F.lit(after))) for name, before, after in parts])
-    return F.when(notes != "", F.concat(F.lit("Sequence normalized: "), notes, F.lit(".")))
+    parts = [("u_converted", " U for T"), ("lowercase", " small letters"), ("gaps", " gap marks, taken out"), ("unexpected", " letters that stand for no base")]
+    notes = F.concat_ws("; ", *[F.when(stats[name] > 0, F.concat(stats[name].cast("string"), F.lit(what))) for name, what in parts])
+    return F.when(notes != "", F.concat(F.lit("The sequence had "), notes, F.lit(".")))
 
 
 def as_bytes(seq: Column) -> Column:

@@ -465,9 +465,9 @@ LEFT JOIN hits h ON h.doc_id = z.doc_id AND least(n_bins - 1, (h."start" - 1) //
     "gene_summary": _sql("SELECT * FROM genes", _SCAN, _FEATURES, _ANNOTATED, _GENES),
     "code_sanity": _sql("""SELECT cds_count, with_internal_stops, without_terminator, round(with_internal_stops / cds_count, 9) AS fraction_internal_stops, round(without_terminator / cds_count, 9) AS fraction_no_terminator,
   cds_count >= 20 AND (with_internal_stops / cds_count > 0.1 OR without_terminator / cds_count > 0.2) AS suspicious,
-  CASE WHEN cds_count >= 20 AND (with_internal_stops / cds_count > 0.1 OR without_terminator / cds_count > 0.2) THEN 'The selected genetic code may be wrong for this data: ' || concat_ws(' and ',
-    CASE WHEN with_internal_stops / cds_count > 0.1 THEN floor(with_internal_stops / cds_count * 100 + 0.5)::BIGINT || '% of CDS have in-frame internal stops' END,
-    CASE WHEN without_terminator / cds_count > 0.2 THEN floor(without_terminator / cds_count * 100 + 0.5)::BIGINT || '% of CDS do not end in a stop codon' END) || '. Check the translation table / organism.' END AS message
+  CASE WHEN cds_count >= 20 AND (with_internal_stops / cds_count > 0.1 OR without_terminator / cds_count > 0.2) THEN 'Another genetic code may fit better: ' || concat_ws(' and ',
+    CASE WHEN with_internal_stops / cds_count > 0.1 THEN floor(with_internal_stops / cds_count * 100 + 0.5)::BIGINT || '% of the genes hold stops of their own frame' END,
+    CASE WHEN without_terminator / cds_count > 0.2 THEN floor(without_terminator / cds_count * 100 + 0.5)::BIGINT || '% of them end without one' END) || '.' END AS message
 FROM (SELECT count(*) AS cds_count, count(*) FILTER (internal_stops > 0) AS with_internal_stops, count(*) FILTER (terminator_codon IS NULL) AS without_terminator FROM genes)""", _SCAN, _FEATURES, _ANNOTATED, _GENES),
     "coterminal": _sql("SELECT seq_id, strand, rpos, feature_id, t_ids AS terminator_feature_ids FROM ann WHERE t_ids IS NOT NULL", _SCAN, _FEATURES, _ANNOTATED),
     "coding_mode_hits": _sql("""SELECT seq_id, strand, rpos, "start", "end", codon, context FROM ann WHERE context IN ('cds-terminator', 'orf-terminator')""", _SCAN, _FEATURES, _ANNOTATED),

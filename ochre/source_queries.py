@@ -366,8 +366,8 @@ UNION ALL SELECT doc_id, 2, 'sequence_2', '', 5, md5('ACGTN'), 1, 1, 1, 0, 1 FRO
         "detected_kinds": sql("""SELECT 'text' AS made, 'unknown' AS kind, count(*) AS n FROM doc UNION ALL SELECT 'fasta', 'fasta', count(*) FROM doc UNION ALL SELECT 'flat', 'genbank', count(*) FROM doc
 UNION ALL SELECT 'gff', 'gff-no-fasta', count(DISTINCT doc_id) FROM sp UNION ALL SELECT 'both', 'gff-with-fasta', count(DISTINCT doc_id) FROM sp""", features, _SPLICED),
         "gff3_features": sql(_gff_sql(), features, _SPLICED),
-        "gff3_warnings": sql("""SELECT DISTINCT doc_id::INTEGER AS file_no, 'Skipped CDS row with bad coordinates in chr' || doc_id AS warning FROM sp
-UNION ALL SELECT DISTINCT doc_id::INTEGER, 'One or more features had an undefined strand (?); treated as forward (+).' FROM sp""", features, _SPLICED),
+        "gff3_warnings": sql("""SELECT DISTINCT doc_id::INTEGER AS file_no, 'A CDS line on chr' || doc_id || ' lacks a number for its start or end.' AS warning FROM sp
+UNION ALL SELECT DISTINCT doc_id::INTEGER, 'This file has the strand "?", which is read as plus.' FROM sp""", features, _SPLICED),
         "genbank_records": sql(f"SELECT doc_id::INTEGER AS file_no, {record} AS seq_id, L AS length, circular, md5(s) AS md5, coalesce(n, 0)::INTEGER AS n_features, 0 AS n_warnings FROM doc LEFT JOIN (SELECT doc_id, count(*) AS n FROM sp GROUP BY doc_id) USING (doc_id)", features, _SPLICED),
         "genbank_features": sql(f"""SELECT doc_id::INTEGER AS file_no, {record} AS seq_id, type, strand, segments, ordered, "start", "end", name, locus_tag, 'a "quoted" ' || product AS product, CASE WHEN feat_idx % 2 = 0 THEN 'P' || id END AS protein_id, transl_table,
   CASE WHEN type = 'CDS' THEN phase END AS phase, CASE WHEN known_end IS NOT NULL THEN concat_ws(':', "start", known_end, known_aa) END AS known, CASE WHEN feat_idx % 2 = 0 THEN 'P' || id ELSE locus_tag END AS id,
@@ -385,9 +385,9 @@ FROM (SELECT coalesce(bool_or(doc_id % 7 IN (1, 4)), false) AS mitochondrial, co
   SELECT doc_id, type, count(*) AS n FROM (SELECT DISTINCT doc_id, 'gene' AS type, strand, "start" || '-' || "end" AS sig FROM sp UNION ALL SELECT DISTINCT doc_id, 'mRNA', strand, "start" || '-' || "end" FROM sp
     UNION ALL SELECT DISTINCT doc_id, 'CDS', strand, segments FROM sp UNION ALL SELECT DISTINCT doc_id, 'tRNA', '+', '3-9' FROM sp) GROUP BY ALL) USING (doc_id) WHERE doc_id % 2 = 0""", features, _SPLICED),
         "normalization_notes": f"""WITH d AS (SELECT doc_id, {_counts("coalesce(text, '')")} FROM documents),
-n AS (SELECT doc_id, concat_ws('; ', CASE WHEN u_converted > 0 THEN 'RNA input: ' || u_converted || ' U base(s) read as T' END, CASE WHEN lowercase > 0 THEN lowercase || ' lowercase (soft-masked) base(s) scanned as uppercase' END,
-  CASE WHEN gaps > 0 THEN gaps || ' gap/pad character(s) removed' END, CASE WHEN unexpected > 0 THEN unexpected || ' unexpected non-nucleotide letter(s) ignored' END) AS t FROM d)
-SELECT doc_id, CASE WHEN t <> '' THEN 'Sequence normalized: ' || t || '.' END AS note FROM n""",
+n AS (SELECT doc_id, concat_ws('; ', CASE WHEN u_converted > 0 THEN u_converted || ' U for T' END, CASE WHEN lowercase > 0 THEN lowercase || ' small letters' END,
+  CASE WHEN gaps > 0 THEN gaps || ' gap marks, taken out' END, CASE WHEN unexpected > 0 THEN unexpected || ' letters that stand for no base' END) AS t FROM d)
+SELECT doc_id, CASE WHEN t <> '' THEN 'The sequence had ' || t || '.' END AS note FROM n""",
         "spliced_hits": sql(f"""SELECT seq_id, strand, rpos, codon, context, gene_name, locus_tag, product, feature_id, in_frame, {_RECODED} AS recoded_aa,
   coalesce(gene_name, locus_tag, CASE WHEN length(product) > 40 THEN left(product, 39) || '…' ELSE product END, feature_id, '') AS shown FROM ann""", docs_scan, features, _SPLICED, _SPLICED_ANN),
         "spliced_genes": sql("SELECT * FROM genes", docs_scan, features, _SPLICED, _SPLICED_ANN, _GENES_OF),

@@ -43,7 +43,7 @@ def test_tracks(spark):
     gff = delimited.text_of(tracks.gff3_lines(hits, own), "text")
     assert gff.startswith("##gff-version 3\n##sequence-region a 1 17\n") and "Is_circular=true" in gff and "\tstop_codon\t" in gff
     crossing = hits.where("wraps").count()
-    assert (f"# {crossing} origin-wrapping" in gff) == (crossing > 0)
+    assert (f"# {crossing} stops over the origin" in gff) == (crossing > 0)
     bed = delimited.text_of(tracks.bed_lines(hits, STOPS, bed9=True), "text").split("\n")
     assert bed[0].startswith("track ") and "\t3\t6\t" in "\n".join(bed) and tracks.bed_palette()[0] in "\n".join(bed)
     assert tracks.bed_palette("no such scheme") == tracks.bed_palette()
