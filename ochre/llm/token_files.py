@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, filesystem, map_arrow, shared_dir, shuffle_partitions, text_bytes
+from .common import blocks, filesystem, map_arrow, scratch, shuffle_partitions, text_bytes
 from .tokens import encoder, vocabulary
 
 MANIFEST = "shard string, first_doc long, first_hash long, n_docs long, n_null long, n_tokens long, width int"
@@ -132,5 +132,5 @@ def read_token_files(spark: SparkSession, folder: str, shards: list[Shard]) -> D
 def token_files(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Writes the files to the shared folder and reads every document back."""
     spark = documents.sparkSession
-    folder = f"{shared_dir(spark)}/ochre/tokens-{uuid.uuid4().hex}"
+    folder = scratch(spark, "tokens")
     return read_token_files(spark, folder, write_token_files(documents, folder, tokenizer))

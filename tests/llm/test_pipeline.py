@@ -63,3 +63,26 @@ def test_sql(spark, name):
     names = [d[0] for d in told.description]
     assert sorted(names) == sorted(found.columns)
     assert sorted((tuple(r[n] for n in names) for r in found.collect()), key=str) == sorted(told.fetchall(), key=str)
+
+
+def test_stages_on_odd_tables(spark):
+    """Null ids, null and empty texts, repeated rows and empty tables go through every stage as its docstring says."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60)
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").first()["text"]
+    odd = spark.createDataFrame([(None, None), (None, "a text without an id, good enough to stay"), (900_001, None), (900_002, ""), (900_003, "same"), (900_003, "same"), (None, item)], "doc_id long, text string")
+    more = odd.select("doc_id", "text", *[F.lit(None).cast(t).alias(c) for c, t in docs.dtypes if c not in ("doc_id", "text")]).select(*docs.columns)
+    rows = docs.unionByName(more)
+    rows = rows.cache()
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, rows.limit(0), FOLDER)
+        assert none.count() == 0 and (name == "best-fit packing" or none.columns == docs.columns)
+        out = stage(spark, rows, FOLDER).collect()
+        texts = [(r["doc_id"], r["text"]) for r in out] if name != "best-fit packing" else []
+        if name == "line dedup":
+            assert len(out) == rows.count() and texts.count((900_003, "same")) == 2 and (900_001, None) in texts
+        elif name == "n-gram Jaccard join":
+            assert texts.count((900_003, "same")) == 1 and (900_001, None) in texts and (900_002, "") in texts and sum(d is None for d, _ in texts) == 3
+        elif name == "benchmark decontamination":
+            assert (None, item) not in texts and (None, None) in texts and texts.count((900_003, "same")) == 2
+        elif name == "best-fit packing":
+            assert {900_001, 900_002, 900_003, None} <= {r["doc_id"] for r in out}

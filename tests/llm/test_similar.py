@@ -140,3 +140,11 @@ def test_hashes_of_shingles_are_sets():
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
     sets = ngram_join.shingle_sets(np.frombuffer(b"".join(raw), np.uint8), bounds)
     assert [len(s) for s in sets] == [len(shingles(t)) for t in texts]
+
+
+def test_clashing_columns(spark):
+    docs = documents(spark, odd_texts()[:12], extra=False)
+    clash = docs
+    for name in ("group", "component", "n", "shingle", "hash", "component_id", "n_shingles", "members"):
+        clash = clash.withColumn(name, F.lit("x"))
+    assert found(clash) == found(docs)

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ochre.llm import packing, token_files, token_rollups
+from ochre.llm import common, packing, queries, token_files, token_rollups
 from ochre.llm.common import scratch
 from ochre.llm.tokens import encoder, vocabulary
 
@@ -265,3 +265,46 @@ def test_sequences_of_a_real_table_are_as_few_as_can_be(spark):
     histogram = Counter(r["length"] for r in rows)
     used, least = len({r["sequence_id"] for r in rows}), packing.least_bins(histogram, 2048)
     assert least <= used <= least + 1 + least // 200, (used, least)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_rollup_query_by_hand(spark):
+    """Three batches, each committed twice, with two tokenizers, worked out document by document."""
+    from tokenizers import Tokenizer
+
+    folder = "/root/testdata/sf0.001"
+    one, other = Tokenizer.from_file(vocabulary("byte_bpe_50k.json")), token_rollups._ranks(vocabulary("byte_bpe_multi_50k.tiktoken"))
+    toxic = {r["doc_id"] for r in spark.read.parquet(f"{folder}/labels.parquet").where("toxic = 1").collect()}
+    expected: dict = {}
+    for r in spark.read.parquet(f"{folder}/documents.parquet").collect():
+        if r["doc_id"] in toxic:
+            continue
+        text = r["text"] or ""
+        english = r["lang"] == "en"
+        n = len(one.encode(text, add_special_tokens=False).ids) if english else len(other.encode_ordinary(text))
+        sums = expected.setdefault((r["source"], r["lang"], "byte_bpe_50k" if english else "byte_bpe_multi_50k"), [0, 0, 0])
+        for k, v in enumerate((1, n, len(text))):
+            sums[k] += v
+    rows = queries.op2_token_rollups(spark, folder).collect()
+    assert {(r["source"], r["lang"], r["tokenizer_version"]): [r["n_docs"], r["n_tokens"], r["n_chars"]] for r in rows} == expected
+
+
+def test_clashing_columns(spark):
+    """Columns named like outputs or intermediates change nothing."""
+    docs = documents(spark, ["some words here", "", None, "more words"], extra=False)
+    clash = docs
+    for name in ("ids", "n", "start", "length", "offset", "sequence_id", "piece", "rank", "shard", "n_tokens", "text_hash", "ids_crc32"):
+        clash = clash.withColumn(name, F.lit("x"))
+    plain = lambda rows: sorted(map(str, rows.collect()))
+    assert plain(token_files.token_files(clash)) == plain(token_files.token_files(docs))
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert plain(packing.pack_documents(clash, capacity=64).select(*columns)) == plain(packing.pack_documents(docs, capacity=64).select(*columns))
+
+
+def test_token_files_leave_nothing(spark):
+    folder = f"{common.shared_dir(spark)}/ochre"
+    common.clear_scratch(spark)
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    assert token_files.token_files(documents(spark)).count() and set(os.listdir(folder)) > before
+    common.clear_scratch(spark)
+    assert set(os.listdir(folder)) == before
