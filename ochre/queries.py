@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from . import source_queries
 from .functions import codes
-from .functions.sequence import as_text, count_ambiguous, normalization_stats, normalized, signed_frame
-from .operators import aggregate, annotate, extract, orf, scan, select
+from .functions.sequence import as_text, count_ambiguous, normalization_stats, normalized
+from .operators import aggregate, annotate, orf, scan, select
 from .plans import samples
 from .plans.tables import document_features, document_records, table
 from .sinks import delimited, fasta, figures, tracks

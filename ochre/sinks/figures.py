@@ -19,7 +19,6 @@ from ..schema import CODING, FRAMES
 SIDE, RING, GENES, GENE_WIDTH = 520, 220, 206, 9
 #: Sizes of the gene map: width, lane, gap, and margins above and at both sides.
 WIDTH, LANE, GAP, TOP, LEFT, RIGHT = 900, 24, 7, 42, 54, 20
-PIECE = "seq_id string, layer int, ord long, piece string"
 
 
 def hundredths(x: Column) -> Column:
