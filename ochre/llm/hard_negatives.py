@@ -95,7 +95,7 @@ class Space:
 
 @dataclass(frozen=True)
 class Units:
-    """The units of anchors: pivot, nearest and farthest anchor from it, and how candidates are dealt to portions."""
+    """The units of anchors: their pivots, and how far the nearest and the farthest anchor lie from these."""
 
     pivot: np.ndarray
     near: np.ndarray
