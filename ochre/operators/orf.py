@@ -17,15 +17,27 @@ from ..schema import FEATURES
 from .scan import CHUNK, codon_windows, first_numbers, scan_order
 
 
-def _regions(marks: DataFrame, chunk: int) -> DataFrame:
-    """``seq_idx, seq_id, strand, frame, stop_at, start_at, stop_before``: a region a row, from right after a stop to the next one (null: none), with its first start."""
+#: Bases whose stops and starts are one partition, on both strands.
+PART = 1 << 23
+
+
+def _regions(marks: DataFrame, chunk: int, parts: int | None = None, carries: bool = True) -> DataFrame:
+    """``seq_idx, seq_id, strand, frame, stop_at, start_at, stop_before``: a region a row, from right after a stop to the next one (null: none), with its first start.
+
+    ``parts``: into how many partitions the marks are dealt.  ``carries``: whether any frame has several chunks.
+    """
     frame = ["seq_idx", "seq_id", "strand", "frame"]
     keys = [*frame, "_chunk"]
     own = Window.partitionBy(*keys).orderBy("rpos").rowsBetween(Window.unboundedPreceding, -1)
     # keys are never null, so that no join adds a filter of its own and both uses of the marks share one shuffle
     marks = marks.select(*[F.coalesce(c, F.lit(v)).alias(c) for c, v in (("seq_idx", -1), ("seq_id", ""), ("strand", "+"), ("frame", 0))], "rpos", "start_at", "is_stop")
-    inner = marks.withColumn("_chunk", F.coalesce(F.floor(F.col("rpos") / chunk), F.lit(0))).withColumn("_region", F.coalesce(F.count(F.when(F.col("is_stop"), 1)).over(own), F.lit(0))).withColumn("stop_before", F.max(F.when(F.col("is_stop"), F.col("rpos"))).over(own))
+    marks = marks.withColumn("_chunk", F.coalesce(F.floor(F.col("rpos") / chunk), F.lit(0)))
+    if parts:
+        marks = marks.repartition(parts, *keys)
+    inner = marks.withColumn("_region", F.coalesce(F.count(F.when(F.col("is_stop"), 1)).over(own), F.lit(0))).withColumn("stop_before", F.max(F.when(F.col("is_stop"), F.col("rpos"))).over(own))
     local = inner.groupBy(*keys, "_region").agg(F.max(F.when(F.col("is_stop"), F.col("rpos"))).alias("stop_at"), F.min("start_at").alias("start_at"), F.max("stop_before").alias("stop_before"))
+    if not carries:
+        return local.select(*frame, "stop_at", "start_at", "stop_before")
     # what each chunk leaves open: its last stop, and the first start after that
     left = local.groupBy(*keys).agg(F.max("stop_at").alias("_last"), F.min(F.when(F.col("stop_at").isNull(), F.col("start_at"))).alias("_open"))
     along = Window.partitionBy(*frame).orderBy("_chunk")
@@ -51,7 +63,10 @@ def predict_orfs(records: DataFrame, hits: DataFrame, table_id: int = codes.DEFA
         starts = list(start_codons) if start_codons else list(codes.genetic_code(table_id).all_starts if include_alt_starts else ("ATG",))
         opening = codon_windows(records, starts).select("seq_idx", "seq_id", "strand", (F.col("rpos") % 3 + 1).cast("int").alias("frame"), "rpos", F.col("rpos").alias("start_at"), F.lit(False).alias("is_stop"))
         marks = stops.unionByName(opening)
-    regions = _regions(marks, chunk)
+    one = records.agg(F.sum(F.col("length").cast("long")).alias("total"), F.max("length").alias("longest")).first()
+    # as many partitions as the bases need, so that no task grows with the input
+    parts = max(records.sparkSession.sparkContext.defaultParallelism, -(-(one["total"] or 0) // PART))
+    regions = _regions(marks, chunk, parts, (one["longest"] or 0) > chunk)
     if require_start:
         found = regions.where("stop_at IS NOT NULL AND start_at IS NOT NULL")
     else:
@@ -67,7 +82,7 @@ def predict_orfs(records: DataFrame, hits: DataFrame, table_id: int = codes.DEFA
     group = list(keys)
     found = found.withColumns(keys)
     base = first_numbers(found.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")), group)
-    found = found.withColumn("_row", F.row_number().over(Window.partitionBy(*group).orderBy("stop_at"))).join(base, group).withColumn("_no", F.col("_row") + F.col("_base"))
+    found = found.repartition(parts, *group).withColumn("_row", F.row_number().over(Window.partitionBy(*group).orderBy("stop_at"))).join(base, group).withColumn("_no", F.col("_row") + F.col("_base"))
     segment = F.array(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.lit(None).cast("int").alias("phase")))
     none = F.lit(None).cast("string")
     columns = {
