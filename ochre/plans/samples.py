@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.sequence import as_bytes
 
 #: Bases made at once.
-CHUNK = 1 << 16
+CHUNK = 1 << 12
 # Fixed values of the generator: what the counter grows by, the shifts, and what is or'ed in.
 GROWS_BY, SHIFTS, ORED = 0x6D2B79F5, (15, 7, 14), (1, 61)
 _WORD = 0xFFFFFFFF
@@ -44,15 +44,27 @@ def base(seed: Column, place: Column) -> Column:
 def sample_records(specs: DataFrame) -> DataFrame:
     """Records from ``seq_idx, seq_id, seed, length, circular, planted`` (places from 0, and codons that stand there instead).
 
-    Chunks are made one by one and joined by record; codons are planted in whole sequences.
+    Chunks are made one by one, with the codons that reach into them, and joined by record,
+    so what a codon costs doesn't grow with its record.
     Nulls: no length is none, a null seed is 0; codons that don't fit are left out.
     """
     sized = specs.withColumn("length", F.greatest(F.lit(0), F.coalesce(F.col("length"), F.lit(0))).cast("int")).withColumn("seed", F.coalesce(F.col("seed"), F.lit(0)).cast("long"))
     chunks = sized.select("seq_idx", "seed", "length", F.explode_outer(F.when(F.col("length") > 0, F.sequence(F.lit(0), F.col("length") - 1, F.lit(CHUNK)))).alias("_from"))
+
+    # a codon goes to each chunk that it reaches into, cut to it; later ones in their order stand over earlier ones
+    sites = sized.select("seq_idx", "length", F.posexplode("planted").alias("_k", "_p")).select("seq_idx", "length", "_k", "_p.at", "_p.codon").withColumn("_end", F.col("at") + F.length("codon"))
+    sites = sites.where("codon <> '' AND at >= 0 AND _end <= length")
+    firsts = F.sequence(F.floor(F.col("at") / CHUNK), F.floor((F.col("_end") - 1) / CHUNK))
+    sites = sites.select("*", F.explode(firsts).alias("_no")).withColumn("_from", (F.col("_no") * CHUNK).cast("int"))
+    begin, end = F.greatest("at", "_from"), F.least(F.col("_end"), F.col("_from") + CHUNK)
+    sites = sites.select("seq_idx", "_from", F.struct("_k", (begin - F.col("_from")).alias("at"), F.substring("codon", begin - F.col("at") + 1, end - begin).alias("codon")).alias("_p"))
+    sites = sites.groupBy("seq_idx", "_from").agg(F.sort_array(F.collect_list("_p")).alias("_own"))
+
+    # dealt out by chunk, as a record may be nearly all there is
+    dealt = chunks.repartition(specs.sparkSession.sparkContext.defaultParallelism * 4, "seq_idx", "_from").join(sites, ["seq_idx", "_from"], "left")
     places = F.sequence(F.col("_from"), F.least(F.col("_from") + CHUNK, F.col("length")) - 1)
-    chunks = chunks.select("seq_idx", "_from", F.coalesce(F.array_join(F.transform(places, lambda k: base(F.col("seed"), k)), ""), F.lit("")).alias("_text"))
-    bodies = chunks.groupBy("seq_idx").agg(F.array_join(F.sort_array(F.collect_list(F.struct("_from", "_text")))["_text"], "").alias("_body"))
+    plain = F.coalesce(F.array_join(F.transform(places, lambda k: base(F.col("seed"), k)), ""), F.lit(""))
+    text = F.aggregate(F.coalesce("_own", F.array().cast("array<struct<_k:int,at:int,codon:string>>")), plain, lambda s, p: F.overlay(s, p["codon"], p["at"] + 1, F.length(p["codon"])))
+    bodies = dealt.select("seq_idx", "_from", text.alias("_text")).groupBy("seq_idx").agg(F.array_join(F.sort_array(F.collect_list(F.struct("_from", "_text")))["_text"], "").alias("_body"))
     own = sized.join(bodies, "seq_idx")
-    fits = F.filter(F.coalesce(F.col("planted"), F.array().cast("array<struct<at:int,codon:string>>")), lambda p: (p["at"] >= 0) & (p["at"] + F.length(p["codon"]) <= F.col("length")))
-    seq = F.aggregate(fits, F.col("_body"), lambda s, p: F.overlay(s, p["codon"], p["at"] + 1, F.length(p["codon"])))
-    return own.select("seq_idx", "seq_id", as_bytes(seq).alias("seq"), "length", F.coalesce(F.col("circular"), F.lit(False)).alias("circular"), F.lit("raw").alias("source_kind"))
+    return own.select("seq_idx", "seq_id", as_bytes(F.col("_body")).alias("seq"), "length", F.coalesce(F.col("circular"), F.lit(False)).alias("circular"), F.lit("raw").alias("source_kind"))
