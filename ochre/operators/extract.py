@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes
-from ..functions.sequence import as_bytes, as_text, non_empty, reverse_complement
+from ..functions.sequence import as_text, non_empty, reverse_complement
 from .select import exportable
 
 
@@ -36,17 +37,22 @@ def coding_sequences(features: DataFrame, records: DataFrame, chunk: int = CHUNK
 
 
 def translated(seq: Column, table_id: Column, phase: Column) -> Column:
-    """The protein of a coding sequence under a code; one stop at the end goes, others stay as ``*``."""
-    skip = F.when(phase.isin(1, 2), phase).otherwise(0)
-    codons = F.floor((F.length(seq) - skip) / 3)
-    places = F.when(codons > 0, F.sequence(F.lit(0), codons - 1)).otherwise(F.array().cast("array<bigint>"))
-    # the code's letters and the bytes are bound once, not for each codon
-    bound = F.array(F.struct(F.concat(F.lit("X"), codes.amino_letters(table_id)).alias("letters"), as_bytes(F.upper(seq)).alias("bytes"), (skip + 1).alias("first")))
+    """The protein of a coding sequence under a code; one stop at the end goes, others stay as ``*``.
 
-    def protein(x: Column) -> Column:
-        return F.array_join(F.transform(places, lambda k: codes.amino_acid_at(x["bytes"], (x["first"] + k * 3).cast("int"), x["letters"])), "")
-
-    return F.regexp_replace(F.get(F.transform(bound, protein), F.lit(0)), r"\*$", "")
+    Worked out once a row: nothing that reads it may have it worked out again.
+    """
+    aminos = {t: codes.genetic_code(t).amino for t in codes.CODES}
+    default = aminos[codes.DEFAULT]
+
+    def proteins_of(seqs: pa.Array, tables: pa.Array, phases: pa.Array) -> pa.Array:
+        out = []
+        for own, table, skip in zip(seqs.to_pylist(), tables.to_pylist(), phases.to_pylist()):
+            own, amino, first = own or "", aminos.get(table, default), skip if skip in (1, 2) else 0
+            upper, last = own.upper(), first + (len(own) - first) // 3 * 3
+            out.append("".join([amino.get(upper[k : k + 3], "X") for k in range(first, last, 3)]).removesuffix("*"))
+        return pa.array(out, pa.string())
+
+    return F.arrow_udf(proteins_of, "string").asNondeterministic()(seq, table_id, phase)
 
 
 def label() -> Column:
