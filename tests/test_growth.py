@@ -4,12 +4,12 @@ import time
 import unicodedata
 
 import pytest
-from helpers import records, tuples
+from helpers import feature, features, records, tuples
 from pyspark.sql import functions as F
 
 from ochre.functions import letters
 from ochre.functions.sequence import normalized, reversed_codon
-from ochre.operators import extract, orf, scan
+from ochre.operators import annotate, extract, orf, scan
 from ochre.plans import samples, tables
 
 
@@ -81,3 +81,15 @@ def test_protein_is_worked_out_once(spark):
     assert [r["protein"] for r in made.collect()] == ["MW", "M*", "MX", "", "", ""]
     assert plan(made.where("protein <> ''").select(F.concat("protein", F.lit("."), "protein"))).count("proteins_of") == 1
 
+
+
+def test_annotation_of_some_hits_by_a_known_width(spark, monkeypatch):
+    """With a known width features aren't worked out for it, and some hits get what they get among all."""
+    own = records(spark, ("a", "ATGTAAAAATAGCCCTGATAA", False))
+    hits = scan.scan(own)
+    genes = features(spark, feature(0, "a", "CDS", "+", (1, 12)), feature(1, "a", "gene", "+", (10, 21)))
+    columns = ("seq_id", "strand", "rpos", "context", "feature_id", "in_frame", "terminator_feature_ids")
+    expected = sorted(map(str, tuples(annotate.annotate(hits, genes).where("codon = 'TAA'"), *columns)))
+    monkeypatch.setattr(type(genes), "first", lambda df: pytest.fail("an action"))
+    found = annotate.annotate(hits.where("codon = 'TAA'"), genes, plain=hits, widest=12)
+    assert sorted(map(str, tuples(found, *columns))) == expected and len(expected) > 1
