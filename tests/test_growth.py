@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ochre.functions import letters
 from ochre.functions.sequence import normalized, reversed_codon
-from ochre.operators import annotate, extract, orf, scan
+from ochre.operators import aggregate, annotate, extract, orf, scan
 from ochre.plans import samples, tables
+from ochre.sinks import delimited
 
 
 def plan(df):
@@ -93,3 +94,47 @@ def test_annotation_of_some_hits_by_a_known_width(spark, monkeypatch):
     monkeypatch.setattr(type(genes), "first", lambda df: pytest.fail("an action"))
     found = annotate.annotate(hits.where("codon = 'TAA'"), genes, plain=hits, widest=12)
     assert sorted(map(str, tuples(found, *columns))) == expected and len(expected) > 1
+
+
+def test_terminators_alone(spark):
+    """What ends features is known without the join of all stops with all features, over an origin and without an id too."""
+    own = records(spark, ("a", "AATGAAATAGTAATT", True), ("b", "TTAATGTAACTATTA", False))
+    hits = scan.scan(own)
+    row = lambda k, s, sign, *spans, **more: feature(k, s, "ORF" if k % 3 == 2 else "CDS", sign, *spans, **more)
+    spans = [((a, b),) for a in range(1, 14, 2) for b in range(a + 2, 16)] + [((1, 1), (13, 15)), ((1, 2), (14, 15)), ((2, 4), (9, 12))]
+    table = features(spark, *[row(k, s, sign, *span, id=None if k % 5 == 0 else f"f{k % 40}") for k, (s, sign, span) in enumerate((s, sign, span) for s in "ab" for sign in "+-" for span in spans)])
+    columns = [*hits.columns, *annotate.ADDED]
+    for many in (None, 1 << 13):
+        expected = [r for r in map(str, annotate.annotate(hits, table, widest=many).where("context IN ('cds-terminator', 'orf-terminator')").select(*columns).collect())]
+        assert sorted(map(str, annotate.ending(hits, table).select(*columns).collect())) == sorted(expected) and len(expected) > 3
+    assert annotate.annotate(hits, table).count() == hits.count()
+    assert "_from" not in plan(annotate.ending(hits, table)) and "_from" in plan(annotate.annotate(hits, table))
+
+
+def test_stops_are_shuffled_once(spark):
+    """Claims and the features' join use one shuffle of the stops, and genes one annotation."""
+    own = records(spark, ("a", "ATGTAAAAATAGCCCTGATAA", False))
+    genes = features(spark, feature(0, "a", "CDS", "+", (1, 12)), feature(1, "a", "gene", "+", (10, 21)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = annotate.annotate(scan.scan(own), genes, widest=12)
+        assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+        assert plan(aggregate.gene_summary(found, genes)).count("MapInArrow") == plan(found).count("MapInArrow")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_first_of_an_id_is_credited(spark):
+    """Of several CDS of one id the first has the stops; those without an id have none, however many they are."""
+    own = records(spark, ("a", "ATGTAAAAATAG", False))
+    genes = features(spark, feature(2, "a", "CDS", "+", (1, 12), id="x"), feature(1, "a", "CDS", "+", (1, 12), id="x"), *[feature(k, "a", "CDS", "-", (1, 9), id=None) for k in (3, 4)], feature(5, "a", "CDS", "-", (1, 9), id="#3"))
+    found = aggregate.gene_summary(annotate.annotate(scan.scan(own), genes), genes)
+    assert sorted(tuples(found, "feat_idx", "feature_id", "internal_stops", "terminator_codon")) == [(1, "x", 1, "TAG"), (2, "x", 0, None), (3, None, 0, None), (4, None, 0, None), (5, "#3", 0, None)]
+
+
+def test_cells_are_quoted_without_patterns(spark):
+    rows = spark.createDataFrame([(t,) for t in ('a"b', "a,b", "a\nb", "a\rb", "ab", "", None)], "t string").select(delimited.csv_cell(F.col("t")).alias("c"))
+    assert [r["c"] for r in rows.collect()] == ['"a""b"', '"a,b"', '"a\nb"', '"a\rb"', "ab", "", ""]
+    assert "RLIKE" not in plan(rows).upper()
