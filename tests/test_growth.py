@@ -126,6 +126,23 @@ def test_stops_are_shuffled_once(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+def test_features_are_made_once(spark):
+    """Claims and the join with all features use one shuffle of the features too, a row a feature and bin."""
+    own = records(spark, ("a", "ATGTAAAAATAGCCCTGATAA", False))
+    genes = features(spark, feature(0, "a", "CDS", "+", (1, 4), (7, 9), (11, 12)), feature(1, "a", "gene", "+", (10, 21)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = annotate.annotate(scan.scan(own), genes, widest=12)
+        assert found._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") == 2
+        assert annotate._binned(features(spark, feature(0, "a", "CDS", "+", (300, 304), (307, 309), (311, 312))), 11, True).count() == 1
+        contexts = annotate.annotate(scan.scan(own), genes, widest=12, named=False)
+        assert sorted(tuples(contexts, "rpos", "strand", "context", "in_frame")) == sorted(tuples(found, "rpos", "strand", "context", "in_frame"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_first_of_an_id_is_credited(spark):
     """Of several CDS of one id the first has the stops; those without an id have none, however many they are."""
     own = records(spark, ("a", "ATGTAAAAATAG", False))
