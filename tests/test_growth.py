@@ -12,6 +12,7 @@ from ochre.functions.sequence import normalized, reversed_codon
 from ochre.operators import aggregate, annotate, extract, orf, scan
 from ochre.plans import samples, tables
 from ochre.sinks import delimited
+from ochre.sources import gff3
 
 
 def plan(df):
@@ -155,3 +156,28 @@ def test_cells_are_quoted_without_patterns(spark):
     rows = spark.createDataFrame([(t,) for t in ('a"b', "a,b", "a\nb", "a\rb", "ab", "", None)], "t string").select(delimited.csv_cell(F.col("t")).alias("c"))
     assert [r["c"] for r in rows.collect()] == ['"a""b"', '"a,b"', '"a\nb"', '"a\rb"', "ab", "", ""]
     assert "RLIKE" not in plan(rows).upper()
+
+
+def executed(spark, df):
+    """The physical plan with shuffles where joins and groups need them, however small the tables."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        return df()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+
+
+def test_gff3_features_stay_with_their_file(spark):
+    """Texts are shuffled once by file; rows, features and names aren't, nor is a table of features kept on disk."""
+    row = lambda kind, k, more: f"c{k % 2}\tx\t{kind}\t{k}\t{k + 9}\t.\t{'+-'[k % 2]}\t.\t{more}"
+    one = [row("gene", 1, "ID=g;Name=n"), row("mRNA", 2, "ID=r;Parent=g"), row("CDS", 3, "ID=k;Parent=r"), row("CDS", 5, "ID=k;Parent=r"), row("tRNA", 4, "Parent=k"), row("tRNA", 4, "Parent=k"), row("rRNA", 6, "ID=z;Parent=late"), row("gene", 7, "ID=late;locus_tag=L=1"), row("gene", 8, "")]
+    files = spark.createDataFrame([(k, "\n".join(one[k % 3 :])) for k in range(20)], "file_no int, text string")
+    plan = executed(spark, lambda: gff3.features_of(gff3.rows_of(gff3.by_file(files))))
+    assert plan.count("Exchange") == plan.count("Exchange hashpartitioning(file_no") == 1 and "InMemory" not in plan
+    found = sorted(map(str, gff3.features_of(gff3.rows_of(gff3.by_file(files))).collect()))
+    assert found == sorted(map(str, gff3.features_of(gff3.rows_of(files)).collect())) and len(found) == 7 * 7 + 7 * 6 + 6 * 5
+    names = {r["id"] or r["type"]: (r["name"], r["locus_tag"]) for r in gff3.features_of(gff3.rows_of(files)).where("file_no = 0").collect()}
+    assert names == {"g": ("n", None), "r": ("n", None), "k": ("n", None), "tRNA": ("n", None), "z": (None, "L=1"), "late": (None, "L=1"), "gene": (None, None)}
