@@ -1,7 +1,9 @@
 """What must not grow with the input: rows made for a scan, a task's share of marks, what a planted codon or a protein costs."""
 
+import re
 import time
 import unicodedata
+from pathlib import Path
 
 import pytest
 from helpers import feature, features, records, tuples
@@ -11,6 +13,7 @@ from ochre.functions import letters
 from ochre.functions.sequence import normalized, reversed_codon
 from ochre.operators import aggregate, annotate, extract, orf, scan
 from ochre.plans import samples, tables
+from ochre.plans.staged import staged
 from ochre.sinks import delimited
 from ochre.sources import gff3
 
@@ -181,3 +184,18 @@ def test_gff3_features_stay_with_their_file(spark):
     assert found == sorted(map(str, gff3.features_of(gff3.rows_of(files)).collect())) and len(found) == 7 * 7 + 7 * 6 + 6 * 5
     names = {r["id"] or r["type"]: (r["name"], r["locus_tag"]) for r in gff3.features_of(gff3.rows_of(files)).where("file_no = 0").collect()}
     assert names == {"g": ("n", None), "r": ("n", None), "k": ("n", None), "tRNA": ("n", None), "z": (None, "L=1"), "late": (None, "L=1"), "gene": (None, None)}
+
+
+def test_gff3_lines_stay_with_their_file(spark):
+    """Texts are written out in small compressed files, all of them, and lines are shuffled once, by file."""
+    row = lambda k, more: f"c\tx\tgene\t{k}\t{k + 9}\t.\t+\t.\t{more}"
+    texts = ["\n".join([f"##gff-version 3 {'x' * 5000}", row(1, f"ID=g{k};Name=n"), row(2, f"ID=r{k};Parent=g{k}"), row(3, f"ID=c{k};Parent=r{k}")]) for k in range(35)]
+    path = staged(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(2), "few", packed=4)
+    files = list(Path(path.removeprefix("file:")).glob("part-*.gz"))
+    assert len(files) >= 9 and sum(f.stat().st_size for f in files) < 0.1 * sum(map(len, texts))
+    lines = gff3.read_lines(spark, path)
+    assert lines.count() == 4 * 35 and lines.select("file_no").distinct().count() == len(files)
+    plan = executed(spark, lambda: gff3.features_of(gff3.feature_lines(lines, whole=True)))
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "InMemoryTableScan" not in plan and "hashpartitioning(file_no, id" not in (short := re.sub(r"#\d+L?", "", plan)) and "hashpartitioning(file_no, _" not in short
+    found = sorted(map(str, gff3.features_of(gff3.feature_lines(lines, whole=True)).collect()))
+    assert found == sorted(map(str, gff3.features_of(gff3.feature_lines(lines)).collect())) and len(found) == 3 * 35 and all("name='n'" in f for f in found)
