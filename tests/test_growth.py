@@ -16,6 +16,7 @@ from ochre.plans import samples, tables
 from ochre.plans.staged import staged
 from ochre.sinks import delimited
 from ochre.sources import gff3
+from ochre.sources.dispatch import load
 
 
 def plan(df):
@@ -199,3 +200,15 @@ def test_gff3_lines_stay_with_their_file(spark):
     assert plan.count("REPARTITION_BY_NUM") == 1 and "InMemoryTableScan" not in plan and "hashpartitioning(file_no, id" not in (short := re.sub(r"#\d+L?", "", plan)) and "hashpartitioning(file_no, _" not in short
     found = sorted(map(str, gff3.features_of(gff3.feature_lines(lines, whole=True)).collect()))
     assert found == sorted(map(str, gff3.features_of(gff3.feature_lines(lines)).collect())) and len(found) == 3 * 35 and all("name='n'" in f for f in found)
+
+
+def test_loading_keeps_neither_lines_nor_features(spark):
+    """What load keeps is the records and a row an annotated id; features of texts that lie by file are shuffled once, to tell doubles."""
+    row = lambda s, k, more: f"{s}\tx\tgene\t{k}\t{k + 9}\t.\t+\t.\t{more}"
+    note = lambda s: "\n".join(["##gff-version 3", row(s, 1, f"ID=g{s};Name=n"), row(s, 1, f"ID=h{s}"), row(s, 2, f"ID=r{s};Parent=g{s}"), f"{s}\tx\tCDS\tz\t9\t.\t+\t0\tID=bad"])
+    files = spark.createDataFrame([(k, str(k), note(f"s{k // 2}") if k % 2 else f">s{k // 2}\nACGT") for k in range(14) if k != 4], "file_no int, name string, text string")
+    loaded = load(gff3.by_file(files).persist())
+    assert sorted(tuples(loaded.features, "seq_id", "start", "name")) == sorted((f"s{k}", at, "n") for k in range(7) if k != 2 for at in (1, 2))
+    assert loaded.warnings[-1] == "2 feature(s) left out, as their 1 id(s) have no sequence: s2." and sum("lacks a number" in w for w in loaded.warnings) == 5 and any(w.startswith("2 further notes") for w in loaded.warnings)
+    kept = executed(spark, lambda: loaded.features.groupBy("seq_id").count())
+    assert "attributes" not in kept[kept.index("InMemoryRelation") :] and re.sub(r"#\d+L?", "", kept).count("Exchange hashpartitioning(file_no, id") == 0
